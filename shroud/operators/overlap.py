@@ -54,20 +54,21 @@ def resolve_overlaps(ents: DataFrame) -> DataFrame:
     prev_max = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     e = e.withColumn("_new", F.when(prev_max.isNull() | (F.col("start") > prev_max), 1).otherwise(0))
     e = e.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "_island")))
-    single = e.filter(F.col("_n") == 1).select(*cols)
-    multi = e.filter(F.col("_n") > 1)
     payload = [c for c in cols if c not in ("doc_id",)]
     # struct ordering: the sort key first so sort_array gives (start, -len, -conf, ...)
     key = [F.col(c) for c in SORT_FIELDS]
     rest = [F.col(c) for c in payload if c not in SORT_FIELDS]
     st = F.struct(*key, *rest)
-    grouped = multi.groupBy("doc_id", "_island").agg(F.sort_array(F.collect_list(st)).alias("_arr"))
+    # groupBy(doc_id, island) reuses the doc_id partitioning of the window (no new shuffle);
+    # one-entity islands fold trivially, so there is no separate branch to union back
+    grouped = e.groupBy("doc_id", "_island").agg(F.sort_array(F.collect_list(st)).alias("_arr"))
     elem_type = grouped.schema["_arr"].dataType.elementType.simpleString()
-    p1 = _fold(F.col("_arr"), True, elem_type)
-    p2 = _fold(p1, False, elem_type)
+    arr = F.col("_arr")
+    p1 = F.when(F.size(arr) == 1, arr).otherwise(_fold(arr, True, elem_type))
+    grouped = grouped.select("doc_id", p1.alias("_p1"))
+    p2 = F.when(F.size("_p1") == 1, F.col("_p1")).otherwise(_fold(F.col("_p1"), False, elem_type))
     folded = grouped.select("doc_id", F.explode(p2).alias("_e")).select("doc_id", "_e.*")
-    return single.unionByName(folded.select(*cols))
+    return folded.select(*cols)
 
 
 def number_entities(ents: DataFrame) -> DataFrame:

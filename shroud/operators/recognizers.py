@@ -36,6 +36,9 @@ class Spec:
     context_window: int = R.KEYWORD_WINDOW
     guard: str | None = None  # cheap regex that must be found in the text
     check: object = None  # callable(value Column) -> boolean Column, applied per span
+    # exact necessary conditions checked with substring search before the regex runs:
+    any_of: list[str] | None = None  # one of these occurs in the text
+    any_of_lower: list[str] | None = None  # one of these occurs in lower(text)
 
 
 def _digit_rule(v: Column) -> Column:
@@ -54,7 +57,7 @@ def builtin_specs() -> list[Spec]:
         Spec("SSN", "ssn_dashed", R.SSN_DASHED, R.SSN_SCORES["dashed"], context=R.SSN_KEYWORDS,
              context_score=R.SSN_SCORES["dashed_kw"], guard=digit),
         Spec("SSN", "ssn_nodash", R.SSN_NODASH, R.SSN_SCORES["nodash_kw"], context=R.SSN_KEYWORDS,
-             require_context=True, guard=digit),
+             require_context=True, guard=digit, any_of_lower=R.SSN_KEYWORDS),
         Spec("SSN", "national_id_grouped", R.SSN_GROUPED, R.SSN_SCORES["grouped"], guard=digit),
     ]
     for name, pat in R.CARD_PATTERNS:
@@ -63,21 +66,24 @@ def builtin_specs() -> list[Spec]:
     specs += [
         Spec("IP_ADDRESS", "ipv4_regex", R.IPV4, R.IP_SCORES["v4"], guard=r"[0-9]\.[0-9]"),
         Spec("IP_ADDRESS", "ipv6_regex", R.IPV6, R.IP_SCORES["v6"], guard=":"),
-        Spec("URL", "url_regex", R.URL, R.URL_SCORE),
+        Spec("URL", "url_regex", R.URL, R.URL_SCORE, any_of_lower=R.URL_GUARD),
         # contextual
         Spec("PERSON", "person_label", R.PERSON_LABEL, R.PERSON_SCORES["label"], group=True, guard=":"),
-        Spec("PERSON", "person_title", R.PERSON_TITLE, R.PERSON_SCORES["title"]),
-        Spec("COMPANY", "company_suffix", R.COMPANY, R.COMPANY_SCORE),
-        Spec("ADDRESS", "address_street", R.ADDRESS_STREET, R.ADDRESS_SCORES["pattern"], guard=digit),
-        Spec("ADDRESS", "address_po_box", R.ADDRESS_PO_BOX, R.ADDRESS_SCORES["pattern"], guard="(?i)box"),
-        Spec("ADDRESS", "address_pin", R.ADDRESS_PIN, R.ADDRESS_SCORES["pattern"], guard=digit),
+        Spec("PERSON", "person_title", R.PERSON_TITLE, R.PERSON_SCORES["title"], any_of=R.TITLE_GUARD),
+        Spec("COMPANY", "company_suffix", R.COMPANY, R.COMPANY_SCORE, any_of=R.COMPANY_GUARD),
+        Spec("ADDRESS", "address_street", R.ADDRESS_STREET, R.ADDRESS_SCORES["pattern"], guard=digit,
+             any_of=R.STREET_GUARD),
+        Spec("ADDRESS", "address_po_box", R.ADDRESS_PO_BOX, R.ADDRESS_SCORES["pattern"], any_of_lower=["box"]),
+        Spec("ADDRESS", "address_pin", R.ADDRESS_PIN, R.ADDRESS_SCORES["pattern"], guard=digit,
+             any_of_lower=["pin", "zip", "postal"]),
         Spec("ADDRESS", "address_label", R.ADDRESS_LABEL, R.ADDRESS_SCORES["label"], group=True,
+             any_of_lower=["address", "residen"],
              check=lambda v: (F.length(F.trim(v)) >= R.ADDRESS_LABEL_LEN[0])
              & (F.length(F.trim(v)) <= R.ADDRESS_LABEL_LEN[1])),
     ]
     for name, pat in R.DOB_PATTERNS:
         specs.append(Spec("DOB", name, pat, R.DOB_SCORE, context=R.DOB_KEYWORDS, require_context=True,
-                          context_window=R.DOB_WINDOW, guard=digit))
+                          context_window=R.DOB_WINDOW, guard=digit, any_of_lower=["dob", "d.o.b", "birth", "born"]))
     return specs
 
 
@@ -116,6 +122,9 @@ def _scorer(sp: Spec, t: Column):
 
 def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str]) -> DataFrame:
     """Add one ``array<struct<start,end,value>>`` column per spec (materialized in stages)."""
+    need_lower = any(sp.any_of_lower for sp in specs)
+    if need_lower:
+        df = df.select(*dict.fromkeys(keep + [text]), F.lower(F.col(text)).alias("_low"))
     pc = []
     for i, sp in enumerate(specs):
         t = F.col(text)
@@ -123,6 +132,10 @@ def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str])
         cond = t.isNotNull()
         if sp.guard is not None:
             cond = cond & (F.instr(t, sp.guard) > 0 if len(sp.guard) == 1 else t.rlike(sp.guard))
+        if sp.any_of:
+            cond = cond & has_any(t, sp.any_of)
+        if sp.any_of_lower:
+            cond = cond & has_any(F.col("_low"), sp.any_of_lower)
         pc.append(F.when(cond, split).otherwise(F.array(F.lit(""))).alias(f"_pc{i}"))
     df = df.select(*keep, *pc)
     # exclusive piece offsets: element i = original length of pieces 0..i-1

@@ -78,6 +78,9 @@ def validate(c: DataFrame, whole_word_denylist: bool = False) -> DataFrame:
         .when(structured & (sc < R.STRUCTURED_MIN), "low_score")
         .when(structured, F.lit(None))
         .when(F.col("protected"), "protected_overlap")
+        # CAND-16 short-line names skip the PERSON validators: only their own section rule
+        .when(F.col("recognizer") == "person_short_line",
+              F.when(F.col("section").isin(*R.SUPPRESSED_SECTIONS), "suppressed_section"))
         .when(is_person, F.coalesce(person_reason, F.when(person_score < R.AMBIGUOUS_MIN, "low_score")))
         .when(t.isin("COMPANY", "ORG"), F.coalesce(comp_reason, low_score))
         .when(t == "ADDRESS", F.coalesce(addr_reason, low_score))
@@ -86,7 +89,7 @@ def validate(c: DataFrame, whole_word_denylist: bool = False) -> DataFrame:
         .when(~t.isin(*KNOWN_TYPES), "unknown_type")
         .otherwise(low_score)
     )
-    conf = F.when(is_person, person_score).when(t.isin("DATE", "DATE_TIME"), F.lit(R.DATE_SCORE)).otherwise(sc)
+    conf = F.when(F.col("recognizer") == "person_short_line", sc).when(is_person, person_score).when(t.isin("DATE", "DATE_TIME"), F.lit(R.DATE_SCORE)).otherwise(sc)
     out_type = F.when(t == "ORG", "COMPANY").when(t.isin("DATE", "DATE_TIME"), "DOB").otherwise(t)
     trim = F.when(t.isin("COMPANY", "ORG"), company_trim(v)).otherwise(F.lit(0))
     c = (c.withColumn("reject_reason", reason)

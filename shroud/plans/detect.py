@@ -22,6 +22,20 @@ HEADING_T = "_HEADING"
 URLLINE_T = "_URLLINE"
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Give the CPU-bound regex stage at least two tasks per core.
+
+    Big inputs arrive in many splits and are left alone (no text shuffle); a small input read
+    as one or two splits (a single parquet row group) is hash-partitioned by ``key`` -- which
+    also makes the later per-document windows reuse this partitioning instead of shuffling.
+    """
+    sc = df.sparkSession.sparkContext
+    target = 2 * sc.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 < target:
+        return df.repartition(target, key)
+    return df
+
+
 def _event_specs(specs):
     specs = list(recognizers.builtin_specs() if specs is None else specs)
     specs.append(recognizers.short_line_spec())
@@ -33,7 +47,7 @@ def _event_specs(specs):
 def scored_candidates(docs: DataFrame, external: DataFrame | None = None, specs=None, text: str = "text",
                       doc_id: str = "doc_id", whole_word_denylist: bool = False) -> DataFrame:
     """Every candidate with ``confidence`` and ``reject_reason`` (null = approved) -- VAL-18 log."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     ev = recognizers.raw_candidates(base, _event_specs(specs))
     if external is not None:
         ev = ev.unionByName(recognizers.external_candidates(base, external))
@@ -63,14 +77,9 @@ def scored_candidates(docs: DataFrame, external: DataFrame | None = None, specs=
                                                  F.lit(False)))
     cands = ev.filter(~t.isin(HEADING_T, URLLINE_T)).drop("_hname")
 
+    # one projection for every row (no branch/union, so the extraction above runs once)
     short = F.col("recognizer") == "person_short_line"
-    validated = validate.validate(cands.filter(~short), whole_word_denylist)
-    sl = cands.filter(short).withColumn(
-        "reject_reason",
-        F.when(F.col("protected"), "protected_overlap")
-        .when(sections.in_suppressed_section(F.col("section")), "suppressed_section"),
-    ).withColumn("confidence", F.col("score"))
-    allc = validated.unionByName(sl)
+    allc = validate.validate(cands, whole_word_denylist)
     # JOIN-02: a short-line name is dropped when a validated entity has the same span
     wd = Window.partitionBy("doc_id", "start", "end")
     dup = F.max(F.when(F.col("reject_reason").isNull() & ~short, 1).otherwise(0)).over(wd) > 0

@@ -51,6 +51,14 @@ URL = (r"(?i)(?:https?://|www\.)[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
        r"|(?:linkedin\.com|github\.com|gitlab\.com|bitbucket\.org)[/A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]*")
 URL_SCORE = 0.99
 
+# substrings every match needs (pre-filters; lower-case where the pattern ignores case)
+URL_GUARD = ["://", "www.", "linkedin.com", "github.com", "gitlab.com", "bitbucket.org"]
+TITLE_GUARD = ["Mr", "Ms", "Dr", "Prof"]
+COMPANY_GUARD = ["Ltd", "Limited", "LLP", "L.L.P", "LLC", "L.L.C", "Inc", "Corp", "Technologies", "Solutions",
+                 "Systems", "Industries", "Enterprises", "Services", "Group", "Holdings", "Partners", "Associates"]
+STREET_GUARD = ["St", "Ave", "Boulevard", "Blvd", "Dr", "Lane", "Ln", "Road", "Rd", "Way", "Court", "Ct", "Cir",
+                "Pl", "Ter", "Trail", "Trl", "Parkway", "Pkwy"]
+
 STRUCTURED_TYPES = ["URL", "EMAIL", "PHONE", "SSN", "CREDIT_CARD", "IP_ADDRESS"]
 STRUCTURED_MIN = 0.85
 AMBIGUOUS_MIN = 0.80
