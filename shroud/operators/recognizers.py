@@ -111,53 +111,142 @@ def _score(spec: Spec, text: Column, s: Column) -> Column:
     return base.cast("double")
 
 
-def _scorer(sp: Spec, t: Column):
-    def f(s):
-        return F.struct(
-            F.lit(sp.type).alias("type"), F.lit(sp.name).alias("recognizer"), s["start"].alias("start"),
-            s["end"].alias("end"), s["value"].alias("value"), _score(sp, t, s).alias("score"),
-        )
-    return f
+def sql_lit(s: str) -> str:
+    """A Spark SQL raw string literal holding ``s`` verbatim (regexes keep their backslashes)."""
+    if "'" not in s:
+        return "r'" + s + "'"
+    if '"' not in s:
+        return 'r"' + s + '"'
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _any_sql(col: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"instr({col}, {sql_lit(w)}) > 0" for w in words) + ")"
+
+
+def _cut_sql(lo: str, hi: str) -> str:
+    return f"substring(text, ({lo}) + 1, greatest(({hi}) - ({lo}), 0))"
+
+
+def luhn_sql(v: str) -> str:
+    """FUN-02 in SQL: Luhn checksum over the digits of ``v`` (13..19 digits)."""
+    d = f"regexp_replace({v}, r'\\D', '')"
+    return (f"(length({d}) BETWEEN 13 AND 19 AND aggregate(zip_with(reverse(transform(split({d}, ''), ch -> int(ch))), "
+            f"sequence(0, greatest(length({d}) - 1, 0)), (x, i) -> IF(i % 2 = 1, IF(x * 2 > 9, x * 2 - 9, x * 2), x)), "
+            f"0, (acc, y) -> acc + y) % 10 = 0)")
+
+
+def _check_sql(sp: Spec, v: str) -> str | None:
+    if sp.check is None:
+        return None
+    if sp.check is _digit_rule:
+        return f"length(regexp_replace({v}, r'\\D', '')) BETWEEN 10 AND 15"
+    if sp.check is luhn_ok:
+        return luhn_sql(v)
+    return None
+
+
+def _score_sql(sp: Spec) -> str:
+    """SQL over lambda variable ``s`` (start, end, value) and column ``text``; NULL drops the span."""
+    base = repr(float(sp.score))
+    if sp.context:
+        w = sp.context_window
+        win = f"lower({_cut_sql(f'greatest(s.start - {w}, 0)', f'least(s.end + {w}, length(text))')})"
+        kw = _any_sql(win, sp.context)
+        if sp.require_context:
+            base = f"CASE WHEN {kw} THEN {base} END"
+        elif sp.context_score is not None:
+            base = f"CASE WHEN {kw} THEN {float(sp.context_score)!r} ELSE {base} END"
+        elif sp.boost:
+            base = f"CASE WHEN {kw} THEN round(least({base} + {sp.boost!r}, 1.0), 2) ELSE {base} END"
+    chk = _check_sql(sp, "s.value")
+    if chk is None and sp.check is not None:
+        chk = "__COLUMN_CHECK__"
+    if chk is not None:
+        base = f"CASE WHEN {chk} THEN {base} END"
+    return f"CAST({base} AS DOUBLE)"
 
 
 def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str]) -> DataFrame:
-    """Add one ``array<struct<start,end,value>>`` column per spec (materialized in stages)."""
+    """Add one ``array<struct<start,end,value>>`` column ``_sp{i}`` per spec, in three projections
+    (pieces -> piece offsets -> spans) so each regex runs once per row."""
     need_lower = any(sp.any_of_lower for sp in specs)
+    cols = list(dict.fromkeys(keep + [text]))
     if need_lower:
-        df = df.select(*dict.fromkeys(keep + [text]), F.lower(F.col(text)).alias("_low"))
-    pc = []
+        df = df.selectExpr(*cols, f"lower({text}) AS _low")
+    pcs = []
     for i, sp in enumerate(specs):
-        t = F.col(text)
-        split = F.split(mark(t, sp.pattern, sp.group), OPEN, -1)
-        cond = t.isNotNull()
+        cond = [f"{text} IS NOT NULL"]
         if sp.guard is not None:
-            cond = cond & (F.instr(t, sp.guard) > 0 if len(sp.guard) == 1 else t.rlike(sp.guard))
+            cond.append(f"instr({text}, {sql_lit(sp.guard)}) > 0" if len(sp.guard) == 1
+                        else f"{text} RLIKE {sql_lit(sp.guard)}")
         if sp.any_of:
-            cond = cond & has_any(t, sp.any_of)
+            cond.append(_any_sql(text, sp.any_of))
         if sp.any_of_lower:
-            cond = cond & has_any(F.col("_low"), sp.any_of_lower)
-        pc.append(F.when(cond, split).otherwise(F.array(F.lit(""))).alias(f"_pc{i}"))
-    df = df.select(*keep, *pc)
-    # exclusive piece offsets: element i = original length of pieces 0..i-1
-    def offsets(col):
-        return F.transform(col, lambda p, j: F.when(j == 0, F.lit(0)).otherwise(
-            F.length(F.get(col, j - 1)) - F.when(j > 1, 1).otherwise(0)))
-
-    shifted = [offsets(F.col(f"_pc{i}")).alias(f"_ln{i}") for i in range(len(specs))]
-    df = df.select(*keep, *[F.col(f"_pc{i}") for i in range(len(specs))], *shifted)
-    spans = []
-    for i in range(len(specs)):
-        z = F.zip_with(
-            F.col(f"_pc{i}"),
-            prefix_sum(F.col(f"_ln{i}")),
-            lambda p, s: F.struct(
-                s.cast("int").alias("start"),
-                (s + F.length(F.substring_index(p, "\x02", 1))).cast("int").alias("end"),
-                F.substring_index(p, "\x02", 1).alias("value"),
-            ),
-        )
-        spans.append(F.slice(z, 2, F.greatest(F.size(z) - 1, F.lit(0))).alias(f"_sp{i}"))
-    return df.select(*keep, *spans)
+            cond.append(_any_sql("_low", sp.any_of_lower))
+        # '$' and '{pre}' are split so SQL variable substitution never sees a ${...} token
+        repl = ("concat('$', '{pre}', chr(1), '$', '{val}', chr(2))" if sp.group
+                else "concat(chr(1), '$0', chr(2))")
+        marked = f"regexp_replace(translate({text}, concat(chr(1), chr(2)), '  '), {sql_lit(sp.pattern)}, {repl})"
+        pcs.append(f"CASE WHEN {' AND '.join(cond)} THEN split({marked}, chr(1), -1) ELSE array('') END AS _pc{i}")
+    df = df.selectExpr(*keep, *pcs)
+    n = len(specs)
+    lns = [f"transform(_pc{i}, (p, j) -> IF(j = 0, 0, length(_pc{i}[j - 1]) - IF(j > 1, 1, 0))) AS _ln{i}"
+           for i in range(n)]
+    df = df.selectExpr(*keep, *[f"_pc{i}" for i in range(n)], *lns)
+    sps = []
+    for i in range(n):
+        pre = (f"aggregate(sequence(0, greatest(0, int(ceil(log2(size(_ln{i})))))), _ln{i}, (acc, k) -> "
+               f"transform(acc, (x, j) -> x + IF(j >= int(pow(2, k)), acc[j - int(pow(2, k))], 0)))")
+        z = (f"zip_with(_pc{i}, {pre}, (p, s) -> named_struct('start', int(s), "
+             f"'end', int(s + length(substring_index(p, chr(2), 1))), 'value', substring_index(p, chr(2), 1)))")
+        sps.append(f"slice({z}, 2, greatest(size(_pc{i}) - 1, 0)) AS _sp{i}")
+    return df.selectExpr(*keep, *sps)
+
+
+FEATURES_SQL = None  # built lazily (depends on rules)
+
+
+def _features_sql() -> str:
+    """SQL turning candidate ``c`` into the feature struct (uses columns text, _fl_start, _fl_line)."""
+    street = f"IF(c.type = 'PERSON', regexp_extract(c.value, {sql_lit(R.PERSON_STREET_SUFFIX)}, 1), '')"
+    pv = f"substring(c.value, 1, length(c.value) - length({street}))"
+    cs = f"(c.start + IF(c.type IN ('COMPANY', 'ORG'), {company_trim_sql('c.value')}, 0))"
+    ce = f"(c.end - length({street}))"
+    return (
+        "named_struct('type', c.type, 'recognizer', c.recognizer, 'start', c.start, 'end', c.end, "
+        "'value', c.value, 'score', c.score, "
+        f"'context', {para_context_sql(cs, ce)}, "
+        f"'left30', {_cut_sql('greatest(c.start - 30, 0)', 'c.start')}, "
+        f"'left10', {_cut_sql('greatest(c.start - 10, 0)', 'c.start')}, "
+        f"'left20', {_cut_sql(f'greatest(c.start - {R.IP_VERSION_WINDOW}, 0)', 'c.start')}, "
+        f"'right5', {_cut_sql('c.end', 'least(c.end + 5, length(text))')}, "
+        f"'ip_tail', {_cut_sql('c.start', f'least(c.end + {R.IP_URL_LOOKAHEAD}, length(text))')}, "
+        f"'in_first_line', instr(_fl_line, {pv}) > 0)"
+    )
+
+
+def para_context_sql(s: str, e: str, n: int = 40) -> str:
+    lo = f"greatest(({s}) - {n}, 0)"
+    hi = f"least(({e}) + {n}, length(text))"
+    raw = _cut_sql(lo, hi)
+    left = _cut_sql(lo, s)
+    k = f"locate(concat(chr(10), chr(10)), reverse({left}))"
+    new_lo = f"IF({k} > 0, {lo} + length({left}) - {k} + 1, {lo})"
+    j = f"locate(concat(chr(10), chr(10)), {_cut_sql(e, hi)})"
+    new_hi = f"IF({j} > 0, ({e}) + {j} - 1, {hi})"
+    return f"IF(instr({raw}, concat(chr(10), chr(10))) > 0, {_cut_sql(new_lo, new_hi)}, {raw})"
+
+
+def company_trim_sql(v: str) -> str:
+    """VAL-12 in SQL: characters to drop from the front of a COMPANY value."""
+    ctx = ", ".join(sql_lit(w) for w in R.COMPANY_CONTEXT_WORDS)
+    toks = f"split(trim({v}), r'\\s+')"
+    flags = f"transform({toks}, t -> array_contains(array({ctx}), lower(t)) OR t RLIKE r'^\\p{{Ll}}')"
+    first_keep = f"array_position(transform({flags}, b -> NOT b), true)"
+    n = f"IF({first_keep} = 0, size({toks}), {first_keep} - 1)"
+    rest = f"element_at(split(regexp_replace({v}, r'^\\s+', ''), r'\\s+', {n} + 1), -1)"
+    return f"IF({n} > 0 AND {n} < size({toks}), length({v}) - length({rest}), 0)"
 
 
 def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str = "text",
@@ -165,28 +254,39 @@ def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str =
     """All raw candidates (CAND-01..18e, CAND-20), one row each, with validator features.
 
     Output: doc_id, type, recognizer, start, end, value, score, context, left30, left10,
-    right5, right20, in_first_line. No text column.
+    left20, right5, ip_tail, in_first_line. No text column.
     """
     specs = builtin_specs() if specs is None else specs
-    t = F.col(text)
-    base = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"))
-    keep = ["doc_id", "text"]
-    staged = _staged_spans(base, specs, "text", keep)
-    t = F.col("text")
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    staged = _staged_spans(base, specs, "text", ["doc_id", "text"])
     per_spec = []
+    col_checks = []
     for i, sp in enumerate(specs):
-        scored = F.transform(
-            F.col(f"_sp{i}"),
-            _scorer(sp, t),
-        )
-        per_spec.append(F.filter(scored, lambda c: c["score"].isNotNull()))
-    allc = F.concat(*per_spec) if len(per_spec) > 1 else per_spec[0]
-    first = first_line_span(t)
+        sc = _score_sql(sp)
+        if "__COLUMN_CHECK__" in sc:  # user check given as a Column function: applied after explode
+            col_checks.append((sp.name, sp.check))
+            sc = sc.replace("__COLUMN_CHECK__", "true")
+        per_spec.append(
+            f"filter(transform(_sp{i}, s -> named_struct('type', {sql_lit(sp.type)}, 'recognizer', "
+            f"{sql_lit(sp.name)}, 'start', s.start, 'end', s.end, 'value', s.value, 'score', {sc})), "
+            f"c -> c.score IS NOT NULL)")
+    allc = f"concat({', '.join(per_spec)})" if len(per_spec) > 1 else per_spec[0]
+    fl_lead = r"length(regexp_extract(text, r'^((?:[ \t\r\f\x0B]*\n)*)', 1))"
+    fl_line = r"regexp_extract(text, r'^(?:[ \t\r\f\x0B]*\n)*([^\n]*)', 1)"
+    cands = staged.selectExpr("doc_id", "text", f"{fl_lead} AS _fl_start", f"{fl_line} AS _fl_line",
+                              f"{allc} AS _c")
     if with_header:
-        allc = F.concat(allc, header_candidate(t, first))
-    cands = staged.select("doc_id", "text", first.alias("_fl"), allc.alias("_c"))
-    feats = F.transform(F.col("_c"), lambda c: _features(F.col("text"), F.col("_fl"), c))
-    return cands.select("doc_id", F.inline(feats))
+        strip = r"regexp_replace(_fl_line, r'^\s+|\s+$', '')"
+        lead = r"length(regexp_extract(_fl_line, r'^(\s*)', 1))"
+        hdr = (f"IF(text IS NOT NULL AND {strip} RLIKE {sql_lit(R.PERSON_HEADER)}, "
+               f"array(named_struct('type', 'PERSON', 'recognizer', 'person_header', 'start', int(_fl_start + {lead}), "
+               f"'end', int(_fl_start + {lead} + length({strip})), 'value', {strip}, "
+               f"'score', CAST({R.PERSON_SCORES['header']!r} AS DOUBLE))), array())")
+        cands = cands.selectExpr("doc_id", "text", "_fl_line", f"concat(_c, {hdr}) AS _c")
+    out = cands.selectExpr("doc_id", f"inline(transform(_c, c -> {_features_sql()}))")
+    for name, chk in col_checks:
+        out = out.filter((F.col("recognizer") != name) | chk(F.col("value")))
+    return out
 
 
 def first_line_span(text: Column) -> Column:
