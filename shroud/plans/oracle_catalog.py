@@ -34,3 +34,18 @@ ORACLE = {
     "CAND-18d": cand(["address_label"]),
     "CAND-18e": cand([n for n, _ in R.DOB_PATTERNS]),
 }
+
+
+def scored(select: str) -> str:
+    return O.with_corpus(f"WITH scored AS ({O.scored_sql()}) {select}")
+
+
+def ents(select: str) -> str:
+    return O.with_corpus(f"WITH ents AS ({O.entities_sql()}) {select}")
+
+
+ORACLE.update({
+    "VAL-18": scored("SELECT type, coalesce(reject_reason, 'approved') AS reason, CAST(count(*) AS BIGINT) AS n "
+                     "FROM scored GROUP BY ALL"),
+    "OVL-02": ents("SELECT * FROM ents"),
+})
