@@ -172,7 +172,7 @@ def _strip(s: str) -> str:
     return f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
 
 
-def raw_candidates_sql(corpus: str = "corpus") -> str:
+def raw_candidates_sql(corpus: str = "corpus", external: str | None = None) -> str:
     """Union of all spans with score and features (doc_id, type, recognizer, start, end_, value, score, ...)."""
     parts = []
     for type_, rec, re2, mode in SPECS:
@@ -190,21 +190,26 @@ def raw_candidates_sql(corpus: str = "corpus") -> str:
         f"WHEN {q(rec)} THEN {score_sql(rec)}" for _, rec, _, _ in SPECS + [("", "person_header", "", 0)]
     ) + " END"
     score_cases = score_cases.replace("WHEN 'person_header' THEN 1.0", "WHEN 'person_header' THEN 0.95")
+    ext = ""
+    if external:
+        ext = (f" UNION ALL SELECT x.doc_id, CASE WHEN x.entity_type = 'ORG' THEN 'COMPANY' ELSE x.entity_type END, "
+               f"'external', x.start, x.\"end\", substring(c2.text, x.start + 1, x.\"end\" - x.start), "
+               f"x.entity_type, x.score FROM {external} x JOIN {corpus} c2 USING (doc_id)")
     return f"""
-    SELECT s.doc_id, s.type, s.recognizer, s.start, s."end" AS end_, s.value, c.text FROM (
-      {spans} UNION ALL {header}
+    SELECT s.doc_id, s.type, s.recognizer, s.start, s."end" AS end_, s.value, c.text, s.ext_ FROM (
+      SELECT *, CAST(NULL AS DOUBLE) AS ext_ FROM ({spans} UNION ALL {header}) {ext}
     ) s JOIN {corpus} c USING (doc_id)"""
 
 
-def scored_sql(corpus: str = "corpus") -> str:
+def scored_sql(corpus: str = "corpus", external: str | None = None) -> str:
     """Every candidate with confidence and reject_reason (DuckDB restatement of the detect plan)."""
     score_cases = "CASE recognizer " + " ".join(
         f"WHEN {q(rec)} THEN {score_sql(rec)}" for _, rec, _, _ in SPECS) + " WHEN 'person_header' THEN 0.95 END"
     street = f"regexp_extract(value, {q(R.PERSON_STREET_SUFFIX)}, 1)"
     first_line = r"regexp_extract(text, '^(?:[ \t\r\f\v]*\n)*([^\n]*)', 1)"
     return f"""
-    WITH raw AS ({raw_candidates_sql(corpus)}),
-    sc AS (SELECT *, CAST({score_cases} AS DOUBLE) AS score FROM raw),
+    WITH raw AS ({raw_candidates_sql(corpus, external)}),
+    sc AS (SELECT *, CAST(coalesce(ext_, {score_cases}) AS DOUBLE) AS score FROM raw),
     ev AS (SELECT * FROM sc WHERE score IS NOT NULL),
     heads AS (SELECT doc_id, start AS hstart,
                      coalesce(element_at(MAP {{{", ".join(f"{q(k)}: {q(v)}" for k, v in R.SECTION_NAMES.items())}}},
@@ -263,13 +268,19 @@ def scored_sql(corpus: str = "corpus") -> str:
             CASE WHEN right(left10, 1) IN ('.', '#') THEN 'address_prefix'
                  WHEN regexp_matches(left10, {q(R.ADDRESS_HEADING_NUMBER)}) THEN 'address_heading_number'
                  WHEN score < 0.80 THEN 'low_score' END
+          WHEN type IN ('DATE', 'DATE_TIME') THEN
+            CASE WHEN NOT regexp_matches(lower({_para_context_sql('start', 'end_')}), {q(_birth_re())}) THEN 'no_birth_keyword' END
+          WHEN type = 'LOCATION' THEN 'location'
+          WHEN type NOT IN ('ADDRESS', 'DOB', 'COMPANY', 'PERSON', 'IP_ADDRESS', 'SSN', 'PHONE', 'EMAIL', 'CREDIT_CARD', 'URL') THEN 'unknown_type'
           WHEN score < 0.80 THEN 'low_score'
         END AS reject_reason,
-        CASE WHEN type = 'PERSON' AND recognizer <> 'person_short_line' THEN {_person_score_sql()} ELSE score END AS confidence
+        CASE WHEN type = 'PERSON' AND recognizer <> 'person_short_line' THEN {_person_score_sql()}
+             WHEN type IN ('DATE', 'DATE_TIME') THEN 0.90 ELSE score END AS confidence
       FROM feat2
     ),
     shifted AS (
-      SELECT doc_id, type, recognizer, score, protected, section, reject_reason, confidence, text,
+      SELECT doc_id, CASE WHEN type IN ('DATE', 'DATE_TIME') THEN 'DOB' ELSE type END AS type,
+             recognizer, score, protected, section, reject_reason, confidence, text, ext_,
              CAST(start + trim_ AS BIGINT) AS start,
              substr(pv_, trim_ + 1) AS value,
              left10
@@ -290,10 +301,15 @@ def scored_sql(corpus: str = "corpus") -> str:
     )
     SELECT doc_id, type, recognizer, CAST(start - length(pre_) AS BIGINT) AS start,
            CAST(start + length(value) AS BIGINT) AS "end", pre_ || value AS value, confidence, reason2 AS reject_reason,
+           section,
            {_para_context_sql('start', 'start + length(value)')} AS context
     FROM dob"""
 
 
+def _birth_re() -> str:
+    return r"\b(?:" + "|".join(w.replace(".", r"\.") for w in R.DATE_BIRTH_WORDS) + r")\b"
+
+
 def _company_trim_sql() -> str:
     ctx_words = ", ".join(q(w) for w in R.COMPANY_CONTEXT_WORDS)
     body = "regexp_replace(value, '^\\s+', '')"

@@ -75,7 +75,212 @@ def q_reason(reasons: list[str]):
     return q
 
 
+def q_src01(spark, sf):
+    return S.read_docs(spark, f"{sf}/documents.parquet", keep=["lang"])
+
+
+def _uploads(spark, sf):
+    d = S.read_table(spark, sf, "documents")
+    return d.select("doc_id", F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"),
+                    F.octet_length("text").cast("bigint").alias("length"), "text")
+
+
+def q_src03(spark, sf):
+    return S.intake(_uploads(spark, sf)).select("doc_id", "name", "reject_reason")
+
+
+def q_src04(spark, sf):
+    return _uploads(spark, sf).select("doc_id", redact.redacted_name(F.col("name")).alias("redacted_name"))
+
+
+def q_sect01(spark, sf):
+    return _big(sections.headings(D.spread(corpus(spark, sf))), "start", "end")
+
+
+def q_sect02(spark, sf):
+    h = sections.headings(D.spread(corpus(spark, sf)))
+    return h.groupBy("raw", "name").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def q_sect03(spark, sf):
+    return _big(sections.sections(D.spread(corpus(spark, sf))), "ord", "start", "end")
+
+
+def q_sect04(spark, sf):
+    s = scored(spark, sf).filter(F.col("type") == "PERSON")
+    return _big(s.select("doc_id", "recognizer", "start", "section"), "start")
+
+
+def q_join03(spark, sf):
+    s = scored(spark, sf)
+    return _big(s.select("doc_id", "type", "recognizer", "start", "section"), "start")
+
+
+def q_sect05(spark, sf):
+    s = scored(spark, sf).filter(F.col("type") == "PERSON")
+    return s.groupBy("doc_id").agg(F.sum(sections.in_suppressed_section(F.col("section")).cast("int")).cast("bigint")
+                                   .alias("suppressed"), F.count(F.lit(1)).cast("bigint").alias("person_candidates"))
+
+
+def external(spark, sf):
+    """Stand-in NER output derived from the dossiers (CAND-19 input): a PERSON without title, the
+    city as LOCATION, the employer as ORG and the date-of-birth / years phrases as DATE."""
+    d = S.dossiers(spark, sf)
+    return d.selectExpr(f"inline(array({', '.join(EXTERNAL_SQL)}))", "doc_id").select(
+        "doc_id", "entity_type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score")
+
+
+EXTERNAL_SQL = [
+    "named_struct('entity_type', 'PERSON', 'start', instr(text, 'Dr. ') + 3, "
+    "'end', instr(text, ' reviewed the file.') - 1, 'score', 0.85D)",
+    "named_struct('entity_type', 'LOCATION', 'start', instr(text, 'Springfield') - 1, "
+    "'end', instr(text, 'Springfield') + 10, 'score', 0.85D)",
+    "named_struct('entity_type', 'ORG', 'start', instr(text, 'Employed by ') + 11, "
+    "'end', instr(text, ' for ') - 1, 'score', 0.85D)",
+    "named_struct('entity_type', 'DATE', 'start', instr(text, ' for ') + 4, "
+    "'end', instr(text, ' years.') + 5, 'score', 0.85D)",
+    "named_struct('entity_type', 'DATE', 'start', instr(text, 'Date of birth: ') + 14, "
+    "'end', instr(text, 'Date of birth: ') + 24, 'score', 0.85D)",
+    "named_struct('entity_type', 'CARDINAL', 'start', instr(text, 'covers ') + 6, "
+    "'end', instr(text, ' orders.') - 1, 'score', 0.85D)",
+]
+
+
+def scored_ext(spark, sf):
+    c = corpus(spark, sf)
+    return D.scored_candidates(c, external=external(spark, sf))
+
+
+def q_cand19(spark, sf):
+    s = scored_ext(spark, sf).filter(F.col("recognizer") == "external")
+    return _big(s.select(*SCORED_COLS), "start", "end")
+
+
+INVOICE_SPEC = Spec("INVOICE_NO", "invoice_number", r"(?<pre>\bInvoice )(?<val>\d+)", 0.9, group=True, guard="Invoice")
+
+
+def q_cand20(spark, sf):
+    r = recognizers.raw_candidates(D.spread(corpus(spark, sf)), [INVOICE_SPEC], with_header=False)
+    return _big(r.select(*CAND_COLS), "start", "end")
+
+
+def q_udf01(spark, sf):
+    """User recognizer through the whole detect plan: an unknown type is rejected (VAL-16)."""
+    s = D.scored_candidates(corpus(spark, sf), specs=recognizers.builtin_specs() + [INVOICE_SPEC])
+    return _big(s.filter(F.col("type") == "INVOICE_NO").select(*SCORED_COLS), "start", "end")
+
+
+def q_ctx01(spark, sf):
+    from ..functions.spans import context, find_spans
+    c = D.spread(corpus(spark, sf))
+    sp = c.select("doc_id", "text", find_spans(F.col("text"), R.EMAIL, guard=F.instr("text", "@") > 0).alias("s"))
+    e = sp.select("doc_id", "text", F.explode("s").alias("m"))
+    return _big(e.select("doc_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"),
+                         context(F.col("text"), F.col("m.start"), F.col("m.end"), 80).alias("context")), "start", "end")
+
+
+def q_ctx02(spark, sf):
+    return _big(entities(spark, sf).select("doc_id", "id", "start", "context"), "id", "start")
+
+
+def q_ctx03(spark, sf):
+    r = raw(spark, sf).filter((F.col("type") == "PHONE") & (F.col("score") > 0.9))
+    return _big(r.select(*CAND_COLS), "start", "end")
+
+
+def q_val01(spark, sf):
+    from ..operators.validate import is_structured
+    r = raw(spark, sf)
+    return r.groupBy("type", is_structured(F.col("type")).alias("structured")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def q_val02(spark, sf):
+    s = scored(spark, sf).filter(F.col("reject_reason").isNull())
+    return s.groupBy("type").agg(F.count(F.lit(1)).cast("bigint").alias("approved"),
+                                 F.min("confidence").alias("min_confidence"))
+
+
+def q_conf(types, recs=None, confs=None):
+    def q(spark, sf):
+        s = scored_view(spark, sf).filter(F.col("type").isin(*types) & F.col("reject_reason").isNull())
+        if recs:
+            s = s.filter(F.col("recognizer").isin(*recs))
+        if confs:
+            s = s.filter(F.col("confidence").isin(*confs))
+        return s
+    return q
+
+
+def q_val15(spark, sf):
+    s = scored_ext(spark, sf).filter((F.col("recognizer") == "external") & (F.col("type") == "DOB"))
+    return _big(s.select(*SCORED_COLS), "start", "end")
+
+
+def q_val16(spark, sf):
+    s = scored_ext(spark, sf).filter(F.col("reject_reason").isin("location", "unknown_type"))
+    return _big(s.select(*SCORED_COLS), "start", "end")
+
+
+def q_val17(spark, sf):
+    s = scored_view(spark, sf).filter((F.col("type") == "DOB") & F.col("reject_reason").isNull()
+                                      & F.col("value").rlike(r"(?i)^\d{1,2}(st|nd|rd|th)\s"))
+    return s
+
+
+def approved(spark, sf):
+    return scored(spark, sf).filter(F.col("reject_reason").isNull())
+
+
+def q_ovl01(spark, sf):
+    a = approved(spark, sf)
+    return _big(a.select("doc_id", "type", "recognizer", "start", "end", "confidence"), "start", "end")
+
+
+def q_ovl03(spark, sf):
+    a = approved(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("candidates"))
+    e = entities(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("entities"))
+    return a.join(e, "doc_id", "left").fillna(0, ["entities"])
+
+
+def q_ovl04(spark, sf):
+    """OVL-04: every entity value equals the text at its span (joined back to the corpus)."""
+    e = entities(spark, sf)
+    c = corpus(spark, sf)
+    j = e.join(c, "doc_id").withColumn("ok", F.expr("substring(text, start + 1, `end` - start) = value"))
+    return j.agg(F.count(F.lit(1)).cast("bigint").alias("checked"),
+                 F.sum(F.when(F.col("ok"), 0).otherwise(1)).cast("bigint").alias("mismatched"))
+
+
+def q_ovl05(spark, sf):
+    from pyspark.sql import Window
+    a = approved(spark, sf)
+    w = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("confidence"), "type", "recognizer", "value")
+    pm = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    a = a.withColumn("_new", F.when(pm.isNull() | (F.col("start") > pm), 1).otherwise(0))
+    a = a.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    i = a.groupBy("doc_id", "island").agg(F.min("start").cast("bigint").alias("start"),
+                                          F.max("end").cast("bigint").alias("end"),
+                                          F.count(F.lit(1)).cast("bigint").alias("size"))
+    return i.filter(F.col("size") > 1).drop("island")
+
+
+def q_ovl06(spark, sf):
+    return _big(overlap.overlapping_pairs(entities(spark, sf)).select("doc_id", "id", "start", "end"), "id", "start", "end")
+
+
+def q_ovl07(spark, sf):
+    return _big(entities(spark, sf).select("doc_id", "id", "type", "start"), "id", "start")
+
+
 QUERIES = {
+    "SRC-01": q_src01,
+    "SRC-03": q_src03,
+    "SRC-04": q_src04,
+    "SECT-01": q_sect01,
+    "SECT-02": q_sect02,
+    "SECT-03": q_sect03,
+    "SECT-04": q_sect04,
+    "SECT-05": q_sect05,
     "CAND-01": cand(["email_regex"]),
     "CAND-02": cand(["indian_phone"]),
     "CAND-03": cand(["us_phone"]),
@@ -98,6 +303,36 @@ QUERIES = {
     "CAND-18c": cand(["address_pin"]),
     "CAND-18d": cand(["address_label"]),
     "CAND-18e": cand([n for n, _ in R.DOB_PATTERNS]),
+    "CAND-19": q_cand19,
+    "CAND-20": q_cand20,
+    "UDF-01": q_udf01,
+    "CTX-01": q_ctx01,
+    "CTX-02": q_ctx02,
+    "CTX-03": q_ctx03,
+    "JOIN-01": q_reason(["protected_overlap"]),
+    "JOIN-02": q_reason(["duplicate_span"]),
+    "JOIN-03": q_join03,
+    "VAL-01": q_val01,
+    "VAL-02": q_val02,
+    "VAL-03": q_reason(["ip_version_or_url"]),
+    "VAL-05": q_reason(["suppressed_section"]),
+    "VAL-07": q_reason(["tech_denylist", "field_name"]),
+    "VAL-08": q_reason(["label_colon"]),
+    "VAL-09": q_conf(["PERSON"], confs=[R.PERSON_SCORES["label_ctx"]]),
+    "VAL-10": q_conf(["PERSON"], recs=["person_header"]),
+    "VAL-11": q_reason(["company_lowercase", "company_no_suffix"]),
+    "VAL-12": q_conf(["COMPANY"]),
+    "VAL-13": q_reason(["company_institution"]),
+    "VAL-14": q_reason(["address_prefix", "address_heading_number"]),
+    "VAL-15": q_val15,
+    "VAL-16": q_val16,
+    "VAL-17": q_val17,
     "VAL-18": q_rejections,
+    "OVL-01": q_ovl01,
     "OVL-02": entity_view,
+    "OVL-03": q_ovl03,
+    "OVL-04": q_ovl04,
+    "OVL-05": q_ovl05,
+    "OVL-06": q_ovl06,
+    "OVL-07": q_ovl07,
 }

@@ -1 +1,142 @@
-"""Evaluation operators (EVAL-01..09) -- filled below."""
+"""Evaluation operators (EVAL-01..09) against a truth table, traps and human overrides.
+
+``truth(doc_id, type, value)`` lists every expected entity occurrence; matching is on
+(doc_id, type, value, occurrence number), so a value expected twice must be found twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _numbered(df: DataFrame, order: str | None) -> DataFrame:
+    w = Window.partitionBy("doc_id", "type", "value").orderBy(order or "value")
+    return df.withColumn("occ", F.row_number().over(w))
+
+
+def match(entities: DataFrame, truth: DataFrame) -> DataFrame:
+    """EVAL-01: (doc_id, type, value, occ, predicted, expected) via a full outer join."""
+    p = _numbered(entities.select("doc_id", "type", "value", "start"), "start").drop("start").withColumn("predicted", F.lit(1))
+    t = _numbered(truth.select("doc_id", "type", "value"), None).withColumn("expected", F.lit(1))
+    j = p.join(t, ["doc_id", "type", "value", "occ"], "full_outer")
+    return j.select("doc_id", "type", "value", "occ", F.coalesce("predicted", F.lit(0)).alias("predicted"),
+                    F.coalesce("expected", F.lit(0)).alias("expected"))
+
+
+def confusion(entities: DataFrame, truth: DataFrame) -> DataFrame:
+    """EVAL-01: tp, fp, fn per type."""
+    m = match(entities, truth)
+    return m.groupBy("type").agg(
+        F.sum(F.col("predicted") * F.col("expected")).cast("bigint").alias("tp"),
+        F.sum(F.col("predicted") * (1 - F.col("expected"))).cast("bigint").alias("fp"),
+        F.sum((1 - F.col("predicted")) * F.col("expected")).cast("bigint").alias("fn"),
+    )
+
+
+def _safe_div(a, b):
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def prf(entities: DataFrame, truth: DataFrame) -> DataFrame:
+    """EVAL-02: precision, recall, F1 per type (rounded to 4)."""
+    c = confusion(entities, truth)
+    p = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
+    r = _safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
+    c = c.withColumn("precision", p).withColumn("recall", r)
+    f1 = _safe_div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return c.select("type", "tp", "fp", "fn", F.round("precision", 4).alias("precision"),
+                    F.round("recall", 4).alias("recall"), F.round(f1, 4).alias("f1"))
+
+
+def micro_macro(entities: DataFrame, truth: DataFrame) -> DataFrame:
+    """EVAL-03: micro F1 over all counts, macro F1 = unweighted mean of the per-type F1."""
+    c = confusion(entities, truth)
+    per = c.withColumn("p", _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))) \
+           .withColumn("r", _safe_div(F.col("tp"), F.col("tp") + F.col("fn")))
+    per = per.withColumn("f1", _safe_div(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+    tot = per.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.avg("f1").alias("macro"))
+    mp = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
+    mr = _safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
+    return tot.select(F.round(_safe_div(2 * mp * mr, mp + mr), 4).alias("micro_f1"),
+                      F.round("macro", 4).alias("macro_f1"))
+
+
+def token_metrics(tokens: DataFrame, entities: DataFrame, truth_spans: DataFrame) -> DataFrame:
+    """EVAL-04: token-level tp/fp/fn/tn, precision, recall, F1, accuracy.
+
+    ``tokens(doc_id, start, end)``; a token is predicted / expected when it overlaps an
+    entity / truth span of the same document (equi join on doc_id + overlap predicate)."""
+    def flag(spans, name):
+        j = tokens.alias("t").join(spans.alias("s"), (F.col("t.doc_id") == F.col("s.doc_id"))
+                                   & (F.col("s.start") < F.col("t.end")) & (F.col("s.end") > F.col("t.start")), "left_semi")
+        return j.select("doc_id", "start").withColumn(name, F.lit(1))
+    t = tokens.select("doc_id", "start").join(flag(entities, "pred"), ["doc_id", "start"], "left") \
+              .join(flag(truth_spans, "exp"), ["doc_id", "start"], "left") \
+              .fillna(0, ["pred", "exp"])
+    a = t.agg(F.sum(F.col("pred") * F.col("exp")).alias("tp"), F.sum(F.col("pred") * (1 - F.col("exp"))).alias("fp"),
+              F.sum((1 - F.col("pred")) * F.col("exp")).alias("fn"),
+              F.sum((1 - F.col("pred")) * (1 - F.col("exp"))).alias("tn"))
+    p = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
+    r = _safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
+    return a.select(*[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "tn")],
+                    F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"),
+                    F.round(_safe_div(2 * p * r, p + r), 4).alias("f1"),
+                    F.round(_safe_div(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), 4).alias("accuracy"))
+
+
+def determinism(entities_with_replacement: DataFrame) -> DataFrame:
+    """EVAL-05: share of (type, normalized value) with exactly one replacement corpus-wide."""
+    e = entities_with_replacement.withColumn("norm", F.lower(F.regexp_replace("value", r"^\s+|\s+$", "")))
+    k = e.groupBy("type", "norm").agg(F.count_distinct("replacement").alias("n"))
+    return k.agg(F.count(F.lit(1)).cast("bigint").alias("keys"),
+                 F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).cast("bigint").alias("deterministic")) \
+            .withColumn("rate", F.round(_safe_div(F.col("deterministic"), F.col("keys")), 4))
+
+
+def overlap_accuracy(approved: DataFrame, entities: DataFrame, truth: DataFrame) -> DataFrame:
+    """EVAL-06: among spans where candidates collided, share whose surviving entity is a truth value."""
+    w = Window.partitionBy("doc_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    a = approved.withColumn("_pm", F.max("end").over(w))
+    a = a.withColumn("_new", F.when(F.col("_pm").isNull() | (F.col("start") >= F.col("_pm")), 1).otherwise(0))
+    w2 = Window.partitionBy("doc_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    a = a.withColumn("_isl", F.sum("_new").over(w2))
+    isl = a.groupBy("doc_id", "_isl").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("s"), F.max("end").alias("e"))
+    coll = isl.filter(F.col("n") > 1)
+    won = entities.alias("x").join(coll.alias("c"), (F.col("x.doc_id") == F.col("c.doc_id"))
+                                   & (F.col("x.start") >= F.col("c.s")) & (F.col("x.end") <= F.col("c.e")))
+    won = won.select("x.doc_id", "x.type", "x.value").distinct()
+    t = truth.select("doc_id", "type", "value").distinct().withColumn("good", F.lit(1))
+    flagged = won.join(t, ["doc_id", "type", "value"], "left")
+    return flagged.agg(F.count(F.lit(1)).cast("bigint").alias("resolved"),
+                       F.count("good").cast("bigint").alias("correct")) \
+        .withColumn("accuracy", F.round(_safe_div(F.col("correct"), F.col("resolved")), 4))
+
+
+def trap_report(entities: DataFrame, traps: DataFrame) -> DataFrame:
+    """EVAL-07: per trap value, how many entities overlap one of its occurrences (expect 0)."""
+    j = traps.alias("t").join(entities.alias("e"), (F.col("t.doc_id") == F.col("e.doc_id"))
+                              & (F.col("e.start") < F.col("t.end")) & (F.col("e.end") > F.col("t.start"))
+                              & (F.col("t.must_not_type").isNull() | (F.col("t.must_not_type") == F.col("e.type"))), "left")
+    return j.groupBy(F.col("t.value").alias("trap")).agg(
+        F.count("t.doc_id").cast("bigint").alias("occurrences"),
+        F.count("e.doc_id").cast("bigint").alias("flagged"))
+
+
+def funnel(scored: DataFrame, entities: DataFrame) -> DataFrame:
+    """EVAL-08: raw candidates, rejected by validation, approved, kept after overlap resolution."""
+    rows = scored.select(F.when(F.col("reject_reason").isNull(), "approved").otherwise("rejected").alias("stage")) \
+        .unionByName(entities.select(F.lit("final").alias("stage")))
+    return rows.agg(
+        F.sum(F.when(F.col("stage") != "final", 1).otherwise(0)).cast("bigint").alias("raw"),
+        F.sum(F.when(F.col("stage") == "rejected", 1).otherwise(0)).cast("bigint").alias("rejected"),
+        F.sum(F.when(F.col("stage") == "approved", 1).otherwise(0)).cast("bigint").alias("approved"),
+        F.sum(F.when(F.col("stage") == "final", 1).otherwise(0)).cast("bigint").alias("final"))
+
+
+def correction_rate(entities_with_edits: DataFrame) -> DataFrame:
+    """EVAL-09: share of entities whose replacement a human overrode."""
+    return entities_with_edits.agg(
+        F.count(F.lit(1)).cast("bigint").alias("entities"),
+        F.sum(F.when(F.col("edited"), 1).otherwise(0)).cast("bigint").alias("edited")) \
+        .withColumn("rate", F.round(_safe_div(F.col("edited"), F.col("entities")), 4))

@@ -49,3 +49,126 @@ ORACLE.update({
                      "FROM scored GROUP BY ALL"),
     "OVL-02": ents("SELECT * FROM ents"),
 })
+
+
+SCORED_COLS = 'doc_id, type, recognizer, start, "end", value, confidence, reject_reason'
+
+EXTERNAL = " UNION ALL ".join([
+    "SELECT doc_id, 'PERSON' AS entity_type, instr(text, 'Dr. ') + 3 AS start, instr(text, ' reviewed the file.') - 1 AS \"end\", 0.85::DOUBLE AS score FROM dossiers",
+    "SELECT doc_id, 'LOCATION', instr(text, 'Springfield') - 1, instr(text, 'Springfield') + 10, 0.85::DOUBLE FROM dossiers",
+    "SELECT doc_id, 'ORG', instr(text, 'Employed by ') + 11, instr(text, ' for ') - 1, 0.85::DOUBLE FROM dossiers",
+    "SELECT doc_id, 'DATE', instr(text, ' for ') + 4, instr(text, ' years.') + 5, 0.85::DOUBLE FROM dossiers",
+    "SELECT doc_id, 'DATE', instr(text, 'Date of birth: ') + 14, instr(text, 'Date of birth: ') + 24, 0.85::DOUBLE FROM dossiers",
+    "SELECT doc_id, 'CARDINAL', instr(text, 'covers ') + 6, instr(text, ' orders.') - 1, 0.85::DOUBLE FROM dossiers",
+])
+
+
+def scored_ext(select: str) -> str:
+    dossiers = O.dossier_sql("customer", "orders", dialect="duckdb")
+    return O.with_corpus(f"WITH dossiers AS ({dossiers}), ext AS ({EXTERNAL}), "
+                         f"scored AS ({O.scored_sql(external='ext')}) {select}")
+
+
+def reason(reasons):
+    rl = ", ".join(O.q(r) for r in reasons)
+    return scored(f"SELECT {SCORED_COLS} FROM scored WHERE reject_reason IN ({rl})")
+
+
+def conf(types, recs=None, confs=None):
+    w = [f"type IN ({', '.join(O.q(t) for t in types)})", "reject_reason IS NULL"]
+    if recs:
+        w.append(f"recognizer IN ({', '.join(O.q(r) for r in recs)})")
+    if confs:
+        w.append(f"confidence IN ({', '.join(repr(float(c)) for c in confs)})")
+    return scored(f"SELECT {SCORED_COLS} FROM scored WHERE {' AND '.join(w)}")
+
+
+UPLOADS = ("SELECT doc_id, source || '_' || CAST(doc_id AS VARCHAR) || '.docx' AS name, "
+           "CAST(octet_length(encode(text)) AS BIGINT) AS length, text FROM documents")
+
+HEAD_NAME = ("coalesce(element_at(MAP {" + ", ".join(f"{O.q(k)}: {O.q(v)}" for k, v in R.SECTION_NAMES.items())
+             + "}, lower(raw))[1], upper(raw))")
+HEADINGS = (f"SELECT doc_id, start, \"end\", raw, {HEAD_NAME} AS name FROM (SELECT doc_id, start, \"end\", "
+            f"trim(regexp_extract(value, '^[ \\t]*([A-Z][A-Z &/\\-]+[A-Z])', 1)) AS raw FROM ("
+            f"{O.span_sql('corpus', R.HEADING.replace('(?md)', '(?m)'), 0, '_HEADING', 'heading')}))")
+
+ORACLE.update({
+    "SRC-01": "SELECT doc_id, text, lang FROM documents",
+    "SRC-03": f"SELECT doc_id, name, CASE WHEN NOT ends_with(lower(name), '.docx') THEN 'not_docx' "
+              f"WHEN length > {R.MAX_UPLOAD_BYTES} THEN 'too_large' "
+              f"WHEN text IS NULL OR length(trim(text)) = 0 THEN 'empty' END AS reject_reason FROM ({UPLOADS})",
+    "SRC-04": f"SELECT doc_id, regexp_extract(name, '^(.*)\\.[^.]*$', 1) || '_REDACTED.docx' AS redacted_name FROM ({UPLOADS})",
+    "SECT-01": O.with_corpus(HEADINGS),
+    "SECT-02": O.with_corpus(f"SELECT raw, name, CAST(count(*) AS BIGINT) AS n FROM ({HEADINGS}) GROUP BY ALL"),
+    "SECT-03": O.with_corpus(f"""WITH h AS ({HEADINGS}),
+        hs AS (SELECT h.doc_id, h.name, h.start, coalesce(lead(h.start) OVER (PARTITION BY h.doc_id ORDER BY h.start),
+                      length(c.text)) AS "end", row_number() OVER (PARTITION BY h.doc_id ORDER BY h.start) AS rn
+               FROM h JOIN corpus c USING (doc_id)),
+        first AS (SELECT doc_id, min(start) AS fs FROM h GROUP BY doc_id),
+        secs AS (
+          SELECT doc_id, 'HEADER' AS name, 0 AS start, fs AS "end", 0 AS rn FROM first WHERE fs > 0
+          UNION ALL SELECT doc_id, name, start, "end", rn FROM hs
+          UNION ALL SELECT doc_id, 'BODY', 0, length(text), 0 FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM first))
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rn) - 1 AS BIGINT) AS ord, name,
+               CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM secs"""),
+    "SECT-04": scored("SELECT doc_id, recognizer, start, section FROM scored WHERE type = 'PERSON'"),
+    "JOIN-03": scored("SELECT doc_id, type, recognizer, start, section FROM scored"),
+    "SECT-05": scored("SELECT doc_id, CAST(sum(CASE WHEN section IN ("
+                      + ", ".join(O.q(x) for x in R.SUPPRESSED_SECTIONS)
+                      + ") THEN 1 ELSE 0 END) AS BIGINT) AS suppressed, CAST(count(*) AS BIGINT) AS person_candidates "
+                        "FROM scored WHERE type = 'PERSON' GROUP BY doc_id"),
+    "CAND-19": scored_ext(f"SELECT {SCORED_COLS} FROM scored WHERE recognizer = 'external'"),
+    "CAND-20": O.with_corpus(f"SELECT doc_id, type, recognizer, start, \"end\", value, 0.9::DOUBLE AS score FROM ("
+                             + O.span_sql("(SELECT * FROM corpus WHERE strpos(text, 'Invoice') > 0)",
+                                          r"(\bInvoice )(\d+)", 2, "INVOICE_NO", "invoice_number") + ")"),
+    "CTX-01": O.with_corpus("SELECT s.doc_id, s.start, s.\"end\", substring(c.text, greatest(s.start - 80, 0) + 1, "
+                            "least(s.\"end\" + 80, length(c.text)) - greatest(s.start - 80, 0)) AS context FROM ("
+                            + O.span_sql("corpus", R.EMAIL, 0, "EMAIL", "email_regex")
+                            + ") s JOIN corpus c USING (doc_id)"),
+    "CTX-02": ents("SELECT doc_id, id, start, context FROM ents"),
+    "CTX-03": O.with_corpus(O.candidates_sql(["indian_phone", "us_phone", "indian_landline", "dotted_phone"])
+                            .replace("WHERE score IS NOT NULL", "WHERE score IS NOT NULL AND score > 0.9")),
+    "JOIN-01": reason(["protected_overlap"]),
+    "JOIN-02": reason(["duplicate_span"]),
+    "VAL-01": O.with_corpus(O.candidates_sql([rec for _, rec, _, _ in O.SPECS if not rec.startswith(("heading", "url_line"))]
+                                             + ["person_header"]).replace(
+        'SELECT doc_id, type, recognizer, start, end_ AS "end", value, score FROM sc WHERE score IS NOT NULL',
+        "SELECT type, type IN ('URL', 'EMAIL', 'PHONE', 'SSN', 'CREDIT_CARD', 'IP_ADDRESS') AS structured, "
+        "CAST(count(*) AS BIGINT) AS n FROM sc WHERE score IS NOT NULL GROUP BY ALL")),
+    "VAL-02": scored("SELECT type, CAST(count(*) AS BIGINT) AS approved, min(confidence) AS min_confidence "
+                     "FROM scored WHERE reject_reason IS NULL GROUP BY type"),
+    "VAL-03": reason(["ip_version_or_url"]),
+    "VAL-05": reason(["suppressed_section"]),
+    "VAL-07": reason(["tech_denylist", "field_name"]),
+    "VAL-08": reason(["label_colon"]),
+    "VAL-09": conf(["PERSON"], confs=[R.PERSON_SCORES["label_ctx"]]),
+    "VAL-10": conf(["PERSON"], recs=["person_header"]),
+    "VAL-11": reason(["company_lowercase", "company_no_suffix"]),
+    "VAL-12": conf(["COMPANY"]),
+    "VAL-13": reason(["company_institution"]),
+    "VAL-14": reason(["address_prefix", "address_heading_number"]),
+    "VAL-15": scored_ext(f"SELECT {SCORED_COLS} FROM scored WHERE recognizer = 'external' AND type = 'DOB'"),
+    "VAL-16": scored_ext(f"SELECT {SCORED_COLS} FROM scored WHERE reject_reason IN ('location', 'unknown_type')"),
+    "VAL-17": scored(f"SELECT {SCORED_COLS} FROM scored WHERE type = 'DOB' AND reject_reason IS NULL "
+                     "AND regexp_matches(value, '(?i)^\\d{1,2}(st|nd|rd|th)\\s')"),
+    "OVL-01": scored("SELECT doc_id, type, recognizer, start, \"end\", confidence FROM scored WHERE reject_reason IS NULL"),
+    "OVL-03": O.with_corpus(f"""WITH scored AS ({O.scored_sql()}), ents AS ({O.entities_sql()}),
+        a AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS candidates FROM scored WHERE reject_reason IS NULL GROUP BY doc_id),
+        e AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS entities FROM ents GROUP BY doc_id)
+        SELECT a.doc_id, a.candidates, coalesce(e.entities, 0) AS entities FROM a LEFT JOIN e USING (doc_id)"""),
+    "OVL-04": ents("SELECT CAST(count(*) AS BIGINT) AS checked, CAST(sum(CASE WHEN substring(c.text, e.start + 1, "
+                   "e.\"end\" - e.start) = e.value THEN 0 ELSE 1 END) AS BIGINT) AS mismatched "
+                   "FROM ents e JOIN corpus c USING (doc_id)"),
+    "OVL-05": scored("""SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end",
+        CAST(count(*) AS BIGINT) AS size FROM (
+          SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, confidence DESC, type, recognizer, value
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (
+            SELECT *, CASE WHEN pm IS NULL OR start > pm THEN 1 ELSE 0 END AS nw FROM (
+              SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, confidence DESC, type, recognizer, value
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+              FROM scored WHERE reject_reason IS NULL)))
+        GROUP BY doc_id, island HAVING count(*) > 1"""),
+    "OVL-06": ents('SELECT a.doc_id, a.id, a.start, a."end" FROM ents a JOIN ents b ON a.doc_id = b.doc_id '
+                   'AND b.id < a.id AND a.start < b."end" AND b.start < a."end"'),
+    "OVL-07": ents("SELECT doc_id, id, type, start FROM ents"),
+})
