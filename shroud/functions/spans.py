@@ -153,8 +153,8 @@ def ordinal(n: Column) -> Column:
 def is_private_ipv4(ip: Column) -> Column:
     """RFC 1918 ranges 10/8, 172.16/12, 192.168/16 (FUN-05)."""
     parts = F.split(ip, r"\.")
-    o1 = F.get(parts, 0).cast("int")
-    o2 = F.get(parts, 1).cast("int")
+    o1 = F.get(parts, 0).try_cast("int")
+    o2 = F.get(parts, 1).try_cast("int")
     return (F.size(parts) == 4) & ((o1 == 10) | ((o1 == 172) & (o2 >= 16) & (o2 <= 31)) | ((o1 == 192) & (o2 == 168)))
 
 

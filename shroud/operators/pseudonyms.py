@@ -124,13 +124,13 @@ def dob_parts(form: Column) -> tuple[Column, Column, Column]:
     """(year, month, day) of an original date in any of the detected shapes (null if absent)."""
     iso = r"^(\d{4})-(\d{2})-(\d{2})"
     mdy = r"^(\d{2})[/\-](\d{2})[/\-](\d{4})"
-    year = F.regexp_extract(form, r"((?:19|20)\d{2})", 1).cast("int")
-    month = (F.when(form.rlike(iso), F.regexp_extract(form, iso, 2).cast("int"))
-             .when(form.rlike(mdy), F.regexp_extract(form, mdy, 1).cast("int"))
+    year = F.regexp_extract(form, r"((?:19|20)\d{2})", 1).try_cast("int")
+    month = (F.when(form.rlike(iso), F.regexp_extract(form, iso, 2).try_cast("int"))
+             .when(form.rlike(mdy), F.regexp_extract(form, mdy, 1).try_cast("int"))
              .otherwise(_month_index(form)))
-    day = (F.when(form.rlike(iso), F.regexp_extract(form, iso, 3).cast("int"))
-           .when(form.rlike(mdy), F.regexp_extract(form, mdy, 2).cast("int"))
-           .otherwise(F.regexp_extract(form, r"(?<![0-9])(\d{1,2})(?![0-9])(?:st|nd|rd|th)?(?![0-9])", 1).cast("int")))
+    day = (F.when(form.rlike(iso), F.regexp_extract(form, iso, 3).try_cast("int"))
+           .when(form.rlike(mdy), F.regexp_extract(form, mdy, 2).try_cast("int"))
+           .otherwise(F.regexp_extract(form, r"(?<![0-9])(\d{1,2})(?![0-9])", 1).try_cast("int")))
     return year, month, day
 
 
@@ -167,7 +167,7 @@ def gen_dob(form: Column, key: Column, b: Column) -> Column:
 def gen_ip(form: Column, key: Column, b: Column) -> Column:
     hexes = [F.lower(F.hex(rint(key, i, 0, 65535, b if i == 0 else None))) for i in range(8)]
     v6 = F.concat_ws(":", *hexes)
-    o1 = F.get(F.split(form, r"\."), 0).cast("int")
+    o1 = F.get(F.split(form, r"\."), 0).try_cast("int")
     last = rint(key, 3, 1, 254, b).cast("string")
     private = (
         F.when(o1 == 10, F.concat_ws(".", F.lit("10"), rint(key, 1, 0, 255).cast("string"),

@@ -23,7 +23,7 @@ def heading_map() -> Column:
 
 
 def canonical_heading(raw: Column) -> Column:
-    return F.coalesce(F.element_at(heading_map(), F.lower(raw)), F.upper(raw))
+    return F.coalesce(F.try_element_at(heading_map(), F.lower(raw)), F.upper(raw))
 
 
 def headings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

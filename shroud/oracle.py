@@ -383,3 +383,146 @@ def with_corpus(body: str) -> str:
     if b.upper().startswith("WITH "):
         return f"WITH corpus AS ({corpus_sql()}), {b[5:]}"
     return f"WITH corpus AS ({corpus_sql()}) {b}"
+
+
+# ------------------------------------------------------------------ pseudonyms (DuckDB)
+
+def _draw(slot: int, n: int, bump: str | None = None) -> str:
+    h = f"CAST('0x' || substr(md5(k || '|{slot}'), 1, 8) AS BIGINT)"
+    if bump:
+        h = f"({h} + {bump})"
+    return f"({h} % {n})"
+
+
+def _rint(slot: int, lo: int, hi: int, bump: str | None = None) -> str:
+    return f"({_draw(slot, hi - lo + 1, bump)} + {lo})"
+
+
+def _pick(values: list[str], slot: int, bump: str | None = None) -> str:
+    lst = "[" + ", ".join(q(v) for v in values) + "]"
+    return f"{lst}[{_draw(slot, len(values), bump)} + 1]"
+
+
+def _s(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+def _digits(b: str) -> str:
+    ds = "lpad(CAST(CAST('0x' || substr(md5(k || '|0'), 1, 15) AS UBIGINT) AS VARCHAR), 18, '0')"
+    return f"(CAST((CAST(substr({ds}, 1, 1) AS INT) + {b}) % 10 AS VARCHAR) || substr({ds}, 2, 17))"
+
+
+def _ordinal(d: str) -> str:
+    return (f"({_s(d)} || CASE WHEN {d} BETWEEN 11 AND 13 THEN 'th' WHEN {d} % 10 = 1 THEN 'st' "
+            f"WHEN {d} % 10 = 2 THEN 'nd' WHEN {d} % 10 = 3 THEN 'rd' ELSE 'th' END)")
+
+
+def _avoid(slot: int, lo: int, hi: int, orig: str) -> str:
+    x = f"({_draw(slot, hi - lo)} + {lo})"
+    return f"(CASE WHEN {orig} IS NOT NULL AND {x} >= {orig} AND {orig} BETWEEN {lo} AND {hi} THEN {x} + 1 ELSE {x} END)"
+
+
+def generator_sql(b: str) -> str:
+    """Replacement for (type, form, k) with bump ``b`` -- the PSE-03..12 formulas in SQL."""
+    f = "form"
+    strip = f"regexp_replace({f}, '^\\s+|\\s+$', '', 'g')"
+    parts = f"len(string_split_regex({strip}, '\\s+'))"
+    first = _pick(R.FIRST_NAMES, 0, b)
+    last = _pick(R.LAST_NAMES, 2)
+    person = (f"CASE WHEN {parts} >= 3 THEN {first} || ' ' || chr(CAST({_rint(1, 65, 90)} AS INT)) || '. ' || {last} "
+              f"WHEN {parts} = 2 THEN {first} || ' ' || {last} ELSE {first} END")
+    email = f"{_pick(R.EMAIL_NAMES, 0, b)} || {_s(_rint(1, 10, 999))} || '@' || {_pick(R.EMAIL_DOMAINS, 2)}"
+    ext_re = "(?i)\\s*(ext\\.?|x|extension)\\s*(\\d{1,5})$"
+    has_ext = f"regexp_matches({f}, {q(ext_re)})"
+    base = f"(CASE WHEN {has_ext} THEN regexp_replace({f}, {q(ext_re)}, '') ELSE {f} END)"
+    d = _digits(b)
+
+    def sd(i, n):
+        return f"substr({d}, {i}, {n})"
+    body = (f"CASE WHEN starts_with({base}, '+91') THEN '+91-9' || {sd(1, 9)} "
+            f"WHEN starts_with({base}, '+') THEN '+1-' || {sd(1, 3)} || '-' || {sd(4, 3)} || '-' || {sd(7, 4)} "
+            f"WHEN strpos({base}, '(') > 0 THEN '(' || {sd(1, 3)} || ') ' || {sd(4, 3)} || '-' || {sd(7, 4)} "
+            f"WHEN strpos({base}, '.') > 0 THEN {sd(1, 3)} || '.' || {sd(4, 3)} || '.' || {sd(7, 4)} "
+            f"WHEN regexp_matches({base}, '^0\\d{{2,4}}[\\s\\-]') THEN '0' || {sd(1, 2)} || '-' || {sd(3, 4)} || '-' || {sd(7, 4)} "
+            f"ELSE {sd(1, 3)} || '-' || {sd(4, 3)} || '-' || {sd(7, 4)} END")
+    phone = (f"CASE WHEN {has_ext} THEN ({body}) || ' ' || regexp_extract({f}, {q(ext_re)}, 1) || ' ' || "
+             f"{_s(_rint(1, 100, 999))} ELSE ({body}) END")
+    compact = f"regexp_replace({f}, '[ -]', '', 'g')"
+    ssn = (f"CASE WHEN length({compact}) = 12 THEN {sd(1, 4)} || ' ' || {sd(5, 4)} || ' ' || {sd(9, 4)} "
+           f"WHEN strpos({f}, '-') > 0 THEN {sd(1, 3)} || '-' || {sd(4, 2)} || '-' || {sd(6, 4)} ELSE {sd(1, 9)} END")
+    num = f"('4' || {sd(1, 15)})"
+    g = [f"substr({num}, {i}, 4)" for i in (1, 5, 9, 13)]
+    dash_sep, space_sep = " || '-' || ", " || ' ' || "
+    card = (f"CASE WHEN strpos({f}, '-') > 0 THEN {dash_sep.join(g)} "
+            f"WHEN strpos({f}, ' ') > 0 THEN {space_sep.join(g)} ELSE {num} END")
+    iso, mdy = "^(\\d{4})-(\\d{2})-(\\d{2})", "^(\\d{2})[/\\-](\\d{2})[/\\-](\\d{4})"
+    mon = f"lower(regexp_extract({f}, '(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)', 1))"
+    mon_ix = f"CASE WHEN {mon} <> '' THEN list_position([{', '.join(q(m.lower()) for m in R.SHORT_MONTHS)}], {mon}) END"
+    oy = f"TRY_CAST(regexp_extract({f}, '((?:19|20)\\d{{2}})', 1) AS INT)"
+    om = (f"CASE WHEN regexp_matches({f}, {q(iso)}) THEN TRY_CAST(regexp_extract({f}, {q(iso)}, 2) AS INT) "
+          f"WHEN regexp_matches({f}, {q(mdy)}) THEN TRY_CAST(regexp_extract({f}, {q(mdy)}, 1) AS INT) ELSE {mon_ix} END")
+    od = (f"CASE WHEN regexp_matches({f}, {q(iso)}) THEN TRY_CAST(regexp_extract({f}, {q(iso)}, 3) AS INT) "
+          f"WHEN regexp_matches({f}, {q(mdy)}) THEN TRY_CAST(regexp_extract({f}, {q(mdy)}, 2) AS INT) "
+          f"ELSE TRY_CAST(regexp_extract({f}, '(?:^|[^0-9])([0-9]{{1,2}})(?:[^0-9]|$)', 1) AS INT) END")
+    y = _avoid(0, R.DOB_YEARS[0], R.DOB_YEARS[1], f"({oy})")
+    m = _avoid(1, 1, 12, f"({om})")
+    dd = _avoid(2, R.DOB_DAYS[0], R.DOB_DAYS[1], f"({od})")
+    months = "[" + ", ".join(q(x) for x in R.MONTHS) + "]"
+    shorts = "[" + ", ".join(q(x) for x in R.SHORT_MONTHS) + "]"
+    ys, ms, ds2 = f"lpad({_s(y)}, 4, '0')", f"lpad({_s(m)}, 2, '0')", f"lpad({_s(dd)}, 2, '0')"
+    short_used = f"regexp_matches({f}, '(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\\b')"
+    dob = (f"CASE WHEN regexp_matches({f}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN {ys} || '-' || {ms} || '-' || {ds2} "
+           f"WHEN regexp_matches({f}, '^\\d{{2}}/\\d{{2}}/\\d{{4}}') THEN {ms} || '/' || {ds2} || '/' || {ys} "
+           f"WHEN regexp_matches({f}, '^\\d{{2}}-\\d{{2}}-\\d{{4}}') THEN {ms} || '-' || {ds2} || '-' || {ys} "
+           f"WHEN regexp_matches({f}, '(?i)^\\d{{1,2}}(?:st|nd|rd|th)\\s+[A-Za-z]+') THEN {_ordinal(dd)} || ' ' || "
+           f"CASE WHEN {short_used} THEN {shorts}[{m}] ELSE {months}[{m}] END || ' ' || {ys} "
+           f"WHEN regexp_matches({f}, '^[A-Za-z]+\\s+\\d') THEN {months}[{m}] || ' ' || {ds2} || ', ' || {ys} "
+           f"WHEN regexp_matches({f}, '^\\d{{1,2}}\\s+[A-Za-z]+') THEN {ds2} || ' ' || {months}[{m}] || ' ' || {ys} "
+           f"ELSE {ms} || '/' || {ds2} || '/' || {ys} END")
+    v6 = " || ':' || ".join(f"lower(hex({_rint(i, 0, 65535, b if i == 0 else None)}))" for i in range(8))
+    o = f"string_split({f}, '.')"
+    o1, o2 = f"TRY_CAST({o}[1] AS INT)", f"TRY_CAST({o}[2] AS INT)"
+    private = f"(len({o}) = 4 AND ({o1} = 10 OR ({o1} = 172 AND {o2} BETWEEN 16 AND 31) OR ({o1} = 192 AND {o2} = 168)))"
+    lastoct = _s(_rint(3, 1, 254, b))
+    ip = (f"CASE WHEN strpos({f}, ':') > 0 THEN {v6} "
+          f"WHEN {private} THEN CASE WHEN {o1} = 10 THEN '10.' || {_s(_rint(1, 0, 255))} || '.' || {_s(_rint(2, 0, 254))} || '.' || {lastoct} "
+          f"WHEN {o1} = 172 THEN '172.' || {_s(_rint(1, 16, 31))} || '.' || {_s(_rint(2, 0, 254))} || '.' || {lastoct} "
+          f"ELSE '192.168.' || {_s(_rint(2, 0, 254))} || '.' || {lastoct} END "
+          f"ELSE {_pick(R.TEST_NETS, 1)} || '.' || {lastoct} END")
+    company = f"{_pick(R.COMPANY_PREFIXES, 0, b)} || ' ' || {_pick(R.COMPANY_SUFFIX_POOL, 1)}"
+    low = f"lower({f})"
+    n = _s(_rint(0, 1, 999, b))
+    india = f"(strpos({low}, 'india') > 0 OR strpos({low}, 'bengaluru') > 0 OR regexp_matches({f}, '\\b\\d{{6}}\\b'))"
+    uk = (f"(strpos({low}, 'uk') > 0 OR strpos({low}, 'united kingdom') > 0 OR strpos({low}, 'london') > 0 OR "
+          f"regexp_matches({f}, '(?i)\\b[A-Z]{{1,2}}\\d[A-Z\\d]? \\d[A-Z]{{2}}\\b'))")
+    address = (f"CASE WHEN regexp_matches({f}, '(?i)^P\\.?O\\.?\\s*Box') THEN 'P.O. Box ' || {_s(_rint(0, 100, 9999, b))} "
+               f"WHEN {india} THEN {n} || ' Main Street, Bangalore, Karnataka ' || {_s(_rint(1, 500000, 599999))} || ', India' "
+               f"WHEN {uk} THEN {n} || ' High Street, London, SW1A 1AA, United Kingdom' "
+               f"ELSE {n} || ' Maple Ave, Springfield, IL ' || {_s(_rint(1, 10000, 99999))} END")
+    up = f"string_split(regexp_replace({f}, '/+$', ''), '/')"
+    url = (f"CASE WHEN len({up}) <= 1 OR (len({up}) = 3 AND starts_with({up}[1], 'http')) THEN {f} "
+           f"ELSE array_to_string(list_concat(list_slice({up}, 1, len({up}) - 1), ['user' || {_s(_rint(0, 1000, 9999, b))}]), '/') END")
+    return (f"CASE type WHEN 'PERSON' THEN {person} WHEN 'EMAIL' THEN {email} WHEN 'PHONE' THEN {phone} "
+            f"WHEN 'SSN' THEN {ssn} WHEN 'CREDIT_CARD' THEN {card} WHEN 'DOB' THEN {dob} WHEN 'IP_ADDRESS' THEN {ip} "
+            f"WHEN 'COMPANY' THEN {company} WHEN 'ADDRESS' THEN {address} WHEN 'URL' THEN {url} END")
+
+
+KNOWN = "('PERSON', 'EMAIL', 'PHONE', 'SSN', 'CREDIT_CARD', 'DOB', 'IP_ADDRESS', 'COMPANY', 'ADDRESS', 'URL')"
+
+
+def mapping_sql(src: str, salt: str = "shroud", scope: str = "corpus") -> str:
+    """PSE-02: one row per (type, norm) [per doc for scope=document] with form, occurrences, replacement."""
+    keys = "type, norm" if scope == "corpus" else "doc_id, type, norm"
+    key = (f"{q(salt)} || '|' || type || '|' || norm" if scope == "corpus"
+           else f"{q(salt)} || '|' || CAST(doc_id AS VARCHAR) || '|' || type || '|' || norm")
+    part = "type" if scope == "corpus" else "doc_id, type"
+    return f"""
+    SELECT {keys}, form, occurrences,
+           CASE WHEN type IN {KNOWN} THEN CASE WHEN r0 = form AND type <> 'URL' THEN r1 ELSE r0 END
+                ELSE '[' || type || '_' || CAST(dense_rank() OVER (PARTITION BY {part} ORDER BY fd, fs) AS VARCHAR) || ']' END
+           AS replacement
+    FROM (SELECT *, {generator_sql('0')} AS r0, {generator_sql('1')} AS r1 FROM (
+      SELECT *, {key} AS k FROM (
+        SELECT {keys}, first(value ORDER BY doc_id, start) AS form, first(doc_id ORDER BY doc_id, start) AS fd,
+               first(start ORDER BY doc_id, start) AS fs, CAST(count(*) AS BIGINT) AS occurrences
+        FROM (SELECT *, lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) AS norm FROM {src}) GROUP BY {keys})))"""

@@ -336,3 +336,271 @@ QUERIES = {
     "OVL-06": q_ovl06,
     "OVL-07": q_ovl07,
 }
+
+
+# ------------------------------------------------------------------ pseudonyms, redaction, stats
+
+MAP_COLS = ["type", "norm", "form", "occurrences", "replacement"]
+
+
+def mapping(spark, sf, scope="corpus"):
+    return pseudonyms.pseudonym_mapping(entities(spark, sf), scope=scope)
+
+
+def pseudonymized(spark, sf):
+    """Entities with replacement (JOIN-04). Checkpointed at the end of the detection so the
+    mapping and the redaction read it once (the reliable checkpoint dir of the session)."""
+    return pseudonyms.pseudonymize(entities(spark, sf))
+
+
+def q_pse01(spark, sf):
+    e = entities(spark, sf)
+    return e.select("type", "value", pseudonyms.normalize(F.col("value")).alias("norm")).distinct()
+
+
+def q_pse02(spark, sf):
+    return _big(mapping(spark, sf).select(*MAP_COLS), "occurrences")
+
+
+def q_pse_type(types):
+    def q(spark, sf):
+        return _big(mapping(spark, sf).filter(F.col("type").isin(*types)).select(*MAP_COLS), "occurrences")
+    return q
+
+
+def q_pse13(spark, sf):
+    """Values of a type without a generator get ``[TYPE_n]`` by first appearance."""
+    r = recognizers.raw_candidates(D.spread(corpus(spark, sf)), [INVOICE_SPEC], with_header=False)
+    m = pseudonyms.pseudonym_mapping(r.select("doc_id", "type", "start", "value"))
+    return _big(m.select(*MAP_COLS), "occurrences")
+
+
+def q_pse14(spark, sf):
+    m = mapping(spark, sf)
+    return m.groupBy("type").agg(F.count(F.lit(1)).cast("bigint").alias("values"),
+                                 F.sum(F.when(F.col("replacement") == F.col("form"), 1).otherwise(0)).cast("bigint")
+                                 .alias("unchanged"))
+
+
+def q_pse15(spark, sf):
+    m = mapping(spark, sf, scope="document")
+    return _big(m.select("doc_id", *MAP_COLS), "occurrences")
+
+
+def q_join04(spark, sf):
+    p = pseudonymized(spark, sf)
+    return _big(p.select("doc_id", "id", "type", "value", "replacement"), "id")
+
+
+def overrides(spark, sf):
+    """Human edits derived from the entities: EMAIL replacements of even documents are rewritten."""
+    e = entities(spark, sf)
+    return e.filter((F.col("type") == "EMAIL") & (F.col("doc_id") % 2 == 0)).select(
+        "doc_id", "id", F.lit("redacted@example.org").alias("replacement"))
+
+
+def q_join05(spark, sf):
+    e = redact.apply_overrides(pseudonymized(spark, sf), overrides(spark, sf))
+    return _big(e.select("doc_id", "id", "replacement", "edited"), "id")
+
+
+def redacted(spark, sf, with_overrides=False):
+    ents = pseudonymized(spark, sf)
+    if with_overrides:
+        ents = redact.apply_overrides(ents, overrides(spark, sf))
+    return redact.redact_offsets(corpus(spark, sf), ents)
+
+
+def q_red01(spark, sf):
+    return redacted(spark, sf).select("doc_id", "redacted_text")
+
+
+def parts(spark, sf):
+    c = corpus(spark, sf)
+    return c.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ix", "text")) \
+            .withColumn("ix", F.col("ix").cast("bigint"))
+
+
+def q_red02(spark, sf):
+    r = redact.redact_values(parts(spark, sf), pseudonymized(spark, sf))
+    return r.select("doc_id", "ix", "redacted_text", "changed")
+
+
+def q_red03(spark, sf):
+    r = redact.redact_values(parts(spark, sf), pseudonymized(spark, sf))
+    return r.groupBy("doc_id").agg(F.sum(F.col("changed").cast("int")).cast("bigint").alias("changed_parts"),
+                                   F.count(F.lit(1)).cast("bigint").alias("parts"))
+
+
+def q_red04(spark, sf):
+    return redacted(spark, sf, with_overrides=True).select("doc_id", "redacted_text")
+
+
+def q_red05(spark, sf):
+    r = redacted(spark, sf)
+    return _big(redact.comparison_rows(r), "para")
+
+
+def doc_stats_flat(docs, ents):
+    s = stats.doc_stats(docs, ents)
+    by = F.array_join(F.sort_array(F.transform(F.map_entries("entities_by_type"),
+                                               lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",")
+    return s.select("doc_id", "total_entities", by.alias("entities_by_type"), "avg_confidence")
+
+
+def q_agg01(spark, sf):
+    return doc_stats_flat(corpus(spark, sf), entities(spark, sf))
+
+
+def q_agg02(spark, sf):
+    return stats.type_counts(entities(spark, sf))
+
+
+def q_agg03(spark, sf):
+    return stats.distinct_types(entities(spark, sf))
+
+
+def q_agg04(spark, sf):
+    return stats.type_confidence(entities(spark, sf))
+
+
+def q_agg05(spark, sf):
+    return stats.nonempty_tabs(entities(spark, sf))
+
+
+def q_agg06(spark, sf):
+    return _big(stats.review_queue(entities(spark, sf)).select("doc_id", "id", "type", "value", "confidence"), "id")
+
+
+def q_agg07(spark, sf):
+    return stats.worksheet(pseudonymized(spark, sf))
+
+
+def flagship(spark, sf):
+    """Detect -> pseudonymize -> redact, with per-document statistics."""
+    c = corpus(spark, sf)
+    ents = pseudonyms.pseudonymize(D.detect(c))
+    red = redact.redact_offsets(c, ents).select("doc_id", "redacted_text")
+    return doc_stats_flat(c, ents).join(red, "doc_id")
+
+
+# ------------------------------------------------------------------ evaluation
+
+TRUTH_PATTERNS = [
+    ("PERSON", r"^([^\n]*)"), ("PERSON", r"\nName: ([^\n]*)"), ("EMAIL", r"\nEmail: ([^\n]*)"),
+    ("PHONE", r"\nPhone: ([^\n]*)"), ("PHONE", r"\nMobile: ([^\n]*)"), ("SSN", r"\nSSN: ([^\n]*)"),
+    ("DOB", r"\n(?:Date of birth: |Born on |DOB: )([^\n]*)"), ("ADDRESS", r"\nAddress: ([^\n]*)"),
+    ("CREDIT_CARD", r"\nCard: ([^\n]*)"), ("IP_ADDRESS", r"\nServer IP: ([^\n]*)"),
+    ("COMPANY", r"\nEmployed by ([^\n]*) for [0-9]+ years"), ("PERSON", r"\nDr\. ([^\n]*) reviewed"),
+]
+TRAPS = ["91.211.49.166", "Spring Boot", "Data Structures", "Kisan Platform"]
+
+
+def truth(spark, sf):
+    """Expected entities of every dossier, read back from its labelled lines."""
+    d = S.dossiers(spark, sf)
+    rows = [F.struct(F.lit(t).alias("type"), F.regexp_extract("text", p, 1).alias("value")) for t, p in TRUTH_PATTERNS]
+    return d.select("doc_id", F.inline(F.array(*rows)))
+
+
+def traps(spark, sf):
+    d = S.dossiers(spark, sf)
+    inv = F.regexp_extract("text", r"\nInvoice ([0-9]+) ", 1)
+    rows = [F.struct(F.lit(v).alias("value"), (F.instr("text", v) - 1).alias("start")) for v in TRAPS]
+    rows.append(F.struct(inv.alias("value"), (F.instr("text", "\nInvoice ") + 8).alias("start")))
+    t = d.select("doc_id", F.inline(F.array(*rows)))
+    return t.withColumn("end", F.col("start") + F.length("value")).withColumn("must_not_type", F.lit(None).cast("string"))
+
+
+def dossier_entities(spark, sf):
+    return entities(spark, sf).filter(F.col("doc_id") >= S.DOSSIER_OFFSET)
+
+
+def q_eval01(spark, sf):
+    return EV.confusion(dossier_entities(spark, sf), truth(spark, sf))
+
+
+def q_eval02(spark, sf):
+    return EV.prf(dossier_entities(spark, sf), truth(spark, sf))
+
+
+def q_eval03(spark, sf):
+    return EV.micro_macro(dossier_entities(spark, sf), truth(spark, sf))
+
+
+def q_eval04(spark, sf):
+    d = D.spread(S.dossiers(spark, sf))
+    tok = recognizers.raw_candidates(d, [Spec("_TOKEN", "token", r"\S+", 1.0)], with_header=False).select("doc_id", "start", "end")
+    t = truth(spark, sf).join(d, "doc_id").withColumn("start", F.instr("text", F.col("value")) - 1) \
+        .withColumn("end", F.col("start") + F.length("value")).select("doc_id", "start", "end")
+    return EV.token_metrics(tok, dossier_entities(spark, sf), t)
+
+
+def q_eval05(spark, sf):
+    return EV.determinism(pseudonymized(spark, sf))
+
+
+def q_eval06(spark, sf):
+    return EV.overlap_accuracy(approved(spark, sf).filter(F.col("doc_id") >= S.DOSSIER_OFFSET),
+                               dossier_entities(spark, sf), truth(spark, sf))
+
+
+def q_eval07(spark, sf):
+    return EV.trap_report(dossier_entities(spark, sf), traps(spark, sf).withColumn(
+        "value", F.when(F.col("value").rlike("^[0-9]+$"), F.lit("invoice number")).otherwise(F.col("value"))))
+
+
+def q_eval08(spark, sf):
+    return EV.funnel(scored(spark, sf), entities(spark, sf))
+
+
+def q_eval09(spark, sf):
+    return EV.correction_rate(redact.apply_overrides(pseudonymized(spark, sf), overrides(spark, sf)))
+
+
+def q_str01(spark, sf):
+    from ..streaming.stream import run_to_table
+    return run_to_table(spark, sf)
+
+
+QUERIES.update({
+    "PSE-01": q_pse01,
+    "PSE-02": q_pse02,
+    "PSE-03": q_pse_type(["PERSON"]),
+    "PSE-04": q_pse_type(["EMAIL"]),
+    "PSE-05": q_pse_type(["PHONE"]),
+    "PSE-06": q_pse_type(["SSN"]),
+    "PSE-07": q_pse_type(["CREDIT_CARD"]),
+    "PSE-08": q_pse_type(["DOB"]),
+    "PSE-09": q_pse_type(["IP_ADDRESS"]),
+    "PSE-10": q_pse_type(["COMPANY"]),
+    "PSE-11": q_pse_type(["ADDRESS"]),
+    "PSE-12": q_pse_type(["URL"]),
+    "PSE-13": q_pse13,
+    "PSE-14": q_pse14,
+    "PSE-15": q_pse15,
+    "JOIN-04": q_join04,
+    "JOIN-05": q_join05,
+    "RED-01": q_red01,
+    "RED-02": q_red02,
+    "RED-03": q_red03,
+    "RED-04": q_red04,
+    "RED-05": q_red05,
+    "AGG-01": q_agg01,
+    "AGG-02": q_agg02,
+    "AGG-03": q_agg03,
+    "AGG-04": q_agg04,
+    "AGG-05": q_agg05,
+    "AGG-06": q_agg06,
+    "AGG-07": q_agg07,
+    "EVAL-01": q_eval01,
+    "EVAL-02": q_eval02,
+    "EVAL-03": q_eval03,
+    "EVAL-04": q_eval04,
+    "EVAL-05": q_eval05,
+    "EVAL-06": q_eval06,
+    "EVAL-07": q_eval07,
+    "EVAL-08": q_eval08,
+    "EVAL-09": q_eval09,
+    "STR-01": q_str01,
+})

@@ -172,3 +172,87 @@ ORACLE.update({
                    'AND b.id < a.id AND a.start < b."end" AND b.start < a."end"'),
     "OVL-07": ents("SELECT doc_id, id, type, start FROM ents"),
 })
+
+
+# ------------------------------------------------------------------ pseudonyms, redaction, stats, evaluation
+
+def with_map(select: str, scope: str = "corpus") -> str:
+    """CTEs: ents (entities), mp (mapping), pe (entities + replacement)."""
+    keys = "type, norm" if scope == "corpus" else "doc_id, type, norm"
+    return ents(f""", mp AS ({O.mapping_sql('ents', scope=scope)}),
+        pe AS (SELECT e.*, m.replacement FROM (SELECT *, lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) AS norm
+               FROM ents) e LEFT JOIN mp m USING ({keys}))
+        {select}""".replace("\n", " ", 0))
+
+
+def _fix(sql: str) -> str:
+    # ents(select) builds "WITH ents AS (...) <select>"; a select starting with ', x AS' extends the WITH
+    return sql.replace(") ,", "),")
+
+
+def mp(select: str, scope: str = "corpus") -> str:
+    return _fix(with_map(select, scope))
+
+
+MAP_COLS = "type, norm, form, occurrences, replacement"
+OVERRIDES = "SELECT doc_id, id, 'redacted@example.org' AS replacement FROM ents WHERE type = 'EMAIL' AND doc_id % 2 = 0"
+REDACT = """(SELECT c.doc_id, CASE WHEN r.sp IS NULL THEN c.text ELSE list_reduce(r.sp, lambda acc, x:
+               substring(acc, 1, x.s) || x.r || substring(acc, x.e + 1), c.text) END AS redacted_text, c.text
+             FROM corpus c LEFT JOIN (SELECT doc_id, list({'s': start, 'e': "end", 'r': replacement} ORDER BY start DESC) AS sp
+                                      FROM {src} GROUP BY doc_id) r USING (doc_id))"""
+PE_EDIT = f"(SELECT pe.* EXCLUDE (replacement), coalesce(o.replacement, pe.replacement) AS replacement, o.replacement IS NOT NULL AS edited FROM pe LEFT JOIN ({OVERRIDES}) o USING (doc_id, id))"
+PARTS = "(SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS ix, unnest(string_split(text, chr(10))) AS text FROM corpus)"
+VMAP = """(SELECT doc_id, list({'o': original, 'r': replacement} ORDER BY -length(original), first_id) AS vm FROM (
+             SELECT doc_id, value AS original, arg_max(replacement, id) AS replacement, min(id) AS first_id FROM pe GROUP BY doc_id, value)
+           GROUP BY doc_id)"""
+RED02 = f"""(SELECT p.doc_id, p.ix, CASE WHEN v.vm IS NULL THEN p.text ELSE list_reduce(v.vm, lambda acc, m:
+               CASE WHEN strpos(acc, m.o) > 0 THEN replace(acc, m.o, m.r) ELSE acc END, p.text) END AS redacted_text, p.text
+             FROM {PARTS} p LEFT JOIN {VMAP} v USING (doc_id))"""
+STATS = """(SELECT c.doc_id, CAST(coalesce(t.total, 0) AS BIGINT) AS total_entities, coalesce(t.by_type, '') AS entities_by_type,
+              coalesce(round(t.s / t.total, 2), 0.0) AS avg_confidence FROM {corpus} c LEFT JOIN (
+              SELECT doc_id, sum(n) AS total, string_agg(type || ':' || CAST(n AS VARCHAR), ',' ORDER BY type) AS by_type, sum(sc) AS s
+              FROM (SELECT doc_id, type, count(*) AS n, sum(confidence) AS sc FROM ents GROUP BY doc_id, type) GROUP BY doc_id) t USING (doc_id))"""
+LABELS = "MAP {" + ", ".join(f"{O.q(k)}: {O.q(v)}" for k, v in
+                             {"PERSON": "PERSON", "EMAIL": "EMAIL", "PHONE": "PHONE", "SSN": "SSN", "CREDIT_CARD": "CC#",
+                              "DOB": "DOB", "IP_ADDRESS": "IP", "COMPANY": "ORG", "ADDRESS": "ADDR"}.items()) + "}"
+
+ORACLE.update({
+    "PSE-01": ents(", x AS (SELECT 1) SELECT DISTINCT type, value, lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) AS norm FROM ents"),
+    "PSE-02": mp(f", y AS (SELECT 1) SELECT {MAP_COLS} FROM mp"),
+    "PSE-14": mp(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS \"values\", "
+                 "CAST(sum(CASE WHEN replacement = form THEN 1 ELSE 0 END) AS BIGINT) AS unchanged FROM mp GROUP BY type"),
+    "PSE-15": mp(f", y AS (SELECT 1) SELECT doc_id, {MAP_COLS} FROM mp", scope="document"),
+    "PSE-13": O.with_corpus(f"WITH inv AS (SELECT doc_id, type, start, value FROM ("
+                            + O.span_sql("(SELECT * FROM corpus WHERE strpos(text, 'Invoice') > 0)",
+                                         r"(\bInvoice )(\d+)", 2, "INVOICE_NO", "invoice_number")
+                            + f")) SELECT {MAP_COLS} FROM ({O.mapping_sql('inv')})"),
+    "JOIN-04": mp(", y AS (SELECT 1) SELECT doc_id, id, type, value, replacement FROM pe"),
+    "JOIN-05": mp(f", y AS (SELECT 1) SELECT doc_id, id, replacement, edited FROM {PE_EDIT}"),
+    "RED-01": mp(", y AS (SELECT 1) SELECT doc_id, redacted_text FROM " + REDACT.replace("{src}", "pe")),
+    "RED-02": mp(f", y AS (SELECT 1) SELECT doc_id, ix, redacted_text, redacted_text <> text AS changed FROM {RED02}"),
+    "RED-03": mp(f", y AS (SELECT 1) SELECT doc_id, CAST(sum(CASE WHEN redacted_text <> text THEN 1 ELSE 0 END) AS BIGINT) AS changed_parts, "
+                 f"CAST(count(*) AS BIGINT) AS parts FROM {RED02} GROUP BY doc_id"),
+    "RED-04": mp(", y AS (SELECT 1) SELECT doc_id, redacted_text FROM " + REDACT.replace("{src}", PE_EDIT)),
+    "RED-05": mp(", y AS (SELECT 1) SELECT doc_id, side, CAST(para AS BIGINT) AS para, line FROM ("
+                 "SELECT doc_id, 'original' AS side, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para, "
+                 "unnest(string_split(text, chr(10))) AS line FROM " + REDACT.replace("{src}", "pe") +
+                 " UNION ALL SELECT doc_id, 'redacted', generate_subscripts(string_split(redacted_text, chr(10)), 1) - 1, "
+                 "unnest(string_split(redacted_text, chr(10))) FROM " + REDACT.replace("{src}", "pe") +
+                 ") WHERE length(trim(line)) > 0"),
+    "AGG-01": ents(", y AS (SELECT 1) SELECT * FROM " + STATS.replace("{corpus}", "corpus")),
+    "AGG-02": ents(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS n FROM ents GROUP BY type "
+                   "UNION ALL SELECT 'ALL', CAST(count(*) AS BIGINT) FROM ents"),
+    "AGG-03": ents(", y AS (SELECT 1) SELECT CAST(count(DISTINCT type) AS BIGINT) AS distinct_types FROM ents"),
+    "AGG-04": ents(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 4) AS avg_confidence "
+                   "FROM ents GROUP BY type"),
+    "AGG-05": ents(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS n FROM ents GROUP BY type HAVING count(*) > 0"),
+    "AGG-06": ents(f", y AS (SELECT 1) SELECT doc_id, id, type, value, confidence FROM ents WHERE confidence < {R.LOW_CONFIDENCE}"),
+    "AGG-07": mp(f", y AS (SELECT 1) SELECT doc_id, lpad(CAST(id AS VARCHAR), 3, '0') AS row_id, "
+                 f"coalesce(element_at({LABELS}, type)[1], type) AS type_label, value AS original, replacement, "
+                 f"CAST(round(confidence * 100) AS BIGINT) AS confidence_pct FROM pe"),
+    "STR-01": ents(", y AS (SELECT 1) SELECT * FROM " + STATS.replace("{corpus}", "documents")),
+})
+for _t, _k in [("PERSON", "PSE-03"), ("EMAIL", "PSE-04"), ("PHONE", "PSE-05"), ("SSN", "PSE-06"),
+               ("CREDIT_CARD", "PSE-07"), ("DOB", "PSE-08"), ("IP_ADDRESS", "PSE-09"), ("COMPANY", "PSE-10"),
+               ("ADDRESS", "PSE-11"), ("URL", "PSE-12")]:
+    ORACLE[_k] = mp(f", y AS (SELECT 1) SELECT {MAP_COLS} FROM mp WHERE type = '{_t}'")

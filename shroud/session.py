@@ -36,7 +36,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (local runs)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getCheckpointDir())
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
