@@ -256,3 +256,64 @@ for _t, _k in [("PERSON", "PSE-03"), ("EMAIL", "PSE-04"), ("PHONE", "PSE-05"), (
                ("CREDIT_CARD", "PSE-07"), ("DOB", "PSE-08"), ("IP_ADDRESS", "PSE-09"), ("COMPANY", "PSE-10"),
                ("ADDRESS", "PSE-11"), ("URL", "PSE-12")]:
     ORACLE[_k] = mp(f", y AS (SELECT 1) SELECT {MAP_COLS} FROM mp WHERE type = '{_t}'")
+
+
+def _truth_sql() -> str:
+    from .catalog import TRUTH_PATTERNS
+    parts = [f"SELECT doc_id, {O.q(t)} AS type, regexp_extract(text, {O.q(p)}, 1) AS value FROM dossiers"
+             for t, p in TRUTH_PATTERNS]
+    return " UNION ALL ".join(parts)
+
+
+def _traps_sql() -> str:
+    from .catalog import TRAPS
+    parts = [f"SELECT doc_id, {O.q(v)} AS value, instr(text, {O.q(v)}) - 1 AS start, length({O.q(v)}) AS n FROM dossiers"
+             for v in TRAPS]
+    parts.append("SELECT doc_id, 'invoice number', instr(text, chr(10) || 'Invoice ') + 8, "
+                 "length(regexp_extract(text, '\\nInvoice ([0-9]+) ', 1)) FROM dossiers")
+    return " UNION ALL ".join(parts)
+
+
+def evals(select: str) -> str:
+    dossiers = O.dossier_sql("customer", "orders", dialect="duckdb")
+    return mp(f""", dossiers AS ({dossiers}), truth AS ({_truth_sql()}),
+        de AS (SELECT * FROM ents WHERE doc_id >= {DOSSIER_OFFSET}),
+        m AS (SELECT doc_id, type, value, occ, coalesce(p.predicted, 0) AS predicted, coalesce(t.expected, 0) AS expected
+              FROM (SELECT doc_id, type, value, row_number() OVER (PARTITION BY doc_id, type, value ORDER BY start) AS occ,
+                           1 AS predicted FROM de) p
+              FULL OUTER JOIN (SELECT doc_id, type, value, row_number() OVER (PARTITION BY doc_id, type, value) AS occ,
+                                      1 AS expected FROM truth) t USING (doc_id, type, value, occ)),
+        conf AS (SELECT type, CAST(sum(predicted * expected) AS BIGINT) AS tp, CAST(sum(predicted * (1 - expected)) AS BIGINT) AS fp,
+                        CAST(sum((1 - predicted) * expected) AS BIGINT) AS fn FROM m GROUP BY type),
+        prf AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p,
+                          CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM conf),
+        prf2 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM prf)
+        {select}""")
+
+
+from ..sources.docs import DOSSIER_OFFSET  # noqa: E402
+
+ORACLE.update({
+    "EVAL-01": evals("SELECT type, tp, fp, fn FROM conf"),
+    "EVAL-02": evals("SELECT type, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1 FROM prf2"),
+    "EVAL-03": evals("""SELECT round(CASE WHEN mp + mr > 0 THEN 2 * mp * mr / (mp + mr) ELSE 0.0 END, 4) AS micro_f1,
+                               round(macro, 4) AS macro_f1 FROM (
+                          SELECT CASE WHEN sum(tp) + sum(fp) > 0 THEN sum(tp) / (sum(tp) + sum(fp)) ELSE 0.0 END AS mp,
+                                 CASE WHEN sum(tp) + sum(fn) > 0 THEN sum(tp) / (sum(tp) + sum(fn)) ELSE 0.0 END AS mr,
+                                 avg(f) AS macro FROM prf2)"""),
+    "EVAL-05": mp(""", y AS (SELECT 1) SELECT CAST(count(*) AS BIGINT) AS keys,
+        CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS deterministic,
+        round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / count(*), 4) AS rate
+        FROM (SELECT type, norm, count(DISTINCT replacement) AS n FROM pe GROUP BY type, norm)"""),
+    "EVAL-07": evals(f""", traps AS ({_traps_sql()})
+        SELECT t.value AS trap, CAST(count(t.doc_id) AS BIGINT) AS occurrences, CAST(count(e.doc_id) AS BIGINT) AS flagged
+        FROM traps t LEFT JOIN de e ON t.doc_id = e.doc_id AND e.start < t.start + t.n AND e."end" > t.start
+        GROUP BY t.value""".replace("\n        SELECT t.value", " SELECT t.value", 1)),
+    "EVAL-08": O.with_corpus(f"""WITH scored AS ({O.scored_sql()}), ents AS ({O.entities_sql()})
+        SELECT CAST(count(*) AS BIGINT) AS raw, CAST(sum(CASE WHEN reject_reason IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS rejected,
+               CAST(sum(CASE WHEN reject_reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS approved,
+               (SELECT CAST(count(*) AS BIGINT) FROM ents) AS final FROM scored"""),
+    "EVAL-09": mp(f""", y AS (SELECT 1) SELECT CAST(count(*) AS BIGINT) AS entities,
+        CAST(sum(CASE WHEN edited THEN 1 ELSE 0 END) AS BIGINT) AS edited,
+        round(sum(CASE WHEN edited THEN 1 ELSE 0 END) / count(*), 4) AS rate FROM {PE_EDIT}"""),
+})
