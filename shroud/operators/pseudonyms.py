@@ -23,9 +23,31 @@ def normalize(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"^\s+|\s+$", ""))
 
 
-def draw(key: Column, slot: int, n: int, bump: Column | None = None) -> Column:
+N_SLOTS = 8
+
+
+class HashKey:
+    """Pre-computed draws of one mapping row: ``h[slot]`` = 32 bits of md5(key|slot), ``ds`` =
+    18 digits of md5(key|0). Generators read these columns instead of hashing again, which
+    keeps the per-type expressions small enough for whole-stage code generation."""
+
+    def __init__(self, h: Column, ds: Column):
+        self.h, self.ds = h, ds
+
+
+def hash_columns(key: Column) -> tuple[Column, Column]:
+    h = F.array(*[F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{i}"))), 1, 8), 16, 10).cast("bigint")
+                  for i in range(N_SLOTS)])
+    ds = F.lpad(F.conv(F.substring(F.md5(F.concat(key, F.lit("|0"))), 1, 15), 16, 10), 18, "0")
+    return h, ds
+
+
+def draw(key, slot: int, n: int, bump: Column | None = None) -> Column:
     """Integer in [0, n) from the 32 high bits of md5(key|slot); ``bump`` shifts it by one."""
-    h = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{slot}"))), 1, 8), 16, 10).cast("bigint")
+    if isinstance(key, HashKey):
+        h = F.get(key.h, slot)
+    else:
+        h = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{slot}"))), 1, 8), 16, 10).cast("bigint")
     if bump is not None:
         h = h + bump
     return F.pmod(h, F.lit(n))
@@ -36,8 +58,10 @@ def rint(key: Column, slot: int, lo: int, hi: int, bump: Column | None = None) -
     return draw(key, slot, hi - lo + 1, bump) + lo
 
 
-def digit_string(key: Column, slot: int) -> Column:
+def digit_string(key, slot: int) -> Column:
     """18 decimal digits from 60 bits of md5(key|slot)."""
+    if isinstance(key, HashKey) and slot == 0:
+        return key.ds
     return F.lpad(F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{slot}"))), 1, 15), 16, 10), 18, "0")
 
 
@@ -239,9 +263,11 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
     key_parts = [F.lit(salt)] + ([F.col("doc_id").cast("string")] if scope == "document" else []) + [
         F.col("type"), F.col("norm")]
     key = F.concat_ws("|", *key_parts)
-    m = m.withColumn("_k", key)
-    r0 = replacement(F.col("type"), F.col("form"), F.col("_k"), F.lit(0), generators)
-    r1 = replacement(F.col("type"), F.col("form"), F.col("_k"), F.lit(1), generators)
+    h, ds = hash_columns(key)
+    m = m.withColumn("_h", h).withColumn("_ds", ds)
+    hk = HashKey(F.col("_h"), F.col("_ds"))
+    r0 = replacement(F.col("type"), F.col("form"), hk, F.lit(0), generators)
+    r1 = replacement(F.col("type"), F.col("form"), hk, F.lit(1), generators)
     m = m.withColumn("_r0", r0)
     known = F.col("type").isin(*(list(GENERATORS) + list(generators or {})))
     never_same = F.when((F.col("_r0") == F.col("form")) & (F.col("type") != "URL"), r1).otherwise(F.col("_r0"))
@@ -252,7 +278,7 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
     unknown = m.filter(~known).withColumn("replacement", F.concat(
         F.lit("["), F.col("type"), F.lit("_"), F.dense_rank().over(rank_w).cast("string"), F.lit("]")))
     m = m.filter(known).unionByName(unknown)
-    return m.drop("_k", "_r0")
+    return m.drop("_h", "_ds", "_r0")
 
 
 def apply_mapping(entities: DataFrame, mapping: DataFrame, scope: str = "corpus") -> DataFrame:

@@ -348,9 +348,9 @@ def mapping(spark, sf, scope="corpus"):
 
 
 def pseudonymized(spark, sf):
-    """Entities with replacement (JOIN-04). Checkpointed at the end of the detection so the
-    mapping and the redaction read it once (the reliable checkpoint dir of the session)."""
-    return pseudonyms.pseudonymize(entities(spark, sf))
+    """Entities with replacement (JOIN-04). The entities are checkpointed first, so the mapping
+    aggregate and the join back read them once instead of re-running the detection."""
+    return pseudonyms.pseudonymize(D.materialize(entities(spark, sf)))
 
 
 def q_pse01(spark, sf):
@@ -479,7 +479,7 @@ def q_agg07(spark, sf):
 def flagship(spark, sf):
     """Detect -> pseudonymize -> redact, with per-document statistics."""
     c = corpus(spark, sf)
-    ents = pseudonyms.pseudonymize(D.detect(c))
+    ents = D.materialize(pseudonyms.pseudonymize(D.materialize(D.detect(c))))
     red = redact.redact_offsets(c, ents).select("doc_id", "redacted_text")
     return doc_stats_flat(c, ents).join(red, "doc_id")
 

@@ -36,6 +36,18 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's ``spark.checkpoint.dir``.
+
+    Used on the (small) entity table before it feeds both the pseudonym mapping and the join
+    back, so the regex detection runs once; a lost executor re-reads the checkpoint instead
+    of recomputing the detection."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _event_specs(specs):
     specs = list(recognizers.builtin_specs() if specs is None else specs)
     specs.append(recognizers.short_line_spec())
