@@ -162,7 +162,8 @@ def score_sql(rec: str) -> str:
 
 
 def corpus_sql(with_dossiers: bool = True) -> str:
-    base = "SELECT doc_id, text FROM documents"
+    base = ("SELECT doc_id, text FROM documents UNION ALL "
+            "SELECT page_id + 2000000000000 AS doc_id, html AS text FROM pages")
     if with_dossiers:
         base += " UNION ALL " + dossier_sql("customer", "orders", dialect="duckdb")
     return base
@@ -245,8 +246,8 @@ def scored_sql(corpus: str = "corpus", external: str | None = None) -> str:
     val AS (
       SELECT *,
         CASE
-          WHEN type = 'IP_ADDRESS' AND (regexp_matches(lower(left20), {q(R.IP_VERSION_PREFIX.replace('(?i)', ''))})
-               OR strpos(ip_tail, '://') > 0 OR ip_url_line) THEN 'ip_version_or_url'
+          WHEN type = 'IP_ADDRESS' AND regexp_matches(lower(left20), {q(R.IP_VERSION_PREFIX.replace('(?i)', ''))}) THEN 'ip_version'
+          WHEN type = 'IP_ADDRESS' AND (strpos(ip_tail, '://') > 0 OR ip_url_line) THEN 'ip_in_url'
           WHEN type IN ('URL', 'EMAIL', 'PHONE', 'SSN', 'CREDIT_CARD', 'IP_ADDRESS') AND score < 0.85 THEN 'low_score'
           WHEN type IN ('URL', 'EMAIL', 'PHONE', 'SSN', 'CREDIT_CARD', 'IP_ADDRESS') THEN NULL
           WHEN recognizer = 'person_short_line' THEN

@@ -314,7 +314,8 @@ QUERIES = {
     "JOIN-03": q_join03,
     "VAL-01": q_val01,
     "VAL-02": q_val02,
-    "VAL-03": q_reason(["ip_version_or_url"]),
+    "VAL-03": q_reason(["ip_version"]),
+    "VAL-04": q_reason(["ip_in_url"]),
     "VAL-05": q_reason(["suppressed_section"]),
     "VAL-07": q_reason(["tech_denylist", "field_name"]),
     "VAL-08": q_reason(["label_colon"]),
@@ -558,6 +559,17 @@ def q_eval09(spark, sf):
     return EV.correction_rate(redact.apply_overrides(pseudonymized(spark, sf), overrides(spark, sf)))
 
 
+def badge_generator(form, key, b):
+    """UDF-02 example: a user replacement generator (type -> Column function)."""
+    return F.concat(F.lit("PERSON-"), F.lpad(pseudonyms.draw(key, 0, 10000, b).cast("string"), 4, "0"))
+
+
+def q_udf02(spark, sf):
+    m = pseudonyms.pseudonym_mapping(entities(spark, sf).filter(F.col("type") == "PERSON"),
+                                     generators={"PERSON": badge_generator})
+    return _big(m.select(*MAP_COLS), "occurrences")
+
+
 def q_str01(spark, sf):
     from ..streaming.stream import run_to_table
     return run_to_table(spark, sf)
@@ -603,4 +615,5 @@ QUERIES.update({
     "EVAL-08": q_eval08,
     "EVAL-09": q_eval09,
     "STR-01": q_str01,
+    "UDF-02": q_udf02,
 })

@@ -137,7 +137,8 @@ ORACLE.update({
         "CAST(count(*) AS BIGINT) AS n FROM sc WHERE score IS NOT NULL GROUP BY ALL")),
     "VAL-02": scored("SELECT type, CAST(count(*) AS BIGINT) AS approved, min(confidence) AS min_confidence "
                      "FROM scored WHERE reject_reason IS NULL GROUP BY type"),
-    "VAL-03": reason(["ip_version_or_url"]),
+    "VAL-03": reason(["ip_version"]),
+    "VAL-04": reason(["ip_in_url"]),
     "VAL-05": reason(["suppressed_section"]),
     "VAL-07": reason(["tech_denylist", "field_name"]),
     "VAL-08": reason(["label_colon"]),
@@ -317,3 +318,23 @@ ORACLE.update({
         CAST(sum(CASE WHEN edited THEN 1 ELSE 0 END) AS BIGINT) AS edited,
         round(sum(CASE WHEN edited THEN 1 ELSE 0 END) / count(*), 4) AS rate FROM {PE_EDIT}"""),
 })
+
+
+_PROT = "('URL', 'EMAIL', 'PHONE', 'SSN', 'CREDIT_CARD', 'IP_ADDRESS')"
+ORACLE.update({
+    "UDF-01": O.with_corpus(f"""WITH scored AS ({O.scored_sql()}),
+        inv AS ({O.span_sql("(SELECT * FROM corpus WHERE strpos(text, 'Invoice') > 0)", r"(\bInvoice )(\d+)", 2,
+                            "INVOICE_NO", "invoice_number")})
+        SELECT i.doc_id, i.type, i.recognizer, i.start, i."end", i.value, 0.9::DOUBLE AS confidence,
+               CASE WHEN EXISTS (SELECT 1 FROM scored p WHERE p.doc_id = i.doc_id AND p.type IN {_PROT}
+                                 AND p.start < i."end" AND p."end" > i.start) THEN 'protected_overlap'
+                    ELSE 'unknown_type' END AS reject_reason
+        FROM inv i"""),
+    "UDF-02": ents(f""", pm AS (SELECT * FROM ents WHERE type = 'PERSON')
+        SELECT type, norm, form, occurrences, CASE WHEN r0 = form THEN r1 ELSE r0 END AS replacement FROM (
+          SELECT *, 'PERSON-' || lpad(CAST(CAST('0x' || substr(md5(k || '|0'), 1, 8) AS BIGINT) % 10000 AS VARCHAR), 4, '0') AS r0,
+                    'PERSON-' || lpad(CAST((CAST('0x' || substr(md5(k || '|0'), 1, 8) AS BIGINT) + 1) % 10000 AS VARCHAR), 4, '0') AS r1
+          FROM (SELECT *, 'shroud|' || type || '|' || norm AS k FROM (
+            SELECT type, norm, first(value ORDER BY doc_id, start) AS form, CAST(count(*) AS BIGINT) AS occurrences
+            FROM (SELECT *, lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) AS norm FROM pm) GROUP BY type, norm)))"""),
+})

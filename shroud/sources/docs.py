@@ -230,7 +230,16 @@ def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(dossier_sql("_shroud_customer", "_shroud_orders"))
 
 
+PAGES_OFFSET = 2_000_000_000_000
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw web pages as documents (doc_id = 2*10^12 + page_id, text = html)."""
+    p = read_table(spark, sf_dir, "pages")
+    return p.select((F.col("page_id") + F.lit(PAGES_OFFSET)).alias("doc_id"), F.col("html").alias("text"))
+
+
 def corpus(spark: SparkSession, sf_dir: str, with_dossiers: bool = True) -> DataFrame:
-    """The detection input: ``documents`` plus the dossiers (disjoint doc_id ranges)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    """The detection input: ``documents``, the raw ``pages`` and the dossiers (disjoint doc_id ranges)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(pages(spark, sf_dir))
     return docs.unionByName(dossiers(spark, sf_dir)) if with_dossiers else docs

@@ -115,3 +115,8 @@ def test_offsets_are_code_points(spark):
     for i, t in enumerate(texts):
         exp = [(m.start(), m.end(), m.group()) for m in re.finditer(R.EMAIL, t.replace("\x01", " "))]
         assert got[i] == exp
+
+
+def test_person_street_suffix_is_stripped(detect_texts):
+    r = detect_texts(["Visit Dr. John Street today."])[0]
+    assert [e.value for e in r if e.type == "PERSON"] == ["Dr. John"]
