@@ -338,3 +338,31 @@ ORACLE.update({
             SELECT type, norm, first(value ORDER BY doc_id, start) AS form, CAST(count(*) AS BIGINT) AS occurrences
             FROM (SELECT *, lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) AS norm FROM pm) GROUP BY type, norm)))"""),
 })
+
+
+_CARD_SPANS = " UNION ALL ".join(O.span_sql("corpus", p, 0, "CREDIT_CARD", f"card_{n}") for n, p in R.CARD_PATTERNS)
+ORACLE.update({
+    "FUN-01": "WITH corpus AS (SELECT doc_id, text FROM documents) SELECT doc_id, start, \"end\", value FROM ("
+              + O.span_sql("corpus", r"[0-9]+", 0, "N", "n") + ")",
+    "FUN-02": O.with_corpus(f"SELECT doc_id, recognizer, start, value, {O.luhn('value')} AS luhn_ok FROM ({_CARD_SPANS})"),
+    "FUN-03": O.with_corpus(O.candidates_sql(["indian_phone", "us_phone", "indian_landline", "dotted_phone"]).replace(
+        'SELECT doc_id, type, recognizer, start, end_ AS "end", value, score FROM sc WHERE score IS NOT NULL',
+        "SELECT doc_id, start, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits, "
+        "CAST(length(regexp_replace(value, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits FROM sc WHERE score IS NOT NULL")),
+    "FUN-04": "SELECT o_orderkey, CAST(day(o_orderdate) AS VARCHAR) || CASE WHEN day(o_orderdate) BETWEEN 11 AND 13 THEN 'th' "
+              "WHEN day(o_orderdate) % 10 = 1 THEN 'st' WHEN day(o_orderdate) % 10 = 2 THEN 'nd' "
+              "WHEN day(o_orderdate) % 10 = 3 THEN 'rd' ELSE 'th' END AS day_ordinal FROM orders",
+    "FUN-05": O.with_corpus(O.candidates_sql(["ipv4_regex"]).replace(
+        'SELECT doc_id, type, recognizer, start, end_ AS "end", value, score FROM sc WHERE score IS NOT NULL',
+        "SELECT doc_id, start, value, (len(string_split(value, '.')) = 4 AND (CAST(string_split(value, '.')[1] AS INT) = 10 "
+        "OR (CAST(string_split(value, '.')[1] AS INT) = 172 AND CAST(string_split(value, '.')[2] AS INT) BETWEEN 16 AND 31) "
+        "OR (CAST(string_split(value, '.')[1] AS INT) = 192 AND CAST(string_split(value, '.')[2] AS INT) = 168))) AS private "
+        "FROM sc WHERE score IS NOT NULL")),
+    "FUN-06": O.with_corpus("SELECT doc_id, regexp_extract(text, '^(?:[ \\t\\r\\f\\v]*\\n)*([^\\n]*)', 1) AS first_line FROM corpus"),
+    "FUN-07": O.with_corpus("SELECT s.doc_id, s.start, regexp_extract(substring(c.text, 1, s.\"end\"), '([^\\n]*)$', 1) AS line FROM ("
+                            + O.span_sql("corpus", R.EMAIL, 0, "EMAIL", "email_regex") + ") s JOIN corpus c USING (doc_id)"),
+    "VAL-06": O.with_corpus(O.candidates_sql(["person_label", "person_title", "person_header", "person_short_line"]).replace(
+        'SELECT doc_id, type, recognizer, start, end_ AS "end", value, score FROM sc WHERE score IS NOT NULL',
+        f"SELECT doc_id, start, value, substr(value, 1, length(value) - length(regexp_extract(value, {O.q(R.PERSON_STREET_SUFFIX)}, 1))) AS kept "
+        f"FROM sc WHERE score IS NOT NULL AND regexp_matches(value, {O.q(R.PERSON_STREET_SUFFIX)})")),
+})
