@@ -172,8 +172,11 @@ def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str])
     (pieces -> piece offsets -> spans) so each regex runs once per row."""
     need_lower = any(sp.any_of_lower for sp in specs)
     cols = list(dict.fromkeys(keep + [text]))
+    # marker characters already in the text become spaces once per document (length preserving)
+    extra = [f"translate({text}, concat(chr(1), chr(2)), '  ') AS _clean"]
     if need_lower:
-        df = df.selectExpr(*cols, f"lower({text}) AS _low")
+        extra.append(f"lower({text}) AS _low")
+    df = df.selectExpr(*cols, *extra)
     pcs = []
     for i, sp in enumerate(specs):
         cond = [f"{text} IS NOT NULL"]
@@ -187,7 +190,7 @@ def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str])
         # '$' and '{pre}' are split so SQL variable substitution never sees a ${...} token
         repl = ("concat('$', '{pre}', chr(1), '$', '{val}', chr(2))" if sp.group
                 else "concat(chr(1), '$0', chr(2))")
-        marked = f"regexp_replace(translate({text}, concat(chr(1), chr(2)), '  '), {sql_lit(sp.pattern)}, {repl})"
+        marked = f"regexp_replace(_clean, {sql_lit(sp.pattern)}, {repl})"
         pcs.append(f"CASE WHEN {' AND '.join(cond)} THEN split({marked}, chr(1), -1) ELSE array('') END AS _pc{i}")
     df = df.selectExpr(*keep, *pcs)
     n = len(specs)
