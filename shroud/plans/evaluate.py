@@ -62,18 +62,32 @@ def micro_macro(entities: DataFrame, truth: DataFrame) -> DataFrame:
                       F.round("macro", 4).alias("macro_f1"))
 
 
+def overlap_flag(points: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``points(doc_id, start, end)`` + boolean ``name``: overlaps some span of the same document.
+
+    A sweep instead of a range join: spans are keyed by their start, points by their end (points
+    first on ties); the running max of span ends before a point exceeds its start exactly when
+    some span has s.start < p.end and s.end > p.start. O(n log n) per document, one shuffle."""
+    from pyspark.sql import Window
+
+    p = points.select("doc_id", "start", "end", F.lit(0).alias("_k"))
+    s = spans.select("doc_id", "start", "end", F.lit(1).alias("_k"))
+    pos = F.when(F.col("_k") == 1, F.col("start")).otherwise(F.col("end"))
+    w = Window.partitionBy("doc_id").orderBy(pos, "_k").rowsBetween(Window.unboundedPreceding, 0)
+    u = p.unionByName(s).withColumn("_m", F.max(F.when(F.col("_k") == 1, F.col("end"))).over(w))
+    return u.filter(F.col("_k") == 0).select("doc_id", "start", "end",
+                                            F.coalesce(F.col("_m") > F.col("start"), F.lit(False)).alias(name))
+
+
 def token_metrics(tokens: DataFrame, entities: DataFrame, truth_spans: DataFrame) -> DataFrame:
     """EVAL-04: token-level tp/fp/fn/tn, precision, recall, F1, accuracy.
 
-    ``tokens(doc_id, start, end)``; a token is predicted / expected when it overlaps an
-    entity / truth span of the same document (equi join on doc_id + overlap predicate)."""
-    def flag(spans, name):
-        j = tokens.alias("t").join(spans.alias("s"), (F.col("t.doc_id") == F.col("s.doc_id"))
-                                   & (F.col("s.start") < F.col("t.end")) & (F.col("s.end") > F.col("t.start")), "left_semi")
-        return j.select("doc_id", "start").withColumn(name, F.lit(1))
-    t = tokens.select("doc_id", "start").join(flag(entities, "pred"), ["doc_id", "start"], "left") \
-              .join(flag(truth_spans, "exp"), ["doc_id", "start"], "left") \
-              .fillna(0, ["pred", "exp"])
+    ``tokens(doc_id, start, end)``; a token is predicted / expected when it overlaps an entity /
+    truth span of the same document (two sweeps, see ``overlap_flag``)."""
+    pred = overlap_flag(tokens, entities, "pred")
+    exp = overlap_flag(tokens, truth_spans, "exp")
+    t = pred.join(exp, ["doc_id", "start", "end"]).select(F.col("pred").cast("int").alias("pred"),
+                                                          F.col("exp").cast("int").alias("exp"))
     a = t.agg(F.sum(F.col("pred") * F.col("exp")).alias("tp"), F.sum(F.col("pred") * (1 - F.col("exp"))).alias("fp"),
               F.sum((1 - F.col("pred")) * F.col("exp")).alias("fn"),
               F.sum((1 - F.col("pred")) * (1 - F.col("exp"))).alias("tn"))

@@ -366,3 +366,38 @@ ORACLE.update({
         f"SELECT doc_id, start, value, substr(value, 1, length(value) - length(regexp_extract(value, {O.q(R.PERSON_STREET_SUFFIX)}, 1))) AS kept "
         f"FROM sc WHERE score IS NOT NULL AND regexp_matches(value, {O.q(R.PERSON_STREET_SUFFIX)})")),
 })
+
+
+_EVAL04 = evals(f""", tok AS ({O.span_sql('dossiers', r'\S+', 0, '_TOKEN', 'token')}),
+    tsp AS (SELECT t.doc_id, instr(d.text, t.value) - 1 AS start, instr(d.text, t.value) - 1 + length(t.value) AS "end"
+            FROM truth t JOIN dossiers d USING (doc_id)),
+    fl AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM de e WHERE e.doc_id = k.doc_id AND e.start < k."end" AND e."end" > k.start)
+                       THEN 1 ELSE 0 END AS pred,
+                  CASE WHEN EXISTS (SELECT 1 FROM tsp s WHERE s.doc_id = k.doc_id AND s.start < k."end" AND s."end" > k.start)
+                       THEN 1 ELSE 0 END AS exp FROM tok k),
+    ag AS (SELECT sum(pred * exp) AS tp, sum(pred * (1 - exp)) AS fp, sum((1 - pred) * exp) AS fn,
+                  sum((1 - pred) * (1 - exp)) AS tn FROM fl)
+    SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
+           round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision,
+           round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS recall,
+           round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1,
+           round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy FROM ag""".replace(
+    "FROM tok k)", "FROM tok k)"))
+
+_DOSS = O.dossier_sql("customer", "orders", dialect="duckdb")
+_EVAL06 = O.with_corpus(f"""WITH scored AS ({O.scored_sql()}), ents AS ({O.entities_sql()}),
+    dossiers AS ({_DOSS}), truth AS ({_truth_sql()}),
+    de AS (SELECT * FROM ents WHERE doc_id >= {DOSSIER_OFFSET}),
+    ap AS (SELECT * FROM scored WHERE reject_reason IS NULL AND doc_id >= {DOSSIER_OFFSET}),
+    isl AS (SELECT doc_id, island, min(start) AS s, max("end") AS e FROM (
+              SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+              FROM (SELECT *, CASE WHEN pm IS NULL OR start >= pm THEN 1 ELSE 0 END AS nw FROM (
+                      SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM ap)))
+            GROUP BY doc_id, island HAVING count(*) > 1),
+    won AS (SELECT DISTINCT e.doc_id, e.type, e.value FROM de e JOIN isl c ON e.doc_id = c.doc_id AND e.start >= c.s AND e."end" <= c.e)
+    SELECT CAST(count(*) AS BIGINT) AS resolved, CAST(count(t.doc_id) AS BIGINT) AS correct,
+           round(CASE WHEN count(*) > 0 THEN count(t.doc_id) / count(*) ELSE 0.0 END, 4) AS accuracy
+    FROM won LEFT JOIN (SELECT DISTINCT doc_id, type, value FROM truth) t USING (doc_id, type, value)""")
+
+ORACLE.update({"EVAL-04": _EVAL04, "EVAL-06": _EVAL06})
