@@ -158,11 +158,6 @@ def is_private_ipv4(ip: Column) -> Column:
     return (F.size(parts) == 4) & ((o1 == 10) | ((o1 == 172) & (o2 >= 16) & (o2 <= 31)) | ((o1 == 192) & (o2 == 168)))
 
 
-def first_nonblank_line(text: Column) -> Column:
-    """First line whose strip() is non-empty, unstripped (FUN-06); '' if none."""
-    return F.regexp_extract(text, r"(?s)^(?:[ \t\r\f\x0B]*\n)*([^\n]*[^\s][^\n]*)", 1)
-
-
 def line_prefix(text: Column, pos: Column) -> Column:
     """Text from the start of the line containing ``pos`` up to ``pos`` (FUN-07 helper)."""
     return F.substring_index(F.substring(text, 1, pos), "\n", -1)

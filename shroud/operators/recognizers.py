@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.spans import OPEN, cut, has_any, luhn_ok, mark, para_context, prefix_sum
+from ..functions.spans import cut, luhn_ok, para_context
 
 CAND_STRUCT = "struct<type:string,recognizer:string,start:int,end:int,value:string,score:double>"
 
@@ -93,24 +93,6 @@ def short_line_spec() -> Spec:
                 check=lambda v: F.length(v) <= R.SHORT_LINE_MAX)
 
 
-def _score(spec: Spec, text: Column, s: Column) -> Column:
-    """Candidate score with the +-window keyword rule (CTX-03); null = drop the span."""
-    base = F.lit(spec.score)
-    if spec.context:
-        lo = F.greatest(s["start"] - spec.context_window, F.lit(0))
-        hi = F.least(s["end"] + spec.context_window, F.length(text))
-        kw = has_any(F.lower(cut(text, lo, hi)), spec.context)
-        if spec.require_context:
-            base = F.when(kw, base)
-        elif spec.context_score is not None:
-            base = F.when(kw, F.lit(spec.context_score)).otherwise(base)
-        elif spec.boost:
-            base = F.when(kw, F.round(F.least(base + spec.boost, F.lit(1.0)), 2)).otherwise(base)
-    if spec.check is not None:
-        base = F.when(spec.check(s["value"]), base)
-    return base.cast("double")
-
-
 def sql_lit(s: str) -> str:
     """A Spark SQL raw string literal holding ``s`` verbatim (regexes keep their backslashes)."""
     if "'" not in s:
@@ -207,7 +189,6 @@ def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str])
     return df.selectExpr(*keep, *sps)
 
 
-FEATURES_SQL = None  # built lazily (depends on rules)
 
 
 def _features_sql() -> str:
@@ -299,21 +280,6 @@ def first_line_span(text: Column) -> Column:
     return F.struct(F.length(m).alias("start"), line.alias("line"))
 
 
-def header_candidate(text: Column, first: Column) -> Column:
-    """CAND-14: the first non-empty line, stripped, when it is 2-4 capitalized words."""
-    line = first["line"]
-    stripped = F.regexp_replace(line, r"^\s+|\s+$", "")
-    lead = F.length(F.regexp_extract(line, r"^(\s*)", 1))
-    start = (first["start"] + lead).cast("int")
-    c = F.struct(
-        F.lit("PERSON").alias("type"), F.lit("person_header").alias("recognizer"), start.alias("start"),
-        (start + F.length(stripped)).cast("int").alias("end"), stripped.alias("value"),
-        F.lit(R.PERSON_SCORES["header"]).cast("double").alias("score"),
-    )
-    ok = text.isNotNull() & stripped.rlike(R.PERSON_HEADER)
-    return F.when(ok, F.array(c)).otherwise(F.array().cast(f"array<{CAND_STRUCT}>"))
-
-
 def street_suffix(value: Column) -> Column:
     """Trailing street-type word of a PERSON value (VAL-06), '' if none."""
     return F.regexp_extract(value, R.PERSON_STREET_SUFFIX, 1)
@@ -354,14 +320,6 @@ def _features(text: Column, first: Column, c: Column) -> Column:
     )
 
 
-def line_spans(docs: DataFrame, pattern: str, kind: str, text: str = "text", doc_id: str = "doc_id",
-               group: bool = False) -> DataFrame:
-    """Generic single-pattern span table (doc_id, kind, start, end, value)."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    st = _staged_spans(base, [Spec(kind, kind, pattern, 1.0, group=group)], "text", ["doc_id"])
-    return st.select("doc_id", F.inline("_sp0")).withColumn("kind", F.lit(kind))
-
-
 def external_candidates(docs: DataFrame, ext: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """CAND-19: NER output ``(doc_id, entity_type, start, end, score)`` with value and features.
 

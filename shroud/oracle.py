@@ -10,7 +10,7 @@ than the sweeps the Spark plan uses, so the two sides are independent formulatio
 from __future__ import annotations
 
 from . import rules as R
-from .sources.docs import DOSSIER_OFFSET, dossier_sql
+from .sources.docs import dossier_sql
 
 # ------------------------------------------------------------------ RE2 patterns
 
