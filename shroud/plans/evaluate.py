@@ -128,7 +128,10 @@ def overlap_accuracy(approved: DataFrame, entities: DataFrame, truth: DataFrame)
 
 
 def trap_report(entities: DataFrame, traps: DataFrame) -> DataFrame:
-    """EVAL-07: per trap value, how many entities overlap one of its occurrences (expect 0)."""
+    """EVAL-07: per trap value, how many entities overlap one of its occurrences (expect 0).
+
+    Equi join on doc_id with an overlap predicate: a document has a handful of trap occurrences,
+    so the residual predicate costs O(entities) per document."""
     j = traps.alias("t").join(entities.alias("e"), (F.col("t.doc_id") == F.col("e.doc_id"))
                               & (F.col("e.start") < F.col("t.end")) & (F.col("e.end") > F.col("t.start"))
                               & (F.col("t.must_not_type").isNull() | (F.col("t.must_not_type") == F.col("e.type"))), "left")
