@@ -31,8 +31,14 @@ class HashKey:
     18 digits of md5(key|0). Generators read these columns instead of hashing again, which
     keeps the per-type expressions small enough for whole-stage code generation."""
 
-    def __init__(self, h: Column, ds: Column):
-        self.h, self.ds = h, ds
+    def __init__(self, h: Column, ds: Column, ctx: dict | None = None):
+        self.h, self.ds, self.ctx = h, ds, ctx or {}
+
+
+def _f(key, name: str, expr):
+    """A per-row feature: the pre-computed column when the mapping provides it, else ``expr()``."""
+    ctx = getattr(key, "ctx", None) or {}
+    return ctx[name] if name in ctx else expr()
 
 
 def hash_columns(key: Column) -> tuple[Column, Column]:
@@ -91,13 +97,10 @@ def gen_email(form: Column, key: Column, b: Column) -> Column:
 
 
 def gen_phone(form: Column, key: Column, b: Column) -> Column:
-    ext_re = r"(?i)\s*(ext\.?|x|extension)\s*(\d{1,5})$"
-    has_ext = form.rlike(ext_re)
-    label = F.regexp_extract(form, ext_re, 1)
-    base = F.when(has_ext, F.regexp_replace(form, ext_re, "")).otherwise(form)
-    ds = digit_string(key, 0)
-    first = F.pmod(F.substring(ds, 1, 1).cast("int") + b, F.lit(10)).cast("string")
-    d = F.concat(first, F.substring(ds, 2, 17))  # 18 digits, first one bumped
+    has_ext = _f(key, "ph_has_ext", lambda: form.rlike(PHONE_EXT))
+    label = _f(key, "ph_label", lambda: F.regexp_extract(form, PHONE_EXT, 1))
+    base = _f(key, "ph_base", lambda: F.when(form.rlike(PHONE_EXT), F.regexp_replace(form, PHONE_EXT, "")).otherwise(form))
+    d = _digits(key, b)  # 18 digits, first one bumped
 
     def s(i, n):
         return F.substring(d, i, n)
@@ -110,17 +113,27 @@ def gen_phone(form: Column, key: Column, b: Column) -> Column:
         .when(base.rlike(r"^0\d{2,4}[\s\-]"), F.concat(F.lit("0"), s(1, 2), F.lit("-"), s(3, 4), F.lit("-"), s(7, 4)))
         .otherwise(F.concat(s(1, 3), F.lit("-"), s(4, 3), F.lit("-"), s(7, 4)))
     )
-    ext = F.concat(F.lit(" "), label, F.lit(" "), rint(key, 1, 100, 999).cast("string"))
+    ext = F.concat(F.lit(" "), label, F.lit(" "), _f(key, "ph_ext_n", lambda: rint(key, 1, 100, 999).cast("string")))
     return F.when(has_ext, F.concat(body, ext)).otherwise(body)
 
 
-def _digits_bumped(key: Column, b: Column) -> Column:
+PHONE_EXT = r"(?i)\s*(ext\.?|x|extension)\s*(\d{1,5})$"
+
+
+def _digits_bumped(key, b: Column) -> Column:
     ds = digit_string(key, 0)
     return F.concat(F.pmod(F.substring(ds, 1, 1).cast("int") + b, F.lit(10)).cast("string"), F.substring(ds, 2, 17))
 
 
+def _digits(key, b: Column) -> Column:
+    ctx = getattr(key, "ctx", None) or {}
+    if "dig0" in ctx:
+        return F.when(b == 1, ctx["dig1"]).otherwise(ctx["dig0"])
+    return _digits_bumped(key, b)
+
+
 def gen_ssn(form: Column, key: Column, b: Column) -> Column:
-    d = _digits_bumped(key, b)
+    d = _digits(key, b)
     compact = F.regexp_replace(form, "[ -]", "")
     return (F.when(F.length(compact) == 12, F.concat_ws(" ", F.substring(d, 1, 4), F.substring(d, 5, 4),
                                                           F.substring(d, 9, 4)))
@@ -130,7 +143,7 @@ def gen_ssn(form: Column, key: Column, b: Column) -> Column:
 
 
 def gen_card(form: Column, key: Column, b: Column) -> Column:
-    num = F.concat(F.lit("4"), F.substring(_digits_bumped(key, b), 1, 15))
+    num = F.concat(F.lit("4"), F.substring(_digits(key, b), 1, 15))
     groups = [F.substring(num, i, 4) for i in (1, 5, 9, 13)]
     return (F.when(F.instr(form, "-") > 0, F.concat_ws("-", *groups))
             .when(F.instr(form, " ") > 0, F.concat_ws(" ", *groups))
@@ -165,17 +178,22 @@ def _avoid(key: Column, slot: int, lo: int, hi: int, orig: Column) -> Column:
     return F.when(orig.isNotNull() & (x >= orig) & (orig >= lo) & (orig <= hi), x + 1).otherwise(x)
 
 
-def gen_dob(form: Column, key: Column, b: Column) -> Column:
+def dob_draws(form: Column, key) -> tuple[Column, Column, Column]:
+    """New (year, month, day), each different from the original's (PSE-14)."""
     oy, om, od = dob_parts(form)
-    y = _avoid(key, 0, R.DOB_YEARS[0], R.DOB_YEARS[1], oy)
-    m = _avoid(key, 1, 1, 12, om)
-    d = _avoid(key, 2, R.DOB_DAYS[0], R.DOB_DAYS[1], od)
+    return (_avoid(key, 0, R.DOB_YEARS[0], R.DOB_YEARS[1], oy), _avoid(key, 1, 1, 12, om),
+            _avoid(key, 2, R.DOB_DAYS[0], R.DOB_DAYS[1], od))
+
+
+def gen_dob(form: Column, key: Column, b: Column) -> Column:
+    y, m, d = _f(key, "dob_ymd", lambda: dob_draws(form, key))
+
     months = F.array(*[F.lit(x) for x in R.MONTHS])
     short = F.array(*[F.lit(x) for x in R.SHORT_MONTHS])
     mon_long = F.element_at(months, m.cast("int"))
     mon_short = F.element_at(short, m.cast("int"))
     ys, ms, dd = F.lpad(y.cast("string"), 4, "0"), pad2(m), pad2(d)
-    short_used = form.rlike(r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b")
+    short_used = _f(key, "dob_short", lambda: form.rlike(r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b"))
     return (
         F.when(form.rlike(r"^\d{4}-\d{2}-\d{2}"), F.concat_ws("-", ys, ms, dd))
         .when(form.rlike(r"^\d{2}/\d{2}/\d{4}"), F.concat_ws("/", ms, dd, ys))
@@ -265,7 +283,23 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
     key = F.concat_ws("|", *key_parts)
     h, ds = hash_columns(key)
     m = m.withColumn("_h", h).withColumn("_ds", ds)
-    hk = HashKey(F.col("_h"), F.col("_ds"))
+    # shared sub-expressions of the generators, computed once per row as columns (keeps the
+    # generated code of the replacement projection small and each regex evaluated once)
+    base = HashKey(F.col("_h"), F.col("_ds"))
+    form = F.col("form")
+    y, mo, d = dob_draws(form, base)
+    feats = {
+        "ph_has_ext": form.rlike(PHONE_EXT), "ph_label": F.regexp_extract(form, PHONE_EXT, 1),
+        "ph_base": F.when(form.rlike(PHONE_EXT), F.regexp_replace(form, PHONE_EXT, "")).otherwise(form),
+        "ph_ext_n": rint(base, 1, 100, 999).cast("string"),
+        "dig0": _digits_bumped(base, F.lit(0)), "dig1": _digits_bumped(base, F.lit(1)),
+        "dob_y": y, "dob_m": mo, "dob_d": d,
+        "dob_short": form.rlike(r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b"),
+    }
+    m = m.select("*", *[e.alias(f"_f_{k}") for k, e in feats.items()])
+    ctx = {k: F.col(f"_f_{k}") for k in feats}
+    ctx["dob_ymd"] = (ctx.pop("dob_y"), ctx.pop("dob_m"), ctx.pop("dob_d"))
+    hk = HashKey(F.col("_h"), F.col("_ds"), ctx)
     r0 = replacement(F.col("type"), F.col("form"), hk, F.lit(0), generators)
     r1 = replacement(F.col("type"), F.col("form"), hk, F.lit(1), generators)
     m = m.withColumn("_r0", r0)
@@ -278,7 +312,7 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
     unknown = m.filter(~known).withColumn("replacement", F.concat(
         F.lit("["), F.col("type"), F.lit("_"), F.dense_rank().over(rank_w).cast("string"), F.lit("]")))
     m = m.filter(known).unionByName(unknown)
-    return m.drop("_h", "_ds", "_r0")
+    return m.drop("_h", "_ds", "_r0", *[f"_f_{k}" for k in feats])
 
 
 def apply_mapping(entities: DataFrame, mapping: DataFrame, scope: str = "corpus") -> DataFrame:
