@@ -30,3 +30,15 @@ def test_hot_value_is_one_mapping_row(spark):
     rows = m.collect()
     assert len(rows) == 1 and rows[0].occurrences == 5000 and rows[0].form == "John Doe"
     assert pseudonymize(ents).select("replacement").distinct().count() == 1
+
+
+def test_detection_has_one_doc_id_shuffle(spark):
+    """All sweeps, the dedupe window and the overlap fold reuse one hash partitioning by doc_id."""
+    import re
+
+    from shroud.plans.catalog import corpus
+    from shroud.plans.detect import detect
+
+    plan = _plan(detect(corpus(spark, SF)))
+    exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert exchanges.count("doc_id") == 1, exchanges
