@@ -45,7 +45,8 @@ CARD_SCORES = {"base": 0.95, "kw": 0.99}
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
 IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"
 IP_SCORES = {"v4": 0.95, "v6": 0.93}
-IP_VERSION_PREFIX = r"(?i)(?:version|v|ver|release|build|revision)\s*\.?\s*$"
+# word list of the dormant rules, word boundary of the active validator ("server 10.0.0.2" is an IP)
+IP_VERSION_PREFIX = r"(?i)\b(?:version|v|ver|release|build|revision)\s*\.?\s*$"
 
 URL = (r"(?i)(?:https?://|www\.)[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
        r"|(?:linkedin\.com|github\.com|gitlab\.com|bitbucket\.org)[/A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]*")

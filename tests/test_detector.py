@@ -140,3 +140,31 @@ def test_hot_document_many_matches(spark):
     exp = [(m.start(), m.end()) for m in re.finditer(R.EMAIL, text)]
     assert [(s.start, s.end) for s in got] == exp
     assert elapsed < 60
+
+
+def test_ip_guards_and_sections(detect_texts):
+    texts = ["see http://10.0.0.1/admin for the panel",
+             "Server 10.0.0.2 is up",
+             "release 1.2.3.4 shipped",
+             "dev 10.0.0.3",  # 'v' ends a word but is not one
+             "TECHNICAL SKILLS\nSpring Boot\nData Structures\n\nEXPERIENCE\nMaria Lopez\n"]
+    r = detect_texts(texts)
+    ips = lambda i: [e.value for e in r[i] if e.type == "IP_ADDRESS"]
+    assert ips(0) == [] and ips(1) == ["10.0.0.2"] and ips(2) == [] and ips(3) == ["10.0.0.3"]
+    persons = [e.value for e in r[4] if e.type == "PERSON"]
+    assert persons == ["Maria Lopez"]  # skills lines are suppressed, EXPERIENCE is not
+
+
+def test_external_candidates(spark):
+    from shroud.plans.detect import scored_candidates
+
+    docs = spark.createDataFrame([(1, "Patient born 12 May 1980 in Springfield. Meeting on 3 June 2020.\n\nSigned by Acme Holdings")],
+                                 "doc_id long, text string")
+    ext = spark.createDataFrame([(1, "DATE", 13, 24, 0.85), (1, "DATE", 52, 63, 0.85), (1, "LOCATION", 28, 39, 0.85),
+                                 (1, "ORG", 76, 90, 0.85)],
+                                "doc_id long, entity_type string, start int, end int, score double")
+    rows = {(r.start, r.type): r for r in scored_candidates(docs, external=ext).filter("recognizer = 'external'").collect()}
+    assert rows[(13, "DOB")].reject_reason is None and rows[(13, "DOB")].confidence == 0.90
+    assert rows[(52, "DOB")].reject_reason == "no_birth_keyword"
+    assert rows[(28, "LOCATION")].reject_reason == "location"
+    assert rows[(76, "COMPANY")].value == "Acme Holdings"
