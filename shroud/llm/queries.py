@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shroud.llm import minhash
-from shroud.llm.common import table
+from shroud.llm import langid, minhash
+from shroud.llm.common import remainder, table
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.trained(docs))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "accepted")
+
+
 QUERIES = {
+    "op10_langid": op10_langid,
     "op2_minhash": op2_minhash,
 }
 
