@@ -31,7 +31,7 @@ from shroud.llm.text import Texts, distinct_words, mix64, per_text, slices, word
 ORDER = 5
 MIN_SHARE = 1e-6
 CALIBRATION_ROWS = 4000  # bound of the sample on which the rejection limits are set
-LIMIT_SIGMAS, LIMIT_BITS = 8.0, 0.75  # a text is rejected beyond mean + sigmas * deviation + bits
+LIMIT_SIGMAS, LIMIT_BITS = 8.0, 1.5  # a text is rejected beyond mean + sigmas * deviation + bits
 BLANK = 32
 
 _LETTER = None
