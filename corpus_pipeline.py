@@ -8,20 +8,43 @@ shared folder and rereads it as the next one's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shroud.llm import minhash
+from shroud.llm import decontam, langid, minhash, packing, queries, toxicity
 from shroud.llm.common import table, written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or that no language model fits, go."""
+    return langid.clean(docs, langid.trained(docs))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.3 or more go."""
+    return toxicity.clean(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 or more) stays: the smallest id."""
     kept = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as pieces of 2048-token sequences, with their token ids."""
+    return packing.pack(docs, queries.vocabulary())
+
+
 STAGES = [
-    ("minhash", near_dedup),
+    ("language", language),
+    ("toxicity", toxic),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack),
 ]
 
 #: Models and MinHash can't be expressed in SQL; the stages are tested against brute force.

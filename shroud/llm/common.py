@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shroud.llm.text import Texts, slices
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def judged(docs: DataFrame, make: Callable[[], Callable[[Texts], np.ndarray]], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` for whose texts the judge says true, all columns; ``make`` gives a task its judge."""
+
+    def run(batches):
+        judge = make()
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            keep = [judge(t) for t in slices(b.column(at))]
+            yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

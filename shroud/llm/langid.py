@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import remainder
+from shroud.llm.common import judged, remainder
 from shroud.llm.text import Texts, distinct_words, mix64, per_text, slices, words
 
 ORDER = 5
@@ -255,6 +255,20 @@ def identify(docs: DataFrame, fitted: dict, keep: tuple[str, ...] = ("doc_id",))
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, entropy double, accepted boolean")
 
 
+def clean(docs: DataFrame, fitted: dict) -> DataFrame:
+    """The rows of ``docs`` in an accepted language, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def judge(t: Texts) -> np.ndarray:
+        model, limits = shared.value["model"], shared.value["limits"]
+        if model is None:
+            return np.zeros(len(t), bool)
+        h, n = model.entropy(t)
+        return (n > 0) & (h.min(axis=1) <= limits[h.argmin(axis=1)])
+
+    return judged(docs, lambda: judge)
+
+
 def trained(docs: DataFrame) -> dict:
     """A model of the rows whose crc32(doc_id) mod 4 is not 2."""
     return fit(docs.where(remainder("doc_id", 4) != 2))

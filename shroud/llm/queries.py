@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import langid, minhash, packing, toxicity
+from shroud.llm import decontam, langid, minhash, packing, toxicity
 from shroud.llm.common import remainder, table
 
 
@@ -13,6 +13,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def vocabulary() -> str:
     """The file of the tokeniser that the packed ids belong to."""
     import public_tokenizers
@@ -38,6 +42,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontam": op3_decontam,
     "op4_packing": op4_packing,
     "op7_toxicity": op7_toxicity,
     "op10_langid": op10_langid,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import remainder
+from shroud.llm.common import judged, remainder
 from shroud.llm.text import Texts, distinct_words, slices, words
 
 SAMPLE_ROWS = 20_000  # bound of the labelled rows that the lexicon and the weights are learned from
@@ -302,6 +302,17 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, score double, hits bigint, quoted bigint")
 
 
+def clean(docs: DataFrame, fitted: dict, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def judge():
+        scanner = Scanner(shared.value["lexicon"])
+        return lambda t: probability(shared.value["weights"], scanner.features(t)) < threshold
+
+    return judged(docs, judge)
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> dict:
     """Lexicon and weights from labelled rows whose crc32(doc_id) mod 4 is not 2."""
     return fit(docs, labels, remainder("doc_id", 4) != 2)
