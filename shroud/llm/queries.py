@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import decontam, langid, minhash, packing, toxicity
+from shroud.llm import decontam, langid, minhash, packing, toxicity, urls, warc
 from shroud.llm.common import remainder, table
 
 
@@ -29,6 +29,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: FIXED VALUES: the rules of the query (host, path, verdict).
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +56,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_decontam": op3_decontam,
     "op4_packing": op4_packing,
+    "op6_urls": op6_urls,
+    "op9_warc": op9_warc,
     "op7_toxicity": op7_toxicity,
     "op10_langid": op10_langid,
     "op2_minhash": op2_minhash,
