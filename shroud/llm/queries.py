@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import decontam, langid, minhash, packing, toxicity, urls, warc
+from shroud.llm import decontam, extract, langid, minhash, packing, toxicity, urls, warc
 from shroud.llm.common import remainder, table
 
 
@@ -37,6 +37,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_decontam": op3_decontam,
     "op4_packing": op4_packing,
     "op6_urls": op6_urls,
+    "op8_extract": op8_extract,
     "op9_warc": op9_warc,
     "op7_toxicity": op7_toxicity,
     "op10_langid": op10_langid,
