@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import decontam, extract, langid, minhash, packing, toxicity, urls, warc
+from shroud.llm import decontam, embed, extract, langid, minhash, packing, toxicity, urls, warc
 from shroud.llm.common import remainder, table
 
 
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 #: FIXED VALUES: the rules of the query (host, path, verdict).
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -60,6 +64,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_decontam": op3_decontam,
     "op4_packing": op4_packing,
+    "op5_embeddings": op5_embeddings,
     "op6_urls": op6_urls,
     "op8_extract": op8_extract,
     "op9_warc": op9_warc,
