@@ -54,7 +54,7 @@ class Node:
     def __init__(self, tag: str, names: str, parent: "Node | None", skipped: bool):
         self.tag, self.parent, self.skipped = tag, parent, skipped
         own = tag + "".join("." + DIGITS.sub("N", x) for x in sorted(set(names.split())))
-        self.path = own if parent is None else f"{parent.path}>{own}"
+        self.path = f"{parent.path}>{own}" if parent is not None and parent.path else own
 
 
 def outside(tag: str, names: str, in_article: bool) -> bool:
@@ -67,7 +67,6 @@ def outside(tag: str, names: str, in_article: bool) -> bool:
 def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
     """(innermost element, text, characters in links) of every block outside of boilerplate, in page order."""
     root = Node("", "", None, False)
-    root.path = ""
     node, text, linked, links, articles = root, [], 0, 0, 0
     owner = root
     stack = [root]
