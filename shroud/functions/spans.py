@@ -78,35 +78,31 @@ def find_spans(text: Column, pattern: str, group: bool = False, guard: Column |
 
 # ---------------------------------------------------------------- windows (CTX-01/02/03)
 
-def cut(text: Column, lo: Column, hi: Column) -> Column:
-    """Python ``text[lo:hi]`` for 0-based, already clamped offsets."""
-    return F.substring(text, lo + 1, F.greatest(hi - lo, F.lit(0)))
+CHUNK = 256  # characters; a window reads the few chunks it touches, not the text from its start
 
 
-def context(text: Column, start: Column, end: Column, n: int = 80) -> Column:
-    """Raw window of ``n`` characters on each side (CTX-01)."""
-    lo = F.greatest(start - n, F.lit(0))
-    hi = F.least(end + n, F.length(text))
-    return cut(text, lo, hi)
+def chunks(text: Column) -> Column:
+    """The text as an array of ``CHUNK`` characters each: one pass, made once per document."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
 
-def para_context(text: Column, start: Column, end: Column, n: int = 40) -> Column:
-    """Window of ``n`` each side cut at paragraph breaks (CTX-02).
+def cut_sql(lo: str, hi: str, ch: str = "_ch") -> str:
+    """SQL of Python ``text[lo:hi]`` (0-based, clamped offsets) over the chunk column ``ch``."""
+    first = f"int(({lo}) div {CHUNK})"
+    return (f"substring(array_join(slice({ch}, {first} + 1, greatest(int((({hi}) - 1) div {CHUNK}) - {first} + 1, 0)), ''), "
+            f"int(({lo}) % {CHUNK}) + 1, int(greatest(({hi}) - ({lo}), 0)))")
 
-    Start moves after the last ``\\n\\n`` that begins in [lo, start); end moves to the first
-    ``\\n\\n`` that begins in [end, hi) -- only when the raw window contains a ``\\n\\n``.
-    """
-    lo = F.greatest(start - n, F.lit(0))
-    hi = F.least(end + n, F.length(text))
-    raw = cut(text, lo, hi)
-    # last "\n\n" lying inside text[lo:start] (str.rfind semantics)
-    left = cut(text, lo, start)
-    k = F.locate("\n\n", F.reverse(left))  # 1-based position in the reversed string, 0 = none
-    new_lo = F.when(k > 0, lo + F.length(left) - k + 1).otherwise(lo)
-    # first "\n\n" lying inside text[end:hi] (str.find semantics)
-    j = F.locate("\n\n", cut(text, end, hi))
-    new_hi = F.when(j > 0, end + j - 1).otherwise(hi)
-    return F.when(F.instr(raw, "\n\n") > 0, cut(text, new_lo, new_hi)).otherwise(raw)
+
+def cut(ch: Column, lo: Column, hi: Column) -> Column:
+    """``cut_sql`` as a Column: Python ``text[lo:hi]`` over ``chunks(text)``."""
+    first = F.floor(lo / CHUNK).cast("int")
+    count = F.greatest(F.floor((hi - 1) / CHUNK).cast("int") - first + 1, F.lit(0))
+    return F.substring(F.array_join(F.slice(ch, first + 1, count), ""), (lo % CHUNK).cast("int") + 1, F.greatest(hi - lo, F.lit(0)).cast("int"))
+
+
+def context(ch: Column, length: Column, start: Column, end: Column, n: int = 80) -> Column:
+    """Raw window of ``n`` characters on each side (CTX-01) over ``chunks(text)``; ``length`` of the text."""
+    return cut(ch, F.greatest(start - n, F.lit(0)), F.least(end + n, length))
 
 
 def has_any(s: Column, keywords: list[str]) -> Column:

@@ -23,7 +23,7 @@ def normalize(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"^\s+|\s+$", ""))
 
 
-N_SLOTS = 8
+N_SLOTS = 8  # slots hashed once per mapping row; further ones on demand
 
 
 class HashKey:
@@ -31,8 +31,8 @@ class HashKey:
     18 digits of md5(key|0). Generators read these columns instead of hashing again, which
     keeps the per-type expressions small enough for whole-stage code generation."""
 
-    def __init__(self, h: Column, ds: Column, ctx: dict | None = None):
-        self.h, self.ds, self.ctx = h, ds, ctx or {}
+    def __init__(self, h: Column, ds: Column, key: Column, ctx: dict | None = None):
+        self.h, self.ds, self.key, self.ctx = h, ds, key, ctx or {}
 
 
 def _f(key, name: str, expr):
@@ -41,19 +41,25 @@ def _f(key, name: str, expr):
     return ctx[name] if name in ctx else expr()
 
 
+def _eighteen(key: Column, slot: int) -> Column:
+    """60 bits of md5(key|slot) modulo 10^18, as 18 digits."""
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{slot}"))), 1, 15), 16, 10).cast("bigint")
+    return F.lpad((bits % F.lit(10**18)).cast("string"), 18, "0")
+
+
 def hash_columns(key: Column) -> tuple[Column, Column]:
     h = F.array(*[F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{i}"))), 1, 8), 16, 10).cast("bigint")
                   for i in range(N_SLOTS)])
-    ds = F.lpad(F.conv(F.substring(F.md5(F.concat(key, F.lit("|0"))), 1, 15), 16, 10), 18, "0")
-    return h, ds
+    return h, _eighteen(key, 0)
 
 
 def draw(key, slot: int, n: int, bump: Column | None = None) -> Column:
     """Integer in [0, n) from the 32 high bits of md5(key|slot); ``bump`` shifts it by one."""
-    if isinstance(key, HashKey):
+    if isinstance(key, HashKey) and slot < N_SLOTS:
         h = F.get(key.h, slot)
-    else:
-        h = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{slot}"))), 1, 8), 16, 10).cast("bigint")
+    else:  # a user's generator may take any slot
+        text = key.key if isinstance(key, HashKey) else key
+        h = F.conv(F.substring(F.md5(F.concat(text, F.lit(f"|{slot}"))), 1, 8), 16, 10).cast("bigint")
     if bump is not None:
         h = h + bump
     return F.pmod(h, F.lit(n))
@@ -68,7 +74,7 @@ def digit_string(key, slot: int) -> Column:
     """18 decimal digits from 60 bits of md5(key|slot)."""
     if isinstance(key, HashKey) and slot == 0:
         return key.ds
-    return F.lpad(F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{slot}"))), 1, 15), 16, 10), 18, "0")
+    return _eighteen(key.key if isinstance(key, HashKey) else key, slot)
 
 
 def pick(values: list[str], key: Column, slot: int, bump: Column | None = None) -> Column:
@@ -285,7 +291,7 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
     m = m.withColumn("_h", h).withColumn("_ds", ds)
     # shared sub-expressions of the generators, computed once per row as columns (keeps the
     # generated code of the replacement projection small and each regex evaluated once)
-    base = HashKey(F.col("_h"), F.col("_ds"))
+    base = HashKey(F.col("_h"), F.col("_ds"), key)
     form = F.col("form")
     y, mo, d = dob_draws(form, base)
     feats = {
@@ -299,7 +305,7 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
     m = m.select("*", *[e.alias(f"_f_{k}") for k, e in feats.items()])
     ctx = {k: F.col(f"_f_{k}") for k in feats}
     ctx["dob_ymd"] = (ctx.pop("dob_y"), ctx.pop("dob_m"), ctx.pop("dob_d"))
-    hk = HashKey(F.col("_h"), F.col("_ds"), ctx)
+    hk = HashKey(F.col("_h"), F.col("_ds"), key, ctx)
     r0 = replacement(F.col("type"), F.col("form"), hk, F.lit(0), generators)
     r1 = replacement(F.col("type"), F.col("form"), hk, F.lit(1), generators)
     m = m.withColumn("_r0", r0)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.spans import cut, luhn_ok, para_context
+from ..functions.spans import chunks, cut_sql, luhn_ok
 
 CAND_STRUCT = "struct<type:string,recognizer:string,start:int,end:int,value:string,score:double>"
 
@@ -78,8 +78,7 @@ def builtin_specs() -> list[Spec]:
              any_of_lower=["pin", "zip", "postal"]),
         Spec("ADDRESS", "address_label", R.ADDRESS_LABEL, R.ADDRESS_SCORES["label"], group=True,
              any_of_lower=["address", "residen"],
-             check=lambda v: (F.length(F.trim(v)) >= R.ADDRESS_LABEL_LEN[0])
-             & (F.length(F.trim(v)) <= R.ADDRESS_LABEL_LEN[1])),
+             check=lambda v: F.length(F.regexp_replace(v, r"^\s+|\s+$", "")).between(*R.ADDRESS_LABEL_LEN)),
     ]
     for name, pat in R.DOB_PATTERNS:
         specs.append(Spec("DOB", name, pat, R.DOB_SCORE, context=R.DOB_KEYWORDS, require_context=True,
@@ -106,8 +105,14 @@ def _any_sql(col: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"instr({col}, {sql_lit(w)}) > 0" for w in words) + ")"
 
 
-def _cut_sql(lo: str, hi: str) -> str:
-    return f"substring(text, ({lo}) + 1, greatest(({hi}) - ({lo}), 0))"
+def bind_sql(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is then evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def with_chunks(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds what the windows read: ``_ch`` (the text in chunks) and ``_n`` (its length)."""
+    return df.withColumns({"_ch": chunks(F.col(text)), "_n": F.length(text)})
 
 
 def luhn_sql(v: str) -> str:
@@ -133,8 +138,8 @@ def _score_sql(sp: Spec) -> str:
     base = repr(float(sp.score))
     if sp.context:
         w = sp.context_window
-        win = f"lower({_cut_sql(f'greatest(s.start - {w}, 0)', f'least(s.end + {w}, length(text))')})"
-        kw = _any_sql(win, sp.context)
+        win = f"lower({cut_sql(f'greatest(s.start - {w}, 0)', f'least(s.end + {w}, _n)')})"
+        kw = bind_sql(win, "w", _any_sql("w", sp.context))
         if sp.require_context:
             base = f"CASE WHEN {kw} THEN {base} END"
         elif sp.context_score is not None:
@@ -192,34 +197,37 @@ def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str])
 
 
 def _features_sql() -> str:
-    """SQL turning candidate ``c`` into the feature struct (uses columns text, _fl_start, _fl_line)."""
+    """SQL turning candidate ``c`` into the feature struct (uses columns _ch, _n, _fl_start, _fl_line)."""
     street = f"IF(c.type = 'PERSON', regexp_extract(c.value, {sql_lit(R.PERSON_STREET_SUFFIX)}, 1), '')"
-    pv = f"substring(c.value, 1, length(c.value) - length({street}))"
+    # the entity context is cut at the span the validators will settle on (VAL-06/12)
     cs = f"(c.start + IF(c.type IN ('COMPANY', 'ORG'), {company_trim_sql('c.value')}, 0))"
-    ce = f"(c.end - length({street}))"
-    return (
+    ce = "(c.end - length(b.street))"
+    pv = "substring(c.value, 1, length(c.value) - length(b.street))"
+    left = max(30, R.IP_VERSION_WINDOW)
+    body = (
         "named_struct('type', c.type, 'recognizer', c.recognizer, 'start', c.start, 'end', c.end, "
         "'value', c.value, 'score', c.score, "
-        f"'context', {para_context_sql(cs, ce)}, "
-        f"'left30', {_cut_sql('greatest(c.start - 30, 0)', 'c.start')}, "
-        f"'left10', {_cut_sql('greatest(c.start - 10, 0)', 'c.start')}, "
-        f"'left20', {_cut_sql(f'greatest(c.start - {R.IP_VERSION_WINDOW}, 0)', 'c.start')}, "
-        f"'right5', {_cut_sql('c.end', 'least(c.end + 5, length(text))')}, "
-        f"'ip_tail', {_cut_sql('c.start', f'least(c.end + {R.IP_URL_LOOKAHEAD}, length(text))')}, "
-        f"'in_first_line', instr(_fl_line, {pv}) > 0)"
+        f"'context', {para_context_sql('b.cs', ce)}, "
+        "'left30', right(b.left, 30), 'left10', right(b.left, 10), "
+        f"'left20', right(b.left, {R.IP_VERSION_WINDOW}), 'right5', left(b.right, 5), "
+        f"'ip_tail', concat(c.value, left(b.right, {R.IP_URL_LOOKAHEAD})), "
+        # a name that lies in the first line needs no search
+        f"'in_first_line', c.type = 'PERSON' AND (c.end <= _fl_start + length(_fl_line) OR instr(_fl_line, {pv}) > 0))"
     )
+    window = (f"named_struct('street', {street}, 'cs', {cs}, 'left', {cut_sql(f'greatest(c.start - {left}, 0)', 'c.start')}, "
+              f"'right', {cut_sql('c.end', f'least(c.end + {R.IP_URL_LOOKAHEAD}, _n)')})")
+    return bind_sql(window, "b", body)
 
 
 def para_context_sql(s: str, e: str, n: int = 40) -> str:
-    lo = f"greatest(({s}) - {n}, 0)"
-    hi = f"least(({e}) + {n}, length(text))"
-    raw = _cut_sql(lo, hi)
-    left = _cut_sql(lo, s)
-    k = f"locate(concat(chr(10), chr(10)), reverse({left}))"
-    new_lo = f"IF({k} > 0, {lo} + length({left}) - {k} + 1, {lo})"
-    j = f"locate(concat(chr(10), chr(10)), {_cut_sql(e, hi)})"
-    new_hi = f"IF({j} > 0, ({e}) + {j} - 1, {hi})"
-    return f"IF(instr({raw}, concat(chr(10), chr(10))) > 0, {_cut_sql(new_lo, new_hi)}, {raw})"
+    """CTX-02: the window of ``n`` each side, cut after the last ``\\n\\n`` left of the span and before the
+    first one right of it, when the raw window holds one."""
+    lo, hi = f"greatest(({s}) - {n}, 0)", f"least(({e}) + {n}, _n)"
+    brk = "concat(chr(10), chr(10))"
+    window = (f"named_struct('raw', {cut_sql(lo, hi)}, 'left', {cut_sql(lo, s)}, 'mid', {cut_sql(s, e)}, 'tail', {cut_sql(e, hi)})")
+    left = f"IF(instr(w.left, {brk}) > 0, right(w.left, locate({brk}, reverse(w.left)) - 1), w.left)"
+    tail = f"IF(instr(w.tail, {brk}) > 0, left(w.tail, locate({brk}, w.tail) - 1), w.tail)"
+    return bind_sql(window, "w", f"IF(instr(w.raw, {brk}) > 0, concat({left}, w.mid, {tail}), w.raw)")
 
 
 def company_trim_sql(v: str) -> str:
@@ -233,6 +241,11 @@ def company_trim_sql(v: str) -> str:
     return f"IF({n} > 0 AND {n} < size({toks}), length({v}) - length({rest}), 0)"
 
 
+# FUN-06 in SQL: characters before the first non-blank line, and that line
+FIRST_LEAD = r"length(regexp_extract(text, r'^((?:[ \t\r\f\x0B]*\n)*)', 1))"
+FIRST_LINE = r"regexp_extract(text, r'^(?:[ \t\r\f\x0B]*\n)*([^\n]*)', 1)"
+
+
 def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str = "text",
                    doc_id: str = "doc_id", with_header: bool = True) -> DataFrame:
     """All raw candidates (CAND-01..18e, CAND-20), one row each, with validator features.
@@ -241,8 +254,8 @@ def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str =
     left20, right5, ip_tail, in_first_line. No text column.
     """
     specs = builtin_specs() if specs is None else specs
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    staged = _staged_spans(base, specs, "text", ["doc_id", "text"])
+    base = with_chunks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    staged = _staged_spans(base, specs, "text", ["doc_id", "text", "_ch", "_n"])
     per_spec = []
     col_checks = []
     for i, sp in enumerate(specs):
@@ -255,9 +268,7 @@ def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str =
             f"{sql_lit(sp.name)}, 'start', s.start, 'end', s.end, 'value', s.value, 'score', {sc})), "
             f"c -> c.score IS NOT NULL)")
     allc = f"concat({', '.join(per_spec)})" if len(per_spec) > 1 else per_spec[0]
-    fl_lead = r"length(regexp_extract(text, r'^((?:[ \t\r\f\x0B]*\n)*)', 1))"
-    fl_line = r"regexp_extract(text, r'^(?:[ \t\r\f\x0B]*\n)*([^\n]*)', 1)"
-    cands = staged.selectExpr("doc_id", "text", f"{fl_lead} AS _fl_start", f"{fl_line} AS _fl_line",
+    cands = staged.selectExpr("doc_id", "text", "_ch", "_n", f"{FIRST_LEAD} AS _fl_start", f"{FIRST_LINE} AS _fl_line",
                               f"{allc} AS _c")
     if with_header:
         strip = r"regexp_replace(_fl_line, r'^\s+|\s+$', '')"
@@ -266,20 +277,13 @@ def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str =
                f"array(named_struct('type', 'PERSON', 'recognizer', 'person_header', 'start', int(_fl_start + {lead}), "
                f"'end', int(_fl_start + {lead} + length({strip})), 'value', {strip}, "
                f"'score', CAST({R.PERSON_SCORES['header']!r} AS DOUBLE))), array())")
-        cands = cands.selectExpr("doc_id", "text", "_fl_line", f"concat(_c, {hdr}) AS _c")
+        cands = cands.selectExpr("doc_id", "_ch", "_n", "_fl_start", "_fl_line", f"concat(_c, {hdr}) AS _c")
     out = cands.selectExpr("doc_id", f"inline(transform(_c, c -> {_features_sql()}))")
     for name, chk in col_checks:
         out = out.filter((F.col("recognizer") != name) | chk(F.col("value")))
     return out
 
 
-def first_line_span(text: Column) -> Column:
-    """struct(start, line) of the first line whose strip() is non-empty (FUN-06)."""
-    m = F.regexp_extract(text, r"^((?:[ \t\r\f\x0B]*\n)*)", 1)
-    line = F.regexp_extract(text, r"^(?:[ \t\r\f\x0B]*\n)*([^\n]*)", 1)
-    return F.struct(F.length(m).alias("start"), line.alias("line"))
-
-
 def street_suffix(value: Column) -> Column:
     """Trailing street-type word of a PERSON value (VAL-06), '' if none."""
     return F.regexp_extract(value, R.PERSON_STREET_SUFFIX, 1)
@@ -299,27 +303,6 @@ def company_trim(value: Column) -> Column:
     return F.when((n_trim > 0) & (n_trim < F.size(tokens)), plen).otherwise(F.lit(0))
 
 
-def _features(text: Column, first: Column, c: Column) -> Column:
-    s, e = c["start"], c["end"]
-    n = F.length(text)
-    street = F.when(c["type"] == "PERSON", street_suffix(c["value"])).otherwise(F.lit(""))
-    pv = F.substring(c["value"], 1, F.length(c["value"]) - F.length(street))
-    # the entity context is cut at the span the validators will settle on (VAL-06/12)
-    cs = s + F.when(c["type"].isin("COMPANY", "ORG"), company_trim(c["value"])).otherwise(F.lit(0))
-    ce = e - F.length(street)
-    return F.struct(
-        c["type"].alias("type"), c["recognizer"].alias("recognizer"), s.alias("start"), e.alias("end"),
-        c["value"].alias("value"), c["score"].alias("score"),
-        para_context(text, cs, ce, 40).alias("context"),
-        cut(text, F.greatest(s - 30, F.lit(0)), s).alias("left30"),
-        cut(text, F.greatest(s - 10, F.lit(0)), s).alias("left10"),
-        cut(text, F.greatest(s - R.IP_VERSION_WINDOW, F.lit(0)), s).alias("left20"),
-        cut(text, e, F.least(e + 5, n)).alias("right5"),
-        cut(text, s, F.least(e + R.IP_URL_LOOKAHEAD, n)).alias("ip_tail"),
-        (F.instr(first["line"], pv) > 0).alias("in_first_line"),
-    )
-
-
 def external_candidates(docs: DataFrame, ext: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """CAND-19: NER output ``(doc_id, entity_type, start, end, score)`` with value and features.
 
@@ -334,10 +317,9 @@ def external_candidates(docs: DataFrame, ext: DataFrame, text: str = "text", doc
         )).alias("_x")
     )
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(grouped, "doc_id")
-    t = F.col("text")
-    first = first_line_span(t)
-    withval = F.transform(F.col("_x"), lambda c: F.struct(
-        c["type"].alias("type"), c["recognizer"].alias("recognizer"), c["start"].alias("start"),
-        c["end"].alias("end"), cut(t, c["start"], c["end"]).alias("value"), c["score"].alias("score")))
-    feats = F.transform(withval, lambda c: _features(t, first, c))
-    return d.select("doc_id", F.inline(feats))
+    d = with_chunks(d).selectExpr("doc_id", "_ch", "_n", "_x", f"{FIRST_LEAD} AS _fl_start", f"{FIRST_LINE} AS _fl_line")
+    value = cut_sql("x.start", "x.end")
+    d = d.selectExpr("doc_id", "_ch", "_n", "_fl_start", "_fl_line",
+                     f"transform(_x, x -> named_struct('type', x.type, 'recognizer', x.recognizer, 'start', x.start, "
+                     f"'end', x.end, 'value', {value}, 'score', x.score)) AS _c")
+    return d.selectExpr("doc_id", f"inline(transform(_c, c -> {_features_sql()}))")

@@ -74,7 +74,8 @@ def validate(c: DataFrame, whole_word_denylist: bool = False) -> DataFrame:
     low_score = F.when(sc < R.AMBIGUOUS_MIN, "low_score")
     reason = (
         F.when((t == "IP_ADDRESS") & F.lower(F.col("left20")).rlike(R.IP_VERSION_PREFIX), "ip_version")
-        .when((t == "IP_ADDRESS") & ip_rejected(F.col("left20"), F.col("ip_tail"), F.col("ip_url_line")), "ip_in_url")
+        # IPv4 only: the full IPv6 form has no such guard
+        .when((F.col("recognizer") == "ipv4_regex") & ip_rejected(F.col("left20"), F.col("ip_tail"), F.col("ip_url_line")), "ip_in_url")
         .when(structured & (sc < R.STRUCTURED_MIN), "low_score")
         .when(structured, F.lit(None))
         .when(F.col("protected"), "protected_overlap")

@@ -153,7 +153,7 @@ def score_sql(rec: str) -> str:
     if rec in ("address_street", "address_po_box", "address_pin"):
         return "0.88"
     if rec == "address_label":
-        return "CASE WHEN length(trim(value)) BETWEEN 10 AND 300 THEN 0.92 END"
+        return "CASE WHEN length(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) BETWEEN 10 AND 300 THEN 0.92 END"
     if rec.startswith("dob_"):
         return f"CASE WHEN {has_any(win(80), R.DOB_KEYWORDS)} THEN 0.93 END"
     if rec == "person_short_line":
@@ -247,7 +247,7 @@ def scored_sql(corpus: str = "corpus", external: str | None = None) -> str:
       SELECT *,
         CASE
           WHEN type = 'IP_ADDRESS' AND regexp_matches(lower(left20), {q(R.IP_VERSION_PREFIX.replace('(?i)', ''))}) THEN 'ip_version'
-          WHEN type = 'IP_ADDRESS' AND (strpos(ip_tail, '://') > 0 OR ip_url_line) THEN 'ip_in_url'
+          WHEN recognizer = 'ipv4_regex' AND (strpos(ip_tail, '://') > 0 OR ip_url_line) THEN 'ip_in_url'
           WHEN type IN ('URL', 'EMAIL', 'PHONE', 'SSN', 'CREDIT_CARD', 'IP_ADDRESS') AND score < 0.85 THEN 'low_score'
           WHEN type IN ('URL', 'EMAIL', 'PHONE', 'SSN', 'CREDIT_CARD', 'IP_ADDRESS') THEN NULL
           WHEN recognizer = 'person_short_line' THEN
@@ -409,7 +409,7 @@ def _s(x: str) -> str:
 
 
 def _digits(b: str) -> str:
-    ds = "lpad(CAST(CAST('0x' || substr(md5(k || '|0'), 1, 15) AS UBIGINT) AS VARCHAR), 18, '0')"
+    ds = "lpad(CAST(CAST('0x' || substr(md5(k || '|0'), 1, 15) AS UBIGINT) % 1000000000000000000 AS VARCHAR), 18, '0')"
     return f"(CAST((CAST(substr({ds}, 1, 1) AS INT) + {b}) % 10 AS VARCHAR) || substr({ds}, 2, 17))"
 
 

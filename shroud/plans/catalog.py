@@ -7,6 +7,8 @@ aliased, integer columns are BIGINT, so the DuckDB oracle can be compared column
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from . import evaluate as EV
 
 CAND_COLS = ["doc_id", "type", "recognizer", "start", "end", "value", "score"]
 
-_PLANS: dict = {}
+_PLANS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def plan_cache(fn):
@@ -28,10 +30,11 @@ def plan_cache(fn):
     Only plans are shared -- every query still executes from the parquet tables; checkpointed
     (materialized) frames are never cached here."""
     def wrapper(spark: SparkSession, sf: str) -> DataFrame:
-        key = (fn.__name__, id(spark), sf)
-        if key not in _PLANS:
-            _PLANS[key] = fn(spark, sf)
-        return _PLANS[key]
+        plans = _PLANS.setdefault(spark, {})
+        key = (fn.__name__, sf)
+        if key not in plans:
+            plans[key] = fn(spark, sf)
+        return plans[key]
     wrapper.__name__ = fn.__name__
     wrapper.__doc__ = fn.__doc__
     return wrapper
@@ -43,16 +46,28 @@ def _big(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
+PARTITIONS = "spark.shroud.corpus.partitions"
+
+
+def laid_out(df: DataFrame) -> DataFrame:
+    """The documents in as many partitions as the session option ``PARTITIONS`` asks for.
+
+    The option is for tables of a few row groups, which one task would read; unset (a cluster), the scan's
+    splits are kept and no text moves."""
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n), "doc_id") if n else df
+
+
 @plan_cache
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return S.corpus(spark, sf)
+    return laid_out(S.corpus(spark, sf))
 
 
 @plan_cache
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """All raw candidates of the shipped recognizers (+ short-line names)."""
     specs = recognizers.builtin_specs() + [recognizers.short_line_spec()]
-    return recognizers.raw_candidates(D.spread(corpus(spark, sf)), specs)
+    return recognizers.raw_candidates(corpus(spark, sf), specs)
 
 
 def cand(recs: list[str]):
@@ -90,9 +105,10 @@ def q_rejections(spark, sf):
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def q_reason(reasons: list[str]):
+def q_reason(reasons: list[str], external: bool = False):
     def q(spark, sf):
-        return scored_view(spark, sf).filter(F.col("reject_reason").isin(*reasons))
+        s = _big(scored_ext(spark, sf).select(*SCORED_COLS), "start", "end") if external else scored_view(spark, sf)
+        return s.filter(F.col("reject_reason").isin(*reasons))
     return q
 
 
@@ -115,16 +131,16 @@ def q_src04(spark, sf):
 
 
 def q_sect01(spark, sf):
-    return _big(sections.headings(D.spread(corpus(spark, sf))), "start", "end")
+    return _big(sections.headings(corpus(spark, sf)), "start", "end")
 
 
 def q_sect02(spark, sf):
-    h = sections.headings(D.spread(corpus(spark, sf)))
+    h = sections.headings(corpus(spark, sf))
     return h.groupBy("raw", "name").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 def q_sect03(spark, sf):
-    return _big(sections.sections(D.spread(corpus(spark, sf))), "ord", "start", "end")
+    return _big(sections.sections(corpus(spark, sf)), "ord", "start", "end")
 
 
 def q_sect04(spark, sf):
@@ -162,6 +178,8 @@ EXTERNAL_SQL = [
     "'end', instr(text, ' years.') + 5, 'score', 0.85D)",
     "named_struct('entity_type', 'DATE', 'start', instr(text, 'Date of birth: ') + 14, "
     "'end', instr(text, 'Date of birth: ') + 24, 'score', 0.85D)",
+    "named_struct('entity_type', 'ORG', 'start', instr(text, 'Spring Boot') - 1, "
+    "'end', instr(text, 'Spring Boot') + 10, 'score', 0.85D)",
     "named_struct('entity_type', 'CARDINAL', 'start', instr(text, 'covers ') + 6, "
     "'end', instr(text, ' orders.') - 1, 'score', 0.85D)",
 ]
@@ -182,7 +200,7 @@ INVOICE_SPEC = Spec("INVOICE_NO", "invoice_number", r"(?<pre>\bInvoice )(?<val>\
 
 
 def q_cand20(spark, sf):
-    r = recognizers.raw_candidates(D.spread(corpus(spark, sf)), [INVOICE_SPEC], with_header=False)
+    r = recognizers.raw_candidates(corpus(spark, sf), [INVOICE_SPEC], with_header=False)
     return _big(r.select(*CAND_COLS), "start", "end")
 
 
@@ -194,11 +212,12 @@ def q_udf01(spark, sf):
 
 def q_ctx01(spark, sf):
     from ..functions.spans import context, find_spans
-    c = D.spread(corpus(spark, sf))
-    sp = c.select("doc_id", "text", find_spans(F.col("text"), R.EMAIL, guard=F.instr("text", "@") > 0).alias("s"))
-    e = sp.select("doc_id", "text", F.explode("s").alias("m"))
-    return _big(e.select("doc_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"),
-                         context(F.col("text"), F.col("m.start"), F.col("m.end"), 80).alias("context")), "start", "end")
+    c = recognizers.with_chunks(corpus(spark, sf))
+    sp = c.select("doc_id", "_ch", "_n", find_spans(F.col("text"), R.EMAIL, guard=F.instr("text", "@") > 0).alias("s"))
+    e = sp.select("doc_id", F.inline(F.transform("s", lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"),
+        context(F.col("_ch"), F.col("_n"), m["start"], m["end"], 80).alias("context")))))
+    return _big(e, "start", "end")
 
 
 def q_ctx02(spark, sf):
@@ -343,7 +362,7 @@ QUERIES = {
     "VAL-08": q_reason(["label_colon"]),
     "VAL-09": q_conf(["PERSON"], confs=[R.PERSON_SCORES["label_ctx"]]),
     "VAL-10": q_conf(["PERSON"], recs=["person_header"]),
-    "VAL-11": q_reason(["company_lowercase", "company_no_suffix"]),
+    "VAL-11": q_reason(["company_lowercase", "company_no_suffix"], external=True),
     "VAL-12": q_conf(["COMPANY"]),
     "VAL-13": q_reason(["company_institution"]),
     "VAL-14": q_reason(["address_prefix", "address_heading_number"]),
@@ -393,7 +412,7 @@ def q_pse_type(types):
 
 def q_pse13(spark, sf):
     """Values of a type without a generator get ``[TYPE_n]`` by first appearance."""
-    r = recognizers.raw_candidates(D.spread(corpus(spark, sf)), [INVOICE_SPEC], with_header=False)
+    r = recognizers.raw_candidates(corpus(spark, sf), [INVOICE_SPEC], with_header=False)
     m = pseudonyms.pseudonym_mapping(r.select("doc_id", "type", "start", "value"))
     return _big(m.select(*MAP_COLS), "occurrences")
 
@@ -492,7 +511,7 @@ def q_agg05(spark, sf):
 
 
 def q_agg06(spark, sf):
-    return _big(stats.review_queue(entities(spark, sf)).select("doc_id", "id", "type", "value", "confidence"), "id")
+    return _big(stats.review_queue(entities(spark, sf), 0.9).select("doc_id", "id", "type", "value", "confidence"), "id")
 
 
 def q_agg07(spark, sf):
@@ -514,7 +533,10 @@ TRUTH_PATTERNS = [
     ("PHONE", r"\nPhone: ([^\n]*)"), ("PHONE", r"\nMobile: ([^\n]*)"), ("SSN", r"\nSSN: ([^\n]*)"),
     ("DOB", r"\n(?:Date of birth: |Born on |DOB: )([^\n]*)"), ("ADDRESS", r"\nAddress: ([^\n]*)"),
     ("CREDIT_CARD", r"\nCard: ([^\n]*)"), ("IP_ADDRESS", r"\nServer IP: ([^\n]*)"),
-    ("COMPANY", r"\nEmployed by ([^\n]*) for [0-9]+ years"), ("PERSON", r"\nDr\. ([^\n]*) reviewed"),
+    ("COMPANY", r"\nEmployed by ([^\n]*) for [0-9]+ years"), ("PERSON", r"\n(Dr\. [^\n]*) reviewed"),
+    ("PHONE", r"\nDesk ([^\n]*)"), ("SSN", r"\nTax id ([^\n]*)"), ("IP_ADDRESS", r"\nGateway ([^\n]*)"),
+    ("URL", r"\nMirror ([^\n]*)"), ("URL", r"\nDocs at ([^ ]*) and"), ("IP_ADDRESS", r"\nDocs at [^ ]* and ([^\n]*)"),
+    ("ADDRESS", r"\nMail to ([^\n]*)"), ("ADDRESS", r"\n(PIN: [^\n]*)"), ("PERSON", r"\n(Mr Henry Oak) Drive"),
 ]
 TRAPS = ["91.211.49.166", "Spring Boot", "Data Structures", "Kisan Platform"]
 
@@ -522,7 +544,8 @@ TRAPS = ["91.211.49.166", "Spring Boot", "Data Structures", "Kisan Platform"]
 def truth(spark, sf):
     """Expected entities of every dossier, read back from its labelled lines."""
     d = S.dossiers(spark, sf)
-    rows = [F.struct(F.lit(t).alias("type"), F.regexp_extract("text", p, 1).alias("value")) for t, p in TRUTH_PATTERNS]
+    # `line`: the labelled line, which places the value (it may stand elsewhere too)
+    rows = [F.struct(F.lit(t).alias("type"), F.regexp_extract("text", p, 1).alias("value"), F.regexp_extract("text", p, 0).alias("line")) for t, p in TRUTH_PATTERNS]
     return d.select("doc_id", F.inline(F.array(*rows)))
 
 
@@ -535,8 +558,13 @@ def traps(spark, sf):
     return t.withColumn("end", F.col("start") + F.length("value")).withColumn("must_not_type", F.lit(None).cast("string"))
 
 
+def of_dossiers(df):
+    """The rows of dossiers; the ids of web pages lie above theirs."""
+    return df.filter((F.col("doc_id") >= S.DOSSIER_OFFSET) & (F.col("doc_id") < S.PAGES_OFFSET))
+
+
 def dossier_entities(spark, sf):
-    return entities(spark, sf).filter(F.col("doc_id") >= S.DOSSIER_OFFSET)
+    return of_dossiers(entities(spark, sf))
 
 
 def q_eval01(spark, sf):
@@ -552,9 +580,9 @@ def q_eval03(spark, sf):
 
 
 def q_eval04(spark, sf):
-    d = D.spread(S.dossiers(spark, sf))
+    d = S.dossiers(spark, sf)
     tok = recognizers.raw_candidates(d, [Spec("_TOKEN", "token", r"\S+", 1.0)], with_header=False).select("doc_id", "start", "end")
-    t = truth(spark, sf).join(d, "doc_id").withColumn("start", F.instr("text", F.col("value")) - 1) \
+    t = truth(spark, sf).join(d, "doc_id").withColumn("start", F.instr("text", F.col("line")) + F.instr("line", F.col("value")) - 2) \
         .withColumn("end", F.col("start") + F.length("value")).select("doc_id", "start", "end")
     return EV.token_metrics(tok, dossier_entities(spark, sf), t)
 
@@ -564,7 +592,7 @@ def q_eval05(spark, sf):
 
 
 def q_eval06(spark, sf):
-    return EV.overlap_accuracy(approved(spark, sf).filter(F.col("doc_id") >= S.DOSSIER_OFFSET),
+    return EV.overlap_accuracy(of_dossiers(approved(spark, sf)),
                                dossier_entities(spark, sf), truth(spark, sf))
 
 
@@ -646,7 +674,7 @@ QUERIES.update({
 def q_fun01(spark, sf):
     """Every run of digits in ``documents`` with code-point offsets."""
     from ..functions.spans import find_spans
-    d = D.spread(S.read_table(spark, sf, "documents").select("doc_id", "text"))
+    d = S.read_table(spark, sf, "documents").select("doc_id", "text")
     e = d.select("doc_id", F.explode(find_spans(F.col("text"), r"[0-9]+")).alias("m"))
     return _big(e.select("doc_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"),
                          F.col("m.value").alias("value")), "start", "end")
@@ -654,7 +682,7 @@ def q_fun01(spark, sf):
 
 def _card_like(spark, sf):
     specs = [Spec("CREDIT_CARD", f"card_{n}", p, 1.0) for n, p in R.CARD_PATTERNS]
-    return recognizers.raw_candidates(D.spread(corpus(spark, sf)), specs, with_header=False)
+    return recognizers.raw_candidates(corpus(spark, sf), specs, with_header=False)
 
 
 def q_fun02(spark, sf):
@@ -690,7 +718,7 @@ def q_fun06(spark, sf):
 def q_fun07(spark, sf):
     """The line containing each e-mail candidate (line start up to the match end)."""
     from ..functions.spans import find_spans, line_prefix
-    d = D.spread(corpus(spark, sf))
+    d = corpus(spark, sf)
     e = d.select("doc_id", "text", F.explode(find_spans(F.col("text"), R.EMAIL, guard=F.instr("text", "@") > 0)).alias("m"))
     return _big(e.select("doc_id", F.col("m.start").alias("start"),
                          line_prefix(F.col("text"), F.col("m.end")).alias("line")), "start")

@@ -59,6 +59,7 @@ EXTERNAL = " UNION ALL ".join([
     "SELECT doc_id, 'ORG', instr(text, 'Employed by ') + 11, instr(text, ' for ') - 1, 0.85::DOUBLE FROM dossiers",
     "SELECT doc_id, 'DATE', instr(text, ' for ') + 4, instr(text, ' years.') + 5, 0.85::DOUBLE FROM dossiers",
     "SELECT doc_id, 'DATE', instr(text, 'Date of birth: ') + 14, instr(text, 'Date of birth: ') + 24, 0.85::DOUBLE FROM dossiers",
+    "SELECT doc_id, 'ORG', instr(text, 'Spring Boot') - 1, instr(text, 'Spring Boot') + 10, 0.85::DOUBLE FROM dossiers",
     "SELECT doc_id, 'CARDINAL', instr(text, 'covers ') + 6, instr(text, ' orders.') - 1, 0.85::DOUBLE FROM dossiers",
 ])
 
@@ -96,7 +97,7 @@ ORACLE.update({
     "SRC-01": "SELECT doc_id, text, lang FROM documents",
     "SRC-03": f"SELECT doc_id, name, CASE WHEN NOT ends_with(lower(name), '.docx') THEN 'not_docx' "
               f"WHEN length > {R.MAX_UPLOAD_BYTES} THEN 'too_large' "
-              f"WHEN text IS NULL OR length(trim(text)) = 0 THEN 'empty' END AS reject_reason FROM ({UPLOADS})",
+              f"WHEN text IS NULL OR NOT regexp_matches(text, '[^\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]') THEN 'empty' END AS reject_reason FROM ({UPLOADS})",
     "SRC-04": f"SELECT doc_id, regexp_extract(name, '^(.*)\\.[^.]*$', 1) || '_REDACTED.docx' AS redacted_name FROM ({UPLOADS})",
     "SECT-01": O.with_corpus(HEADINGS),
     "SECT-02": O.with_corpus(f"SELECT raw, name, CAST(count(*) AS BIGINT) AS n FROM ({HEADINGS}) GROUP BY ALL"),
@@ -144,7 +145,7 @@ ORACLE.update({
     "VAL-08": reason(["label_colon"]),
     "VAL-09": conf(["PERSON"], confs=[R.PERSON_SCORES["label_ctx"]]),
     "VAL-10": conf(["PERSON"], recs=["person_header"]),
-    "VAL-11": reason(["company_lowercase", "company_no_suffix"]),
+    "VAL-11": scored_ext(f"SELECT {SCORED_COLS} FROM scored WHERE reject_reason IN ('company_lowercase', 'company_no_suffix')"),
     "VAL-12": conf(["COMPANY"]),
     "VAL-13": reason(["company_institution"]),
     "VAL-14": reason(["address_prefix", "address_heading_number"]),
@@ -239,7 +240,7 @@ ORACLE.update({
                  "unnest(string_split(text, chr(10))) AS line FROM " + REDACT.replace("{src}", "pe") +
                  " UNION ALL SELECT doc_id, 'redacted', generate_subscripts(string_split(redacted_text, chr(10)), 1) - 1, "
                  "unnest(string_split(redacted_text, chr(10))) FROM " + REDACT.replace("{src}", "pe") +
-                 ") WHERE length(trim(line)) > 0"),
+                 ") WHERE regexp_matches(line, '[^\\s\\p{Z}\\x1c-\\x1f\\x{85}]')"),
     "AGG-01": ents(", y AS (SELECT 1) SELECT * FROM " + STATS.replace("{corpus}", "corpus")),
     "AGG-02": ents(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS n FROM ents GROUP BY type "
                    "UNION ALL SELECT 'ALL', CAST(count(*) AS BIGINT) FROM ents"),
@@ -247,8 +248,8 @@ ORACLE.update({
     "AGG-04": ents(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 4) AS avg_confidence "
                    "FROM ents GROUP BY type"),
     "AGG-05": ents(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS n FROM ents GROUP BY type HAVING count(*) > 0"),
-    "AGG-06": ents(f", y AS (SELECT 1) SELECT doc_id, id, type, value, confidence FROM ents WHERE confidence < {R.LOW_CONFIDENCE}"),
-    "AGG-07": mp(f", y AS (SELECT 1) SELECT doc_id, lpad(CAST(id AS VARCHAR), 3, '0') AS row_id, "
+    "AGG-06": ents(f", y AS (SELECT 1) SELECT doc_id, id, type, value, confidence FROM ents WHERE confidence < 0.9"),
+    "AGG-07": mp(f", y AS (SELECT 1) SELECT doc_id, repeat('0', greatest(3 - length(CAST(id AS VARCHAR)), 0)) || CAST(id AS VARCHAR) AS row_id, "
                  f"coalesce(element_at({LABELS}, type)[1], type) AS type_label, value AS original, replacement, "
                  f"CAST(round(confidence * 100) AS BIGINT) AS confidence_pct FROM pe"),
     "STR-01": ents(", y AS (SELECT 1) SELECT * FROM " + STATS.replace("{corpus}", "documents")),
@@ -261,7 +262,7 @@ for _t, _k in [("PERSON", "PSE-03"), ("EMAIL", "PSE-04"), ("PHONE", "PSE-05"), (
 
 def _truth_sql() -> str:
     from .catalog import TRUTH_PATTERNS
-    parts = [f"SELECT doc_id, {O.q(t)} AS type, regexp_extract(text, {O.q(p)}, 1) AS value FROM dossiers"
+    parts = [f"SELECT doc_id, {O.q(t)} AS type, regexp_extract(text, {O.q(p)}, 1) AS value, regexp_extract(text, {O.q(p)}, 0) AS line FROM dossiers"
              for t, p in TRUTH_PATTERNS]
     return " UNION ALL ".join(parts)
 
@@ -278,7 +279,7 @@ def _traps_sql() -> str:
 def evals(select: str) -> str:
     dossiers = O.dossier_sql("customer", "orders", dialect="duckdb")
     return mp(f""", dossiers AS ({dossiers}), truth AS ({_truth_sql()}),
-        de AS (SELECT * FROM ents WHERE doc_id >= {DOSSIER_OFFSET}),
+        de AS (SELECT * FROM ents WHERE doc_id >= {DOSSIER_OFFSET} AND doc_id < {PAGES_OFFSET}),
         m AS (SELECT doc_id, type, value, occ, coalesce(p.predicted, 0) AS predicted, coalesce(t.expected, 0) AS expected
               FROM (SELECT doc_id, type, value, row_number() OVER (PARTITION BY doc_id, type, value ORDER BY start) AS occ,
                            1 AS predicted FROM de) p
@@ -292,7 +293,7 @@ def evals(select: str) -> str:
         {select}""")
 
 
-from ..sources.docs import DOSSIER_OFFSET  # noqa: E402
+from ..sources.docs import DOSSIER_OFFSET, PAGES_OFFSET  # noqa: E402
 
 ORACLE.update({
     "EVAL-01": evals("SELECT type, tp, fp, fn FROM conf"),
@@ -369,7 +370,7 @@ ORACLE.update({
 
 
 _EVAL04 = evals(f""", tok AS ({O.span_sql('dossiers', r'\S+', 0, '_TOKEN', 'token')}),
-    tsp AS (SELECT t.doc_id, instr(d.text, t.value) - 1 AS start, instr(d.text, t.value) - 1 + length(t.value) AS "end"
+    tsp AS (SELECT t.doc_id, instr(d.text, t.line) + instr(t.line, t.value) - 2 AS start, instr(d.text, t.line) + instr(t.line, t.value) - 2 + length(t.value) AS "end"
             FROM truth t JOIN dossiers d USING (doc_id)),
     fl AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM de e WHERE e.doc_id = k.doc_id AND e.start < k."end" AND e."end" > k.start)
                        THEN 1 ELSE 0 END AS pred,
@@ -387,8 +388,8 @@ _EVAL04 = evals(f""", tok AS ({O.span_sql('dossiers', r'\S+', 0, '_TOKEN', 'toke
 _DOSS = O.dossier_sql("customer", "orders", dialect="duckdb")
 _EVAL06 = O.with_corpus(f"""WITH scored AS ({O.scored_sql()}), ents AS ({O.entities_sql()}),
     dossiers AS ({_DOSS}), truth AS ({_truth_sql()}),
-    de AS (SELECT * FROM ents WHERE doc_id >= {DOSSIER_OFFSET}),
-    ap AS (SELECT * FROM scored WHERE reject_reason IS NULL AND doc_id >= {DOSSIER_OFFSET}),
+    de AS (SELECT * FROM ents WHERE doc_id >= {DOSSIER_OFFSET} AND doc_id < {PAGES_OFFSET}),
+    ap AS (SELECT * FROM scored WHERE reject_reason IS NULL AND doc_id >= {DOSSIER_OFFSET} AND doc_id < {PAGES_OFFSET}),
     isl AS (SELECT doc_id, island, min(start) AS s, max("end") AS e FROM (
               SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
               FROM (SELECT *, CASE WHEN pm IS NULL OR start >= pm THEN 1 ELSE 0 END AS nw FROM (

@@ -26,6 +26,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.shroud.corpus.partitions", str(2 * int(cpus)))  # local tables have one row group
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = b.getOrCreate()

@@ -118,8 +118,8 @@ def _parts_mapper(batches):
             try:
                 for part, ix, text in _docx_parts(bytes(content)):
                     out.append((path, part, ix, text))
-            except Exception:
-                continue
+            except Exception as exc:  # unreadable file: a row that says so
+                out.append((path, "error", 0, f"parse_error: {type(exc).__name__}"))
         yield pd.DataFrame(out, columns=["path", "part", "ix", "text"])
 
 
@@ -139,7 +139,7 @@ def intake(df: DataFrame, name: str = "name", length: str = "length", text: str
     )
     if error is not None:
         reason = reason.when(F.col(error).isNotNull(), "unparseable")
-    reason = reason.when(F.col(text).isNull() | (F.length(F.trim(F.col(text))) == 0), "empty")
+    reason = reason.when(F.col(text).isNull() | ~F.col(text).rlike(r"(?U)\S"), "empty")  # any white space is blank
     return df.withColumn("reject_reason", reason)
 
 
@@ -214,6 +214,22 @@ def dossier_sql(customer: str = "customer", orders: str = "orders", dialect: str
         "''",
         "'PROJECTS'",
         "'Kisan Platform'",
+        "''",
+        "'NOTES'",
+        f"'Desk ' || CAST(4000 + {k} % 999 AS STRING) || '.' || CAST(10000 + {k} % 89999 AS STRING)",
+        f"'Tax id ' || CAST(100 + {k} % 500 AS STRING) || {lp(f'1 + {k} % 98', 2)} || {lp(f'1 + {k} % 9998', 4)}",
+        f"'Gateway 2001:db8:0:0:0:0:0:' || CAST(1 + {k} % 9 AS STRING)",
+        f"'Mirror http://10.1.2.' || CAST({k} % 250 AS STRING) || '/a'",
+        f"'Docs at http://x.io/a and 2001:db8:0:0:0:0:1:' || CAST(1 + {k} % 9 AS STRING)",
+        f"'Mail to PO Box ' || CAST(10 + {k} % 90 AS STRING) || ', Springfield'",
+        f"'PIN: ' || CAST(560001 + {k} % 99 AS STRING)",
+        "'Mr Java Spring met them.'",
+        "'Dr Alan Turing: notes'",
+        "'Mr Henry Oak Drive'",
+        f"'Oxford University Press Ltd signed.'",
+        f"'1.7 12 Oak Street, Springfield, IL ' || CAST(10000 + {k} % 89999 AS STRING)",
+        f"'Contact: Maria Lopez' || CAST({k} AS STRING) || '@post.net'",
+        f"'Contact: Maria Lopez@post.net'",
     ]
     text = " || chr(10) || ".join(f"({x})" for x in lines)
     return (
