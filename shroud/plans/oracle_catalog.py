@@ -252,7 +252,9 @@ ORACLE.update({
     "AGG-07": mp(f", y AS (SELECT 1) SELECT doc_id, repeat('0', greatest(3 - length(CAST(id AS VARCHAR)), 0)) || CAST(id AS VARCHAR) AS row_id, "
                  f"coalesce(element_at({LABELS}, type)[1], type) AS type_label, value AS original, replacement, "
                  f"CAST(round(confidence * 100) AS BIGINT) AS confidence_pct FROM pe"),
-    "STR-01": ents(", y AS (SELECT 1) SELECT * FROM " + STATS.replace("{corpus}", "documents")),
+    # the stream reads `documents` alone
+    "STR-01": mp(", y AS (SELECT 1) SELECT s.*, r.redacted_text FROM " + STATS.replace("{corpus}", "corpus") + " s JOIN "
+                 + REDACT.replace("{src}", "pe") + " r USING (doc_id)").replace(O.corpus_sql(), "SELECT doc_id, text FROM documents"),
 })
 for _t, _k in [("PERSON", "PSE-03"), ("EMAIL", "PSE-04"), ("PHONE", "PSE-05"), ("SSN", "PSE-06"),
                ("CREDIT_CARD", "PSE-07"), ("DOB", "PSE-08"), ("IP_ADDRESS", "PSE-09"), ("COMPANY", "PSE-10"),

@@ -143,12 +143,15 @@ def intake(df: DataFrame, name: str = "name", length: str = "length", text: str
     return df.withColumn("reject_reason", reason)
 
 
-def write_redacted(df: DataFrame, path: str, name: str = "name", mode: str = "overwrite") -> None:
-    """SRC-04: redacted documents with ``<stem>_REDACTED.docx`` names, as parquet."""
+def write_redacted(path: str, redacted: DataFrame, entities: DataFrame, mapping: DataFrame, stats: DataFrame,
+                   name: str = "name", mode: str = "overwrite") -> None:
+    """SRC-04: the tables ``documents`` (with ``<stem>_REDACTED.docx`` names), ``entities``, ``mapping`` and
+    ``stats`` under ``path``, as parquet."""
     from ..operators.redact import redacted_name
 
-    out = df.withColumn("redacted_name", redacted_name(F.col(name))) if name in df.columns else df
-    out.write.mode(mode).parquet(path)
+    out = redacted.withColumn("redacted_name", redacted_name(F.col(name))) if name in redacted.columns else redacted
+    for table, df in (("documents", out), ("entities", entities), ("mapping", mapping), ("stats", stats)):
+        df.write.mode(mode).parquet(f"{path.rstrip('/')}/{table}")
 
 
 # ------------------------------------------------------------------ dossier corpus

@@ -2,7 +2,7 @@
 
 The per-document plan needs no cross-batch state (pseudonyms are keyed hashes, so a value
 gets the same replacement in every batch), therefore each micro-batch runs the batch plan
-through ``foreachBatch`` and appends to a table under the session's checkpoint directory.
+through ``foreachBatch`` and writes a folder of its own, so a replayed batch replaces its rows.
 The file source and the sink checkpoint make a restarted query resume where it stopped.
 """
 
@@ -20,7 +20,8 @@ from ..session import ensure_checkpoint_dir
 DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
 
-def process_batch(batch: DataFrame, out_dir: str) -> None:
+def process_batch(batch: DataFrame, out_dir: str, epoch: int = 0) -> None:
+    """Redacts one micro-batch into ``out_dir/batch_id=epoch``; a replayed batch overwrites its own folder."""
     docs = batch.select("doc_id", "text")
     ents = D.materialize(pseudonyms.pseudonymize(D.materialize(D.detect(docs))))
     red = redact.redact_offsets(docs, ents).select("doc_id", "redacted_text")
@@ -28,14 +29,15 @@ def process_batch(batch: DataFrame, out_dir: str) -> None:
     by = F.array_join(F.sort_array(F.transform(F.map_entries("entities_by_type"),
                                                lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",")
     out = s.select("doc_id", "total_entities", by.alias("entities_by_type"), "avg_confidence").join(red, "doc_id")
-    out.write.mode("append").parquet(out_dir)
+    out.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={epoch}")
 
 
-def start(spark: SparkSession, source_glob: str, out_dir: str, checkpoint: str, max_files: int = 1):
-    """Start the streaming redaction (processes what is available, then stops)."""
-    stream = (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files)
-              .parquet(source_glob))
-    return (stream.writeStream.foreachBatch(lambda df, epoch: process_batch(df, out_dir))
+def start(spark: SparkSession, source_glob: str, out_dir: str, checkpoint: str, max_files: int | None = None):
+    """Start the streaming redaction (processes what is available, then stops); ``max_files`` limits a
+    micro-batch, by default all waiting files are one."""
+    reader = spark.readStream.schema(DOC_SCHEMA)
+    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source_glob)
+    return (stream.writeStream.foreachBatch(lambda df, epoch: process_batch(df, out_dir, epoch))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
@@ -44,4 +46,4 @@ def run_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     q = start(spark, f"{sf_dir}/documents*.parquet", f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("doc_id", "total_entities", "entities_by_type", "avg_confidence")
+    return spark.read.parquet(f"{base}/out").select("doc_id", "total_entities", "entities_by_type", "avg_confidence", "redacted_text")

@@ -48,3 +48,30 @@ def test_stream_matches_batch(spark, tmp_path):
     out = {r.doc_id: r.total_entities for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = detect(docs).groupBy("doc_id").count().collect()
     assert out[1] == {r.doc_id: r["count"] for r in batch}[1] and out[2] == 0
+    process_batch(docs, str(tmp_path / "out"))  # replayed
+    process_batch(docs, str(tmp_path / "out"), 1)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.batch_id, r.doc_id) for r in rows) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+    assert len({r.redacted_text for r in rows if r.doc_id == 1}) == 1  # the same replacements in every batch
+
+
+def test_unreadable_file_is_a_row(spark, tmp_path):
+    from shroud.sources.docs import explode_parts
+
+    (tmp_path / "b.docx").write_bytes(b"not a zip")
+    assert [(r.part, r.text.split(":")[0]) for r in explode_parts(spark, str(tmp_path)).collect()] == [("error", "parse_error")]
+
+
+def test_sink_writes_all_tables(spark, tmp_path):
+    from shroud.operators import pseudonyms, redact, stats
+    from shroud.plans.detect import detect
+    from shroud.sources.docs import write_redacted
+
+    docs = spark.createDataFrame([(1, "Mail a@b.co", "cv.docx"), (2, "plain", "x.docx")], "doc_id long, text string, name string")
+    found = detect(docs.select("doc_id", "text"))
+    mapping = pseudonyms.pseudonym_mapping(found)
+    ents = pseudonyms.apply_mapping(found, mapping)
+    write_redacted(str(tmp_path / "out"), redact.redact_offsets(docs, ents), ents, mapping, stats.doc_stats(docs, ents))
+    read = lambda t: spark.read.parquet(str(tmp_path / "out" / t)).collect()
+    assert {r.redacted_name for r in read("documents")} == {"cv_REDACTED.docx", "x_REDACTED.docx"}
+    assert len(read("entities")) == len(read("mapping")) == 1 and {r.total_entities for r in read("stats")} == {0, 1}
