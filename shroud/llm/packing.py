@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,72 +26,88 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.text import Texts, distinct_words, slices, words
+from shroud.llm.text import FOLD, Texts, distinct_exact, slices, word_hashes, words
 
 WINDOW = 2048
 END = 1  # the id after every document
 OPEN = 4096  # windows a task keeps open at most; beyond, the emptiest half is cut to fill the others
-CACHE = 400_000  # words in each of the two generations of a worker's cache
+SLICE = 8 << 20  # bytes of text encoded at a time
+CACHE = 1_500_000  # words that a worker keeps the ids of
 
 _workers: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """Token ids of texts for a vocabulary that drops white space: every distinct word is encoded once."""
+    """Token ids of texts for a vocabulary that drops white space: every distinct word is encoded once.
+
+    Encoded words are kept as arrays sorted by the words' 64-bit hashes; beyond ``CACHE`` words the
+    less used half goes.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def encode_words(self, tokens: list[bytes]) -> list[bytes]:
-        """The ids of each token as bytes of little-endian 32-bit numbers."""
-        young, old = self.young, self.old
-        if len(young) > CACHE:
-            self.old = old = young
-            self.young = young = {}
-        out: list = [None] * len(tokens)
-        missing: dict[bytes, list[int]] = {}
-        for i, raw in enumerate(tokens):
-            word = raw.rstrip()
-            if word.isascii():
-                word = word.lower()
-            ids = young.get(word)
-            if ids is None:
-                ids = old.get(word)
-                if ids is None:
-                    missing.setdefault(word, []).append(i)
-                    continue
-                young[word] = ids
-            out[i] = ids
-        names = list(missing)
-        for lo in range(0, len(names), 20_000):
-            part = names[lo : lo + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                ids = young[word] = np.array(e.ids, "<u4").tobytes()
-                for i in missing[word]:
-                    out[i] = ids
-        return out
+        self.keys = np.zeros(0, np.uint64)
+        self.begin = self.size = self.used = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def _encode_words(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and each word's number of ids."""
+        flat, size = [np.zeros(0, "<u4")], np.zeros(len(tokens), np.int64)
+        for lo in range(0, len(tokens), 20_000):
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in tokens[lo : lo + 20_000]], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            size[lo : lo + len(ids)] = [len(x) for x in ids]
+            flat.append(np.fromiter(chain.from_iterable(ids), "<u4"))
+        return np.concatenate(flat), size
+
+    def slots(self, tokens: pa.Array) -> np.ndarray:
+        """Where the words are kept; new ones are encoded first."""
+        if len(self.keys) > CACHE:
+            self._shrink()
+        off = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1]
+        key = word_hashes(np.frombuffer(tokens.buffers()[2], np.uint8), off[:-1], off[1:])
+        at = np.searchsorted(self.keys, key)
+        new = np.ones(len(key), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != key[inside]
+        if new.any():
+            flat, size = self._encode_words(tokens.take(pa.array(np.flatnonzero(new))).to_pylist())
+            keys = np.concatenate([self.keys, key[new]])
+            order = np.argsort(keys, kind="stable")
+            begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.keys, self.begin = keys[order], begin[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.used = np.concatenate([self.used, np.zeros(len(size), np.int64)])[order]
+            self.flat = np.concatenate([self.flat, flat])
+            at = np.searchsorted(self.keys, key)
+        self.used[at] += 1
+        return at
+
+    def _shrink(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE // 2])
+        size = self.size[keep]
+        begin = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(self.begin[keep] - begin, size) + np.arange(int(size.sum()))]
+        self.keys, self.begin, self.size, self.used = self.keys[keep], begin, size, self.used[keep] // 2
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END, and the texts' bounds."""
-        start, _, first = words(t)
+        start, end, first = words(t)
         if not len(start):
             return np.full(len(t), END, "<u4"), np.arange(len(t) + 1, dtype=np.int64)
-        tokens, index = distinct_words(t, start)
-        known = self.encode_words(tokens.to_pylist())
-        flat = np.frombuffer(b"".join(known), "<u4")
-        size = np.fromiter((len(x) for x in known), np.int64, len(known)) // 4
-        begin = np.cumsum(size) - size
-        n = size[index]
+        # the vocabulary is lower case, but the names of special tokens keep their case
+        buf = t.buf if b"<|" in t.buf.tobytes() else FOLD[t.buf]
+        tokens, index = distinct_exact(buf, start, end)
+        slot = self.slots(tokens)[index]
+        n = self.size[slot]
         bounds = np.concatenate([[0], np.cumsum(n)])
         doc = bounds[first] + np.arange(len(t) + 1)
-        at = np.repeat(begin[index] - bounds[:-1], n) + np.arange(bounds[-1])
         out = np.full(int(bounds[-1]) + len(t), END, "<u4")
-        out[np.arange(bounds[-1]) + np.repeat(np.arange(len(t)), np.diff(bounds[first]))] = flat[at]
+        here = np.arange(bounds[-1])
+        out[here + np.repeat(np.arange(len(t)), np.diff(bounds[first]))] = self.flat[here + np.repeat(self.begin[slot] - bounds[:-1], n)]
         return out, doc
 
 
@@ -230,7 +247,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
 
         for batch in batches:
             doc = batch["doc_id"].to_pylist()
-            for t in slices(batch["text"]):
+            for t in slices(batch["text"], SLICE):
                 ids, bounds = encoder.encode(t)
                 for i in range(len(t)):
                     packer.add(doc[t.first + i], ids[bounds[i] : bounds[i + 1]])

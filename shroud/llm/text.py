@@ -106,13 +106,19 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 def distinct_words(t: Texts, start: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Distinct byte strings from each word's start to the next one's (trailing separators included), and each word's code."""
     ends = np.append(start, len(t.buf))
-    if len(start) and len(t) > 1:  # no word reaches into the next text
-        pass
     array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(t.buf))])
     coded = array.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
 
+def distinct_exact(buf: np.ndarray, start: np.ndarray, end: np.ndarray, separator: np.ndarray = ASCII_SPACE) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words, without separators, and each word's code; ``start`` and ``end`` as ``words`` gives them."""
+    ends = np.concatenate([[0], np.cumsum(end - start)])
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buf[~separator[buf]])])
+    coded = array.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
 def per_text(values: np.ndarray, bounds: np.ndarray, ufunc=np.add, empty=0) -> np.ndarray:
     """``ufunc.reduce`` of the values of each text; ``bounds`` has one more entry than texts."""
     n = len(bounds) - 1
