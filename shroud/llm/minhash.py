@@ -1,9 +1,10 @@
 """MinHash near-duplicate detection with tensored banding and exact verification.
 
-Two small collections of ``m`` MinHash keys (``a`` minima each) are computed per document, and every
-pair (i, j) of the two collections forms one of the ``m * m`` tables: ``2 * m * a`` minima serve
-``m * m`` tables, about the square root of what independent tables would need. A pair of similarity s
-meets in some table with probability ``(1 - (1 - s**a)**m)**2``: 0.9987 at 0.85 with the defaults.
+Two small collections of ``M`` MinHash keys (``a`` minima each) are computed per document, and every
+pair (i, j) of the two collections forms one of the ``M * M`` tables: ``2 * M * a`` minima serve
+``M * M`` tables, about the square root of what independent tables would need. A pair of similarity s
+meets in some table with probability ``(1 - (1 - s**a)**M)**2``: ``shape`` takes ``a`` so that this is
+0.9995 or more at the threshold, and nearer 1 above it.
 
 1. One pass over the texts: shingle-set fingerprint, set size and the 2m keys. Equal sets collapse to
    the smallest id before anything else moves.
@@ -35,9 +36,8 @@ from shroud.llm.common import components, written
 from shroud.llm.text import FOLD, mix64, slices, weights, word_hashes, words
 
 K = 5  # words in a shingle
-A, M = 4, 10  # minima in a key, keys in a collection
+M = 12  # keys in a collection
 BLOCK, BLOCK_BYTES = 256, 4 << 20  # documents and bytes in a block of a large family
-SEEDS = mix64(np.arange(1, 2 * A * M + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 MARGIN = 0.25  # a tie is doubtful if the share of equal minima is this far below the threshold (over 4 standard deviations)
 
 
@@ -62,23 +62,29 @@ def shingle_sets(t, k: int = K) -> list[np.ndarray]:
     return out
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The 2 * A * M minima of a set; long sets in parts of bounded memory."""
-    low = np.full(len(SEEDS), np.iinfo(np.uint64).max, np.uint64)
+def shape(percent: int) -> int:
+    """The minima in a key: two of the threshold's similarity share a key with probability of about a half."""
+    return max(1, min(6, int(np.log(0.5) / np.log(percent / 100)))) if percent < 100 else 6
+
+
+def minima(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The set's least hash under each seed; long sets in parts of bounded memory."""
+    low = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 4096):
-        np.minimum(low, mix64(s[None, i : i + 4096] ^ SEEDS[:, None]).min(axis=1), out=low)
+        np.minimum(low, mix64(s[None, i : i + 4096] ^ seeds[:, None]).min(axis=1), out=low)
     return low
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    w = weights(A + 1)
+def _sketch(batches: Iterator[pa.RecordBatch], a: int) -> Iterator[pa.RecordBatch]:
+    w = weights(a)
+    seeds = mix64(np.arange(1, 2 * a * M + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     for batch in batches:
         for t in slices(batch["text"]):
             ids = batch["doc_id"].slice(t.first, len(t))
             sets = shingle_sets(t)
             n = np.array([len(s) for s in sets], np.int64)
-            low = np.stack([minima(s) for s in sets])
-            keys = mix64((low.reshape(len(sets), 2 * M, A) * w[:A]).sum(axis=2, dtype=np.uint64))
+            low = np.stack([minima(s, seeds) for s in sets])
+            keys = mix64((low.reshape(len(sets), 2 * M, a) * w).sum(axis=2, dtype=np.uint64))
             f = np.stack([np.array([s.sum(dtype=np.uint64), mix64(s + np.uint64(1)).sum(dtype=np.uint64)]) if len(s) else np.zeros(2, np.uint64) for s in sets])
             sig = (low & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
@@ -87,10 +93,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "keys", "sig"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, keys, sig): one row per document, from one pass over the texts."""
+    a = shape(percent)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>, sig binary")
+    return docs.mapInArrow(lambda batches: _sketch(batches, a), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>, sig binary")
 
 
 def _ties(spark, reps: DataFrame, percent: int) -> DataFrame:
@@ -116,8 +123,8 @@ def _ties(spark, reps: DataFrame, percent: int) -> DataFrame:
         doubtful.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
 
 
-def _links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union; pairs of the same later side are left to their own block."""
+def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with 100 * intersection >= percent * union."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     parent = list(range(n))
@@ -168,7 +175,7 @@ def _verify(percent: int):
         group, ids, sets = None, [], []
 
         def close():
-            found = _links(sets, None, percent)
+            found = _links(sets, percent)
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
@@ -195,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = written(sketches(docs), "sketches")
+    seen = written(sketches(docs, percent), "sketches")
     # equal sets: the smallest id stands for all
     first = written(seen.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "first")
     reps = seen.join(first.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").where("n_shingles > 0").select("doc_id", "keys", "sig").dropDuplicates(["doc_id", "keys"])

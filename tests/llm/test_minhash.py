@@ -76,7 +76,7 @@ def test_links_by_matrix_and_by_pairs_agree():
         return root
 
     every = [(i, j) for i in range(30) for j in range(i + 1, 30) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
-    assert groups(minhash._links(sets, None, 85), 30) == groups(every, 30)
+    assert groups(minhash._links(sets, 85), 30) == groups(every, 30)
 
 
 def test_odd_rows(odd):
@@ -96,6 +96,12 @@ def test_empty_table(none):
     assert minhash.near_duplicates(none).collect() == []
 
 
+def test_tables_meet_nearly_every_pair():
+    for percent in (70, 80, 85, 90, 95):
+        a = minhash.shape(percent)
+        assert (1 - (1 - (percent / 100) ** a) ** minhash.M) ** 2 > 0.9993
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
