@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shroud.llm.common import written
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
     r"|<(script|style|noscript|template|iframe|svg|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
@@ -201,10 +203,19 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return counted.groupBy("host").agg(F.max_by("path", order).alias("path"))
 
 
+HOSTS = 200_000  # paths of so many hosts, some 20 MB, are broadcast; more are joined
+SALTS = 64  # parts that a host's pages are dealt into for the join
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): a row per row of ``pages`` (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    agreed = host_paths(pages)
-    rows = pages.withColumn("host", _host()).join(agreed, "host", "left")
+    agreed = written(host_paths(pages), "paths")
+    rows = pages.withColumn("host", _host())
+    if agreed.count() <= HOSTS:
+        rows = rows.join(F.broadcast(agreed), "host", "left")
+    else:  # salted, as one host may have a third of the pages
+        agreed = agreed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(agreed, ["host", "salt"], "left")
     rows = rows.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "path")
     return rows.mapInArrow(_extract, "page_id bigint, url string, text string").withColumn("n_chars", F.char_length("text").cast("bigint"))

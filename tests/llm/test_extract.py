@@ -42,6 +42,13 @@ def test_odd_rows(spark):
     assert by[8].text == "a < b" and by[9].text.startswith("z")
 
 
+def test_many_hosts_are_joined(spark, monkeypatch):
+    rows = [(n, f"http://h{n % 3}.example/{n}", PAGE.format(n=n)) for n in range(9)] + [(9, None, None)]
+    want = texts(spark, rows)
+    monkeypatch.setattr(extract, "HOSTS", 1)
+    assert texts(spark, rows) == want
+
+
 def test_empty_table(spark):
     assert extract.extract(spark.createDataFrame([], FIELDS)).collect() == []
 
