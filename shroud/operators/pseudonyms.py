@@ -311,13 +311,11 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
     m = m.withColumn("_r0", r0)
     known = F.col("type").isin(*(list(GENERATORS) + list(generators or {})))
     never_same = F.when((F.col("_r0") == F.col("form")) & (F.col("type") != "URL"), r1).otherwise(F.col("_r0"))
-    m = m.withColumn("replacement", never_same)
-    # PSE-13: [TYPE_n] numbered by first appearance within the type. Only values of types
-    # without a generator take this window, so known hot types never meet a single task.
-    rank_w = Window.partitionBy(*keys[:-1]).orderBy("first_seen")
-    unknown = m.filter(~known).withColumn("replacement", F.concat(
-        F.lit("["), F.col("type"), F.lit("_"), F.dense_rank().over(rank_w).cast("string"), F.lit("]")))
-    m = m.filter(known).unionByName(unknown)
+    # PSE-13: [TYPE_n] numbered by first appearance within the type. Values of known types are a partition
+    # each (no hot type meets one task), and there is one branch, so the detection below runs once.
+    rank_w = Window.partitionBy(*keys[:-1], F.when(known, F.col("norm"))).orderBy("first_seen")
+    numbered = F.concat(F.lit("["), F.col("type"), F.lit("_"), F.dense_rank().over(rank_w).cast("string"), F.lit("]"))
+    m = m.withColumn("_rank", numbered).withColumn("replacement", F.when(known, never_same).otherwise(F.col("_rank"))).drop("_rank")
     return m.drop("_h", "_ds", "_r0", *[f"_f_{k}" for k in feats])
 
 

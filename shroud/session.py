@@ -36,13 +36,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (local runs)."""
+    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only for a local master with none set."""
     conf = (spark.conf.get("spark.checkpoint.dir", None)
             or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
             or spark.sparkContext.getCheckpointDir())
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
     path = tempfile.mkdtemp(prefix="shroud-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

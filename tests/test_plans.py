@@ -42,3 +42,22 @@ def test_detection_has_one_doc_id_shuffle(spark):
     plan = _plan(detect(corpus(spark, SF)))
     exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
     assert exchanges.count("doc_id") == 1, exchanges
+
+
+def test_mapping_runs_the_detection_once(spark):
+    from shroud.operators.pseudonyms import pseudonym_mapping
+    from shroud.plans.catalog import corpus
+    from shroud.plans.detect import detect
+
+    plan = _plan(pseudonym_mapping(detect(corpus(spark, SF))))
+    assert plan.count("FileScan parquet") == 4, plan
+
+
+def test_unknown_types_are_numbered_by_first_appearance(spark):
+    from shroud.operators.pseudonyms import pseudonymize
+
+    rows = [(2, "CODE", 5, "b"), (1, "CODE", 9, "a"), (1, "CODE", 0, "c"), (3, "CODE", 0, "A "), (1, "TAG", 3, "a")]
+    got = {(r.doc_id, r.type, r.value): r.replacement
+           for r in pseudonymize(spark.createDataFrame(rows, "doc_id long, type string, start int, value string")).collect()}
+    assert got == {(1, "CODE", "c"): "[CODE_1]", (1, "CODE", "a"): "[CODE_2]", (3, "CODE", "A "): "[CODE_2]",
+                   (2, "CODE", "b"): "[CODE_3]", (1, "TAG", "a"): "[TAG_1]"}
