@@ -69,8 +69,9 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, ref
     head = HTTP.format(len(payload)).encode()
     revisit = refers_to is not None
     block = head if revisit else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {identity(page_id)}", f"WARC-Date: {DATE}",
-             f"WARC-Target-URI: {json.dumps(url) if url is None or any(c in url for c in chr(13) + chr(10)) else url}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {identity(page_id)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if url is not None:  # one that would break the header, or look quoted, is quoted
+        lines.append(f"WARC-Target-URI: {json.dumps(url) if url.startswith(chr(34)) or not url.isprintable() else url}")
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {identity(refers_to)}", f"WARC-Refers-To-Target-URI: {json.dumps(refers_url)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -85,6 +86,12 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block[block.index(b"\r\n\r\n") + 4 :]
 
 
+def target(headers: dict[str, str]) -> str | None:
+    """The url of a record."""
+    url = headers.get("WARC-Target-URI")
+    return json.loads(url) if url and url.startswith('"') else url
+
+
 def number(name: str) -> int | None:
     text = name[len("<urn:page:") : -1]
     return None if text == "null" else int(text)
@@ -241,9 +248,9 @@ def read_archives(captures: DataFrame, index: DataFrame, folder: str) -> DataFra
                 headers, payload = parse(gzip.decompress(open_.read_at(length, offset)))
                 kind = headers["WARC-Type"]
                 digest = hashlib.sha1(payload).hexdigest() if kind == "response" else headers["WARC-Payload-Digest"][5:]
-                target = json.loads(headers["WARC-Refers-To-Target-URI"]) if kind == "revisit" else None
-                rows.append((number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], len(payload) if kind == "response" else None, digest, kind,
-                             number(headers["WARC-Refers-To"]) if kind == "revisit" else None, reversed_host(target) if kind == "revisit" else None))
+                source = json.loads(headers["WARC-Refers-To-Target-URI"]) if kind == "revisit" else None
+                rows.append((number(headers["WARC-Record-ID"]), target(headers), len(payload) if kind == "response" else None, digest, kind,
+                             number(headers["WARC-Refers-To"]) if kind == "revisit" else None, reversed_host(source) if kind == "revisit" else None))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "target"])
         if open_ is not None:

@@ -29,13 +29,15 @@ def pages():
     rng = random.Random(2)
     big = ["<p>" + "".join(rng.choice("abcé \r\n") for _ in range(n)) for n in (1200, 1500, 40000)]
     rows = [(i, f"http://Host{i % 7}.example.org/p{i % 50}?q", rng.choice(big) if rng.random() < 0.5 else f"<p>{i} " + "x" * rng.randrange(1500)) for i in range(300)]
-    return rows + [(300, None, None), (301, "", ""), (302, "http://a/\r\nb", "\r\n\r\n" * 300), (303, "http://a/\r\nb", "\r\n\r\n" * 300), (None, "http://n/", big[0]), (5, "http://z/", big[1]), (5, "http://z/", big[1]), (400, "nothing", "short"), (401, "nothing", "short"), (None, None, "z" * 2000), (None, "u", "z" * 2000)]
+    return rows + [(300, None, None), (301, "", ""), (304, '"quoted"', "x"), (302, "http://a/\r\nb", "\r\n\r\n" * 300), (303, "http://a/\r\nb", "\r\n\r\n" * 300), (None, "http://n/", big[0]), (5, "http://z/", big[1]), (5, "http://z/", big[1]), (400, "nothing", "short"), (401, "nothing", "short"), (None, None, "z" * 2000), (None, "u", "z" * 2000)]
 
 
 def test_round_trip(spark, tmp_path):
     rows = pages()
     df = spark.createDataFrame([(*r, "a", 1) for r in rows], FIELDS + ", digest string, length int").repartition(5)
-    assert rows_of(warc.archive(df, f"{tmp_path}/w")) == expected(rows)
+    out = warc.archive(df, f"{tmp_path}/w").cache()
+    assert rows_of(out) == expected(rows)
+    assert sorted((str(r.page_id), str(r.url)) for r in out.collect()) == sorted((str(i), str(u)) for i, u, _ in rows)
 
 
 def test_look_ups(spark, tmp_path, monkeypatch):
