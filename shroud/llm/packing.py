@@ -31,8 +31,8 @@ from shroud.llm.text import FOLD, Texts, distinct_exact, slices, word_hashes, wo
 WINDOW = 2048
 END = 1  # the id after every document
 OPEN = 4096  # windows a task keeps open at most; beyond, the emptiest half is cut to fill the others
-SLICE = 8 << 20  # bytes of text encoded at a time
-CACHE = 1_500_000  # words that a worker keeps the ids of
+SLICE = 4 << 20  # bytes of text encoded at a time
+CACHE = 600_000  # words that a worker keeps the ids of
 
 _workers: dict[str, "WordTokenizer"] = {}
 

@@ -7,6 +7,7 @@ bytes (a single text larger than the bound is a slice of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,16 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Texts]:
         hi = min(hi, len(column))
         yield Texts(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lo)
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def words(t: Texts, separator: np.ndarray = ASCII_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

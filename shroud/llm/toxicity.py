@@ -159,7 +159,7 @@ class Scanner:
 
     def kinds(self, tokens: list[bytes]) -> np.ndarray:
         seen, match = self.seen, self.lexicon.match
-        if len(seen) > 1_000_000:  # a cache
+        if len(seen) > 200_000:  # a cache
             seen.clear()
         out = np.empty(len(tokens), np.int8)
         for i, raw in enumerate(tokens):
