@@ -1,11 +1,12 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Training counts the character n-grams of whole words (padded with blanks) per language in Spark over
-every training document; lower orders are continuation counts, derived by further group-bys. A gram
-rarer than ``MIN_SHARE`` of its language's characters is left to the lower orders, which bounds a
-language's table by ``1 / MIN_SHARE`` grams at any corpus size, so the model can be broadcast. It is
-stored as sorted arrays of 64-bit gram hashes, searched by bisection, with one interpolated
-probability per language.
+every training document; lower orders are continuation counts, derived by further group-bys. Every gram
+is kept, in a table in the shared folder. Orders 1 and 2 (at most the pairs of letters) and the
+discounts are broadcast; the higher orders of a gram share its middle letters, so the table is dealt
+by them and each part restates its part of the model. The bits of the most frequent grams are
+broadcast as a cache, in sorted arrays of 64-bit gram hashes searched by bisection; a text's other grams are
+joined with the table, so the size of the cache changes the cost and not the result.
 
 A text is scored by its cross-entropy per character under every model; the lowest wins. The limit
 above which a text counts as no known language is calibrated per language on training documents.
@@ -25,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import judged, remainder
-from shroud.llm.text import Texts, distinct_words, mix64, per_text, slices, words
+from shroud.llm.common import remainder, written
+from shroud.llm.text import distinct_words, mix64, per_text, slices, words
 
 ORDER = 5
-MIN_SHARE = 1e-6
+LOW = 2  # orders whose tables are broadcast
+PARTS = 4096  # parts of the gram table
+CACHE_CELLS = 2_000_000  # grams times languages whose bits are broadcast
+REJECTED = 200_000  # keys of so many rejected texts are broadcast; more are joined
 CALIBRATION_ROWS = 4000  # bound of the sample on which the rejection limits are set
 LIMIT_SIGMAS, LIMIT_BITS = 8.0, 1.5  # a text is rejected beyond mean + sigmas * deviation + bits
 BLANK = 32
@@ -100,17 +104,24 @@ def gram_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(_count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
 class Model:
     """Sorted hash arrays per order, with a probability per gram and language and a weight per context and language."""
 
-    def __init__(self, counts: dict[str, dict[int, tuple[list[str], np.ndarray]]]):
-        self.langs = sorted(counts)
+    def __init__(self, counts: dict[str, dict[int, tuple]], langs: list[str] | None = None, discounts: dict | None = None, lower: "Model | None" = None):
+        """``counts``: per language and order the grams and their counts; ``lower`` has the orders up to ``LOW``."""
+        self.langs = sorted(counts) if langs is None else langs
         n = len(self.langs)
         self.base = np.full(n, 1.0 / 4096)
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in range(1, ORDER + 1):
-            parts = [(i, self._points(counts[x][k][0]), counts[x][k][1].astype(float)) for i, x in enumerate(self.langs) if k in counts[x]]
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = dict(lower.grams) if lower else {}
+        self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = dict(lower.contexts) if lower else {}
+        for k in range(max(self.grams, default=0) + 1, ORDER + 1):
+            parts = [(i, self._points(counts[x][k][0]), counts[x][k][1].astype(float)) for i, x in enumerate(self.langs) if k in counts.get(x, {})]
+            if not parts:
+                continue
             points = np.concatenate([p for _, p, _ in parts])
             code = gram_codes(points, k)
             keys, at = np.unique(code, return_index=True)
@@ -121,8 +132,7 @@ class Model:
             for i, p, c in parts:
                 mine, ctx = np.searchsorted(keys, code[lo : lo + len(p)]), np.searchsorted(ckeys, context[lo : lo + len(p)])
                 lo += len(p)
-                ones, twos = (c == 1).sum(), (c == 2).sum()
-                d = ones / (ones + 2 * twos) if ones and twos else 0.5
+                d = discount((c == 1).sum(), (c == 2).sum()) if discounts is None else discounts[self.langs[i], k]
                 total, kinds = np.bincount(ctx, c, len(ckeys)), np.bincount(ctx, minlength=len(ckeys))
                 share[mine, i] = np.maximum(c - d, 0) / total[ctx]
                 seen = total > 0
@@ -133,7 +143,9 @@ class Model:
             self.grams[k] = (keys, share + weight[here] * lower)
 
     @staticmethod
-    def _points(grams: list[str]) -> np.ndarray:
+    def _points(grams) -> np.ndarray:
+        if isinstance(grams, np.ndarray):
+            return grams
         wide = [g.rjust(ORDER) for g in grams]
         return np.frombuffer("".join(wide).encode("utf-32-le"), np.uint32).reshape(len(wide), ORDER)
 
@@ -150,6 +162,8 @@ class Model:
     def _probability(self, points: np.ndarray, k: int) -> np.ndarray:
         if k == 0:
             return np.tile(self.base, (len(points), 1))
+        if k not in self.grams:
+            return self._probability(points, k - 1)
         keys, p = self.grams[k]
         at, hit = self._find(keys, gram_codes(points, k))
         out = p[at]
@@ -168,105 +182,166 @@ class Model:
         p = -np.log2(self._probability(points, ORDER)) if len(points) else np.zeros((0, len(self.langs)))
         return np.stack([np.bincount(owner, p[:, i], n) for i in range(len(self.langs))], axis=1), np.bincount(owner, minlength=n)
 
-    def entropy(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: bits per character under each language, and the number of scored characters."""
-        start, _, first = words(t)
-        if not len(start):
-            return np.zeros((len(t), len(self.langs))), np.zeros(len(t), np.int64)
-        tokens, index = distinct_words(t, start)
-        bits, size = self.bits(tokens.to_pylist())
-        n = per_text(size[index], first)
-        h = np.stack([per_text(bits[:, i][index], first) for i in range(len(self.langs))], axis=1)
-        return h / np.maximum(n, 1)[:, None], n
+
+def _part():
+    """The part of the gram table that holds a gram: by its third and fourth letter, which its higher orders share."""
+    return F.pmod(F.xxhash64(F.expr("substring(gram, 3, 2)")), F.lit(PARTS)).cast("int").alias("part")
+
+
+def gram_bits(needed: DataFrame, fitted: dict) -> DataFrame:
+    """(gram, bits): the bits of the distinct top-order grams ``needed`` under each language."""
+    low, discounts, langs = fitted["low"], fitted["discounts"], fitted["langs"]
+    shared = needed.sparkSession.sparkContext.broadcast((low, discounts, langs))
+
+    def run(counted: pa.Table, wanted: pa.Table) -> pa.Table:
+        lower, given, langs = shared.value
+        if not wanted.num_rows:
+            return pa.table([pa.array([], pa.string()), pa.array([], pa.list_(pa.float64()))], names=["gram", "bits"])
+        counts: dict = {}
+        lang, n, points = np.array(counted["lang"].to_pylist(), object), counted["n"].to_numpy(), Model._points(counted["gram"].to_pylist())
+        for x in set(lang):
+            some = lang == x
+            at, c = points[some], n[some]
+            counts[x] = {ORDER: (at, c)}
+            for k in range(ORDER - 1, LOW, -1):
+                _, first, c = np.unique(gram_codes(at, k), return_index=True, return_counts=True)
+                at = at[first]
+                counts[x][k] = (at, c)
+        model = Model(counts, langs, given, lower)
+        grams = wanted["gram"].to_pylist()
+        return pa.table([pa.array(grams, pa.string()), _lists(-np.log2(model._probability(Model._points(grams), ORDER)))], names=["gram", "bits"])
+
+    table = fitted["grams"].select(_part(), "lang", "gram", "n")
+    return table.groupBy("part").cogroup(needed.select(_part(), "gram").groupBy("part")).applyInArrow(run, "gram string, bits array<double>")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])), pa.array(np.ascontiguousarray(x, float).reshape(-1)))
+
+
+def scored(docs: DataFrame, fitted: dict, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns, total bits under each language and number of scored characters, a row per row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted["cache"])
+    docs = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+
+    def run(batches):
+        keys, known = shared.value
+        for b in batches:
+            for t in slices(b["text"]):
+                m, wide = len(t), known.shape[1]
+                own = [b[c].slice(t.first, m) for c in ("_row", *keep)]
+                start, _, first = words(t)
+                bits, n, rest = np.zeros((m, wide)), np.zeros(m, np.int64), None
+                if len(start):
+                    tokens, index = distinct_words(t, start)
+                    points, owner = word_grams(tokens.to_pylist())
+                    n = per_text(np.bincount(owner, minlength=len(tokens))[index], first)
+                    at, hit = Model._find(keys, gram_codes(points, ORDER))
+                    sums = [np.bincount(owner[hit], known[at[hit], i], len(tokens)) for i in range(wide)]
+                    bits = np.stack([per_text(x[index], first, empty=0.0) for x in sums], axis=1)
+                    if not hit.all():
+                        rest = _rest(points[~hit], owner[~hit], index, first, len(tokens))
+                names = ["_row", *keep, "gram", "times", "bits", "n"]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), _lists(bits), pa.array(n, pa.int64())], names=names)
+                if rest is not None:
+                    doc, gram, times = rest
+                    r = len(doc)
+                    yield pa.RecordBatch.from_arrays([own[0].take(pa.array(doc)), *(pa.nulls(r, x.type) for x in own[1:]), gram, pa.array(times, pa.int64()), pa.nulls(r, pa.list_(pa.float64())), pa.nulls(r, pa.int64())], names=names)
+
+    read = written(docs.mapInArrow(run, f"{kinds}, gram string, times bigint, bits array<double>, n bigint"), "scored")
+    rest = read.where("gram is not null").select("_row", "gram", "times")
+    late = rest.join(gram_bits(rest.select("gram").distinct(), fitted), "gram")
+    late = late.groupBy("_row").agg(F.array(*(F.sum(F.col("times") * F.col("bits")[i]) for i in range(len(fitted["langs"])))).alias("late"))
+    total = F.coalesce(F.zip_with("bits", "late", lambda x, y: x + y), "bits")
+    return read.where("gram is null").join(late, "_row", "left").select(*keep, total.alias("bits"), "n")
+
+
+def _rest(points: np.ndarray, owner: np.ndarray, index: np.ndarray, first: np.ndarray, tokens: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(text, gram, times) of the grams that the cache lacks; ``owner``: their tokens, ``index``: the token of each word."""
+    _, one, gram = np.unique(gram_codes(points, ORDER), return_index=True, return_inverse=True)
+    per = np.bincount(owner, minlength=tokens)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    some = per[index] > 0
+    word, doc = index[some], doc[some]
+    size = per[word]
+    at = np.repeat((np.cumsum(per) - per)[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    pair, times = np.unique(np.repeat(doc, size) * np.int64(len(one)) + gram[at], return_counts=True)
+    text = np.ascontiguousarray(points[one].astype("<u4")).view(f"<U{ORDER}").reshape(-1)
+    return pair // len(one), pa.array(text.tolist(), pa.string()).take(pa.array(pair % len(one))), times
 
 
 def fit(train: DataFrame, rows: int = CALIBRATION_ROWS) -> dict:
     """The model and its rejection limits from ``train`` (doc_id, text, lang)."""
     spark = train.sparkSession
     train = train.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = gram_counts(train)
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = counts.join(F.broadcast(total), "lang").where(F.col("n") >= MIN_SHARE * F.col("total")).select("lang", "gram", "n")  # total: a row per language
-    level = top.withColumn("k", F.lit(ORDER))
-    tables, above = [level], top
+    top = written(gram_counts(train), "grams")
+    levels, above = {ORDER: top}, top
     for k in range(ORDER - 1, 0, -1):  # continuation counts: the distinct characters before a gram
         above = above.select("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-        tables.append(above.withColumn("k", F.lit(k)))
-    every = tables[0]
-    for x in tables[1:]:
-        every = every.unionByName(x)
-    found = every.toArrow()
-    counts_by: dict = {}
-    if found.num_rows:
-        lang, k = np.array(found["lang"].to_pylist()), found["k"].to_numpy()
-        for x in np.unique(lang):
-            for order in range(1, ORDER + 1):
-                some = pa.array((lang == x) & (k == order))
-                part = found.filter(some)
-                if part.num_rows:
-                    counts_by.setdefault(str(x), {})[order] = (part["gram"].to_pylist(), part["n"].to_numpy())
-    if not counts_by:
-        return {"model": None, "limits": np.zeros(0)}
-    model = Model(counts_by)
-    shared = spark.sparkContext.broadcast(model)
+        levels[k] = above
+    discounts, counts = {}, {}
+    for k, level in levels.items():
+        for r in level.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("int")).alias("ones"), F.sum((F.col("n") == 2).cast("int")).alias("twos")).collect():  # a row per language
+            discounts[r["lang"], k] = discount(r["ones"], r["twos"])
+        if k <= LOW:
+            found = level.toArrow()  # at most the pairs of letters
+            lang = np.array(found["lang"].to_pylist(), object)
+            for x in set(lang):
+                part = found.filter(pa.array(lang == x))
+                counts.setdefault(x, {})[k] = (part["gram"].to_pylist(), part["n"].to_numpy())
+    if not counts:
+        return {"langs": [], "limits": np.zeros(0)}
+    langs = sorted(counts)
+    fitted = {"langs": langs, "low": Model(counts, langs, discounts), "discounts": discounts, "grams": top}
+    often = top.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(CACHE_CELLS // len(langs) + 1)
+    found = gram_bits(often.select("gram"), fitted).toArrow()
+    code = gram_codes(Model._points(found["gram"].to_pylist()), ORDER)
+    order = np.argsort(code)
+    bits = found["bits"].combine_chunks().flatten().to_numpy().reshape(len(code), len(langs))
+    fitted["cache"] = code[order], bits[order]
     n = max(1, train.count())
     bound = min(1.0, rows / n)
     sample = train.where(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 30)) < int(bound * (1 << 30)))
-
-    def own(batches):
-        m = shared.value
-        at = {x: i for i, x in enumerate(m.langs)}
-        for b in batches:
-            langs = b["lang"].to_pylist()
-            for t in slices(b["text"]):
-                h, size = m.entropy(t)
-                pick = [i for i in range(len(t)) if size[i] >= 20 and langs[t.first + i] in at]
-                yield pa.RecordBatch.from_arrays([pa.array([langs[t.first + i] for i in pick], pa.string()), pa.array([h[i, at[langs[t.first + i]]] for i in pick], pa.float64())], names=["lang", "h"])
-
-    stats = {r["lang"]: r for r in sample.select("text", "lang").mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect()}
-    limits = np.array([stats[x]["m"] + LIMIT_SIGMAS * stats[x]["s"] + LIMIT_BITS if x in stats else np.inf for x in model.langs])
-    return {"model": model, "limits": limits}
+    own = scored(sample, fitted, ("lang",)).where("n >= 20").select("lang", (F.get("bits", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1) / F.col("n")).alias("h"))
+    stats = {r["lang"]: r for r in own.where("h is not null").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect()}
+    fitted["limits"] = np.array([stats[x]["m"] + LIMIT_SIGMAS * stats[x]["s"] + LIMIT_BITS if x in stats else np.inf for x in langs])
+    return fitted
 
 
 def identify(docs: DataFrame, fitted: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score (0 to 1), entropy (bits a character) and accepted, a row per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    docs = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    langs, limits = fitted["langs"], fitted["limits"]
+    if not langs:
+        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(False).alias("accepted"))
+    found = scored(docs, fitted, keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name in keep)
 
     def run(batches):
-        model, limits = shared.value["model"], shared.value["limits"]
         for b in batches:
-            for t in slices(b["text"]):
-                own = [b[c].slice(t.first, len(t)) for c in keep]
-                if model is None:
-                    h, n = np.zeros((len(t), 1)), np.zeros(len(t), np.int64)
-                    langs, limit = ["und"], np.zeros(1)
-                else:
-                    h, n = model.entropy(t)
-                    langs, limit = model.langs, limits
-                best = h.argmin(axis=1)
-                low = h[np.arange(len(t)), best]
-                odds = np.exp2(-np.minimum((h - low[:, None]) * np.sqrt(np.maximum(n, 1))[:, None], 500.0))
-                some = n > 0
-                score = np.where(some, 1 / odds.sum(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([*own, pa.array([langs[i] if s else "und" for i, s in zip(best, some)], pa.string()), pa.array(score), pa.array(np.where(some, low, 0.0)), pa.array(some & (low <= limit[best]))], names=[*keep, "lang_pred", "score", "entropy", "accepted"])
+            n = b["n"].to_numpy()
+            h = b["bits"].flatten().to_numpy().reshape(len(n), len(langs)) / np.maximum(n, 1)[:, None]
+            best = h.argmin(axis=1)
+            low = h[np.arange(len(n)), best]
+            odds = np.exp2(-np.minimum((h - low[:, None]) * np.sqrt(np.maximum(n, 1))[:, None], 500.0))
+            some = n > 0
+            score = np.where(some, 1 / odds.sum(axis=1), 0.0)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array([langs[i] if s else "und" for i, s in zip(best, some)], pa.string()), pa.array(score), pa.array(np.where(some, low, 0.0)), pa.array(some & (low <= limits[best]))], names=[*keep, "lang_pred", "score", "entropy", "accepted"])
 
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, entropy double, accepted boolean")
+    return found.mapInArrow(run, f"{kinds}, lang_pred string, score double, entropy double, accepted boolean")
 
 
 def clean(docs: DataFrame, fitted: dict) -> DataFrame:
-    """The rows of ``docs`` in an accepted language, all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
-
-    def judge(t: Texts) -> np.ndarray:
-        model, limits = shared.value["model"], shared.value["limits"]
-        if model is None:
-            return np.zeros(len(t), bool)
-        h, n = model.entropy(t)
-        return (n > 0) & (h.min(axis=1) <= limits[h.argmin(axis=1)])
-
-    return judged(docs, lambda: judge)
+    """The rows of ``docs`` in an accepted language, all columns; equal texts share their verdict."""
+    if not fitted["langs"]:
+        return docs.where(F.lit(False))
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rejected = identify(docs.select(key.alias("_key"), "text"), fitted, ("_key",)).where("not accepted").select("_key").distinct()
+    rejected = written(rejected, "rejected")
+    if rejected.count() <= REJECTED:
+        rejected = F.broadcast(rejected)
+    return docs.withColumn("_key", key).join(rejected, "_key", "left_anti").select(*docs.columns)
 
 
 def trained(docs: DataFrame) -> dict:
