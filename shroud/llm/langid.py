@@ -9,7 +9,8 @@ broadcast as a cache, in sorted arrays of 64-bit gram hashes searched by bisecti
 joined with the table, so the size of the cache changes the cost and not the result.
 
 A text is scored by its cross-entropy per character under every model; the lowest wins. The limit
-above which a text counts as no known language is calibrated per language on training documents.
+above which a text counts as no known language is calibrated per language on all
+training documents of 20 letters and word ends or more.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and not accepted; training
 rows with null lang or text are ignored; ties go to the language that sorts first; without any
@@ -34,7 +35,7 @@ LOW = 2  # orders whose tables are broadcast
 PARTS = 4096  # parts of the gram table
 CACHE_CELLS = 2_000_000  # grams times languages whose bits are broadcast
 REJECTED = 200_000  # keys of so many rejected texts are broadcast; more are joined
-CALIBRATION_ROWS = 4000  # bound of the sample on which the rejection limits are set
+FEW_ROWS = 30  # a language with fewer calibration rows has at least the pooled deviation
 LIMIT_SIGMAS, LIMIT_BITS = 8.0, 1.5  # a text is rejected beyond mean + sigmas * deviation + bits
 BLANK = 32
 
@@ -272,7 +273,7 @@ def _rest(points: np.ndarray, owner: np.ndarray, index: np.ndarray, first: np.nd
     return pair // len(one), pa.array(text.tolist(), pa.string()).take(pa.array(pair % len(one))), times
 
 
-def fit(train: DataFrame, rows: int = CALIBRATION_ROWS) -> dict:
+def fit(train: DataFrame) -> dict:
     """The model and its rejection limits from ``train`` (doc_id, text, lang)."""
     spark = train.sparkSession
     train = train.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -301,15 +302,24 @@ def fit(train: DataFrame, rows: int = CALIBRATION_ROWS) -> dict:
     order = np.argsort(code)
     bits = found["bits"].combine_chunks().flatten().to_numpy().reshape(len(code), len(langs))
     fitted["cache"] = code[order], bits[order]
-    n = max(1, train.count())
-    bound = min(1.0, rows / n)
-    sample = train.where(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 30)) < int(bound * (1 << 30)))
-    own = scored(sample, fitted, ("lang",)).where("n >= 20").select("lang", (F.get("bits", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1) / F.col("n")).alias("h"))
-    stats = {r["lang"]: r for r in own.where("h is not null").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect()}
-    fitted["limits"] = np.array([stats[x]["m"] + LIMIT_SIGMAS * stats[x]["s"] + LIMIT_BITS if x in stats else np.inf for x in langs])
+    own = scored(train, fitted, ("lang",)).where("n >= 20").select("lang", (F.get("bits", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1) / F.col("n")).alias("h"))
+    stats = {r["lang"]: r for r in own.where("h is not null").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.count("*").alias("n")).collect()}
+    fitted["limits"] = np.array([limit(stats, x) for x in langs])
     return fitted
 
 
+def limit(stats: dict, lang: str) -> float:
+    """The rejection limit of a language; with few rows it has the pooled deviation, without any the pooled mean too."""
+    n = sum(r["n"] for r in stats.values())
+    if not n:
+        return np.inf
+    mean, pooled = sum(r["n"] * r["m"] for r in stats.values()) / n, np.sqrt(sum(r["n"] * r["s"] ** 2 for r in stats.values()) / n)
+    if lang in stats:
+        mean = stats[lang]["m"]
+        pooled = stats[lang]["s"] if stats[lang]["n"] >= FEW_ROWS else max(pooled, stats[lang]["s"])
+    return mean + LIMIT_SIGMAS * pooled + LIMIT_BITS
+
+
 def identify(docs: DataFrame, fitted: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score (0 to 1), entropy (bits a character) and accepted, a row per row of ``docs``."""
     langs, limits = fitted["langs"], fitted["limits"]

@@ -40,3 +40,18 @@ def test_rare_grams_of_a_large_language_count(spark, monkeypatch, cells):
     for i, text in enumerate(texts):
         bits, n = model.bits([w.encode() for w in (text or "").split()])
         assert abs(got[i] - (bits.sum(axis=0).min() / n.sum() if text else 0)) < 1e-9
+
+
+def test_rare_languages_have_limits(spark):
+    """A language with one row, and one with a short row only, are calibrated with the pooled deviation."""
+    rng = random.Random(3)
+    rows = [(i, prose("aa", rng.randrange(10, 40), rng), "aa") for i in range(200)] + [(200, prose("bb", 30, rng), "bb"), (201, "ou eau", "cc")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = langid.fit(train)
+    own = {r.doc_id: r.entropy for r in langid.identify(train, fitted).collect()}
+    first = [own[i] for i in range(200)]
+    sigma = np.sqrt(200 * np.var(first) / 201)
+    want = [np.mean(first) + 8 * np.std(first) + 1.5, own[200] + 8 * sigma + 1.5, (np.sum(first) + own[200]) / 201 + 8 * sigma + 1.5]
+    assert np.allclose(fitted["limits"], want)
+    docs = spark.createDataFrame([(1, prose("bb", 25, rng)), (2, "oueqxw zzkvq ouqqq " * 3)], "doc_id long, text string")
+    assert {r.doc_id: r.accepted for r in langid.identify(docs, fitted).collect()}[2] is False
