@@ -5,10 +5,12 @@
    in names written as N.
 2. The pages of a host vote in Spark for the paths of their best containers, weighted by score; partial
    aggregates keep a host with many pages cheap.
-3. Pages are read again with the host's path: its containers give the text. A page without that
-   path uses its own best container.
+3. Pages are read again with the host's path. A container may be a part of the article (its body, a
+   section, a cell), so the text is that of the outermost article or main around it; without one, of the
+   widest element below the body that adds no block made of links. A page without that path uses its own
+   best container.
 
-A text is the blocks of the container in page order, joined by a line feed; in a block, character
+A text is the blocks of the element in page order, joined by a line feed; in a block, character
 references are decoded and runs of white space become one blank. Navigation, page headers and footers,
 sidebars, adverts, notices, forms, comments of readers, scripts and styles are left out.
 
@@ -165,10 +167,32 @@ def best(found: list[tuple[Node, str, int]]) -> tuple[str, int]:
     return top, max(0, int(score[top]))
 
 
+def whole(x: Node, linked: dict[Node, int]) -> Node:
+    """The element that a winning container belongs to; ``linked``: blocks that are mostly links, per element.
+
+    It is the outermost article or main around it; without one, the widest element below the body that adds
+    no block made of links.
+    """
+    outer = [y for y in chain(x) if y.tag in ("article", "main")]
+    if outer:
+        return outer[-1]
+    while x.parent is not None and x.parent.tag not in ("", "html", "body") and linked.get(x.parent, 0) == linked.get(x, 0):
+        x = x.parent
+    return x
+
+
 def text_at(found: list[tuple[Node, str, int]], path: str) -> str | None:
-    """The blocks under the containers of this path; None if there are none."""
-    parts = [text for node, text, _ in found if any(x.path == path for x in chain(node))]
-    return "\n".join(parts) if parts else None
+    """The blocks of the elements that the containers of this path belong to; None if there are none."""
+    inside = {x for node, _, _ in found for x in chain(node) if x.path == path}
+    if not inside:
+        return None
+    linked: dict[Node, int] = {}
+    for node, text, in_links in found:
+        if 2 * in_links >= len(text):
+            for x in chain(node):
+                linked[x] = linked.get(x, 0) + 1
+    wide = {whole(x, linked) for x in inside}
+    return "\n".join(text for node, text, _ in found if any(x in wide for x in chain(node)))
 
 
 def _host():

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from shroud.llm import langid
+from shroud.llm import extract, langid
 from test_models import prose
 
 
@@ -55,3 +55,25 @@ def test_rare_languages_have_limits(spark):
     assert np.allclose(fitted["limits"], want)
     docs = spark.createDataFrame([(1, prose("bb", 25, rng)), (2, "oueqxw zzkvq ouqqq " * 3)], "doc_id long, text string")
     assert {r.doc_id: r.accepted for r in langid.identify(docs, fitted).collect()}[2] is False
+
+
+LONG = "Some running text of the article that goes on for a while. " * 6
+
+
+def extracted(spark, *bodies):
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_the_whole_article_is_the_text(spark):
+    """Blocks of the article that stand outside of its best container are part of it."""
+    p = LONG.strip()
+    got = extracted(
+        spark,
+        f'<article><h1>T</h1><div class="body"><p>{p}</p></div></article>',
+        f"<article><h1>T</h1><p>Lead.</p><section><p>{p}</p></section><section><p>{p}</p></section></article><p>Other.</p>",
+        f"<article><h1>T</h1><p>Lead.</p><table><tr><td>{p}</td><td>{p}</td></tr></table></article>",
+        f'<div class="page"><div class="post"><h1>T</h1><div class="body"><p>{p}</p></div></div><div><a href="/">More of this</a></div></div>',
+    )
+    assert got == [f"T\n{p}", f"T\nLead.\n{p}\n{p}", f"T\nLead.\n{p}\n{p}", f"T\n{p}"]
