@@ -14,7 +14,8 @@ A text is the blocks of the element in page order, joined by a line feed; in a b
 references are decoded and runs of white space become one blank. Navigation, page headers and footers,
 sidebars, adverts, notices, forms, comments of readers, scripts and styles are left out.
 
-Edge cases: a null or empty html, or one without text, gives an empty text; html without a container
+Edge cases: a null or empty html, or one without text, gives an empty text; names that mark boilerplate
+are whole names or compounds with such a word as their head, not 'no-sidebar' or 'side-by-side'; html without a container
 is read as a whole; unclosed tags end with their parent or, for paragraphs and list items, with the
 next block; a null url has the empty host; ties go to the shorter, then the smaller path; repeated
 rows each get a result; very long pages are read whole; an empty table gives an empty result; extra
@@ -52,26 +53,61 @@ SKIPPED = frozenset("nav footer aside form button head title dialog menu object
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice notices alert pagination popup promo promoted related reply respond share sharing sidebar side skip social sponsor sponsored subscribe toolbar widget".split())
 
 
+#: FIXED VALUES: words that say that something is absent, or that a wrapper has it beside the article.
+AROUND = frozenset("no not has have with without hide hidden hides show shows".split())
+#: FIXED VALUES: words of BOILERPLATE that mean it only as a whole name, what may follow a word of it, and what may stand before a header.
+WHOLE = frozenset("side skip reply notice alert comment".split())
+CARRIERS = frozenset("area bar block box buttons button container content form inner item items left link links list message modal overlay panel posts region right row section slot text top unit widget wrap wrapper".split())
+TITLED = frozenset("article content entry page post section story title".split())
+
+
 class Node:
-    __slots__ = ("path", "tag", "skipped", "parent")
+    __slots__ = ("path", "tag", "skipped", "parent", "outside", "holds")
 
-    def __init__(self, tag: str, names: str, parent: "Node | None", skipped: bool):
+    def __init__(self, tag: str, names: str, parent: "Node | None", skipped: bool, outside: bool = False):
         self.tag, self.parent, self.skipped = tag, parent, skipped
+        self.outside = outside  # an element that is left out unless it holds the article
+        self.holds = 0  # 1: the page's first article, 2: a main
         own = tag + "".join("." + DIGITS.sub("N", x) for x in sorted(set(names.split())))
         self.path = f"{parent.path}>{own}" if parent is not None and parent.path else own
 
 
+def boilerplate(name: str, in_article: bool) -> bool:
+    """Whether one class, id or role name marks what is not the article: a word, or a compound with it as its head."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    if not parts or not AROUND.isdisjoint(parts):
+        return False
+    if len(parts) == 1:
+        return parts[0] in BOILERPLATE and not (in_article and parts[0] == "header")
+    if parts[-1] == "header":
+        return not in_article and parts[-2] not in TITLED
+    if parts[-1] in BOILERPLATE - WHOLE:
+        return True
+    return any(x in BOILERPLATE - WHOLE - {"header"} and all(len(y) == 1 or y in CARRIERS or y in BOILERPLATE for y in parts[i + 1 :]) for i, x in enumerate(parts[:-1]))
+
+
 def outside(tag: str, names: str, in_article: bool) -> bool:
     """Whether an element is not part of the main text."""
     if tag in SKIPPED or (tag == "header" and not in_article):
         return True
-    return bool(names) and tag not in ("html", "body", "article", "main") and not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", names.lower()))
+    return bool(names) and tag not in ("html", "body", "article", "main") and any(boilerplate(x, in_article) for x in names.lower().split())
+
+
+def blocks(page: str) -> list[tuple[Node, str, int]]:
+    """(innermost element, text, characters in links) of every block outside of boilerplate, in page order.
+
+    An element that holds a main, or on a page without one the first article, is no boilerplate.
+    """
+    found = list(all_blocks(page))
+    need = 2 if any(x.holds & 2 for node, _, _ in found for x in chain(node)) else 1
+    return [b for b in found if not any(x.outside and not x.holds & need for x in chain(b[0]))]
 
 
-def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
-    """(innermost element, text, characters in links) of every block outside of boilerplate, in page order."""
+def all_blocks(page: str) -> Iterator[tuple[Node, str, int]]:
+    """As ``blocks``, with those of the block elements that are left out."""
     root = Node("", "", None, False)
     node, text, linked, links, articles = root, [], 0, 0, 0
+    first = True  # no article so far
     owner = root
     stack = [root]
 
@@ -132,7 +168,12 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
                     break
             node = stack[-1]
         names = " ".join(x.strip("\"'") for x in CLASS.findall(m[4])) if m[4] else ""
-        node = Node(tag, names, stack[-1], stack[-1].skipped or outside(tag, names, articles > 0))
+        out = outside(tag, names, articles > 0)
+        node = Node(tag, names, stack[-1], stack[-1].skipped or (out and tag not in BLOCK), out and tag in BLOCK)
+        if tag == "main" or (tag == "article" and first):
+            for x in (node, *stack):
+                x.holds |= 2 if tag == "main" else 1
+            first = first and tag == "main"
         stack.append(node)
         links += tag == "a"
         articles += tag in ("article", "main")
@@ -201,7 +242,7 @@ def _host():
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(host, *best(list(blocks(page)))) for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist())]
+        rows = [(host, *best(blocks(page))) for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist())]
         rows = [r for r in rows if r[1]]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, [pa.string(), pa.string(), pa.int64()])], names=["host", "path", "score"])
 
@@ -210,7 +251,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for path, page in zip(b["path"].to_pylist(), b["html"].to_pylist()):
-            found = list(blocks(page))
+            found = blocks(page)
             text = text_at(found, path) if path else None
             if text is None:
                 own, _ = best(found)

@@ -77,3 +77,21 @@ def test_the_whole_article_is_the_text(spark):
         f'<div class="page"><div class="post"><h1>T</h1><div class="body"><p>{p}</p></div></div><div><a href="/">More of this</a></div></div>',
     )
     assert got == [f"T\n{p}", f"T\nLead.\n{p}\n{p}", f"T\nLead.\n{p}\n{p}", f"T\n{p}"]
+
+
+@pytest.mark.parametrize("names", ["content no-sidebar", "has-sidebar", "with-banner", "side-by-side", "sticky-nav-page", "sidebar"])
+def test_wrappers_named_like_boilerplate_keep_the_article(names):
+    found = extract.blocks(f'<body><div class="{names}"><article><h1>T</h1><p>{LONG}</p></article></div><div class="related"><article>Other</article></div></body>')
+    assert [text for _, text, _ in found] == ["T", LONG.strip()]
+    if names != "sidebar":
+        assert [text for _, text, _ in extract.blocks(f'<body><div class="{names}"><p>{LONG}</p></div></body>')] == [LONG.strip()]
+
+
+def test_names_of_boilerplate():
+    inside = "post-header entry-header header article-header"
+    assert not any(extract.boilerplate(x, True) for x in inside.split()) and not extract.boilerplate("post-header", False)
+    gone = "sidebar left-sidebar sidebar-left site-footer main-nav post-comments comments-12 cookie-banner ad-slot ad-300x250 share-buttons related-posts site-header header ad1 nav__links"
+    assert [x for x in gone.split() if not extract.boilerplate(x, False)] == []
+    page = f'<article><div class="entry-header"><h1>T</h1></div><p>{LONG}</p><div class="share-buttons"><p>Share</p></div><p>a <span class="ad">Buy</span> b</p></article><div id="comments"><article>Reader</article></div>'
+    assert [text for _, text, _ in extract.blocks(page)] == ["T", LONG.strip(), "a b"]
+    assert [text for _, text, _ in extract.blocks(f"<form><nav>Menu</nav><main><p>{LONG}</p></main></form>")] == [LONG.strip()]
