@@ -208,7 +208,7 @@ class Scanner:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of words and of prefixes, by label."""
+    """Document counts of words and of prefixes, by label, and each prefix with the words of toxic documents that it begins."""
     for batch in batches:
         toxic = batch["toxic"].to_numpy(zero_copy_only=False)
         for t in slices(batch["text"]):
@@ -227,13 +227,12 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 label = toxic[t.first : t.first + len(t)][d].astype(float)
                 all_, bad = np.bincount(w, minlength=len(terms)), np.bincount(w, label, len(terms)).astype(np.int64)
                 keep = np.array([bool(x) for x in terms]) & (all_ > 0)
-                ends: dict[str, set] = {}
-                if stem:
-                    for x, c in zip(named, cut):
-                        if c:
-                            ends.setdefault(c, set()).add(x)
                 names = [x for x, k in zip(terms, keep) if k]
-                yield pa.RecordBatch.from_arrays([pa.array([stem] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array(all_[keep]), pa.array(bad[keep]), pa.array([len(ends.get(x, ())) for x in names], pa.int64())], names=["stem", "term", "n", "bad", "endings"])
+                yield pa.RecordBatch.from_arrays([pa.array([stem] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array(all_[keep]), pa.array(bad[keep]), pa.nulls(len(names), pa.string())], names=["stem", "term", "n", "bad", "word"])
+                if stem:
+                    there = [i for i in np.unique(index[toxic[t.first : t.first + len(t)][doc] == 1]) if cut[i]]
+                    none = pa.array([0] * len(there), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([stem] * len(there), pa.int32()), pa.array([cut[i] for i in there], pa.string()), none, none, pa.array([named[i] for i in there], pa.string())], names=["stem", "term", "n", "bad", "word"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> dict:
@@ -241,8 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> d
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(train).where("toxic in (0, 1) and doc_id is not null")
     marked = marked.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id", "toxic").limit(rows)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id").select("text", "toxic")  # at most `rows` small rows
-    found = sample.mapInArrow(_vocabulary, "stem int, term string, n bigint, bad bigint, endings bigint")
-    found = found.groupBy("stem", "term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("endings").alias("endings"))
+    found = sample.mapInArrow(_vocabulary, "stem int, term string, n bigint, bad bigint, word string")
+    found = found.groupBy("stem", "term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count_distinct("word").alias("endings"))
     # lower end of the share's 95 % interval (Wilson)
     p, z2 = F.col("bad") / F.col("n"), 3.84
     low = (p + z2 / (2 * F.col("n")) - F.sqrt(z2 * (p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from shroud.llm import extract, langid
+from shroud.llm import extract, langid, toxicity
 from test_models import prose
 
 
@@ -95,3 +95,21 @@ def test_names_of_boilerplate():
     page = f'<article><div class="entry-header"><h1>T</h1></div><p>{LONG}</p><div class="share-buttons"><p>Share</p></div><p>a <span class="ad">Buy</span> b</p></article><div id="comments"><article>Reader</article></div>'
     assert [text for _, text, _ in extract.blocks(page)] == ["T", LONG.strip(), "a b"]
     assert [text for _, text, _ in extract.blocks(f"<form><nav>Menu</nav><main><p>{LONG}</p></main></form>")] == [LONG.strip()]
+
+
+def stemmed(endings, toxic, times):
+    """Rows of ``toxic`` texts, each with one form of a stem, among clean ones."""
+    rng = random.Random(4)
+    forms = [prose("aa", 10, rng) + f" grumb{x} " + prose("aa", 10, rng) for x in endings for _ in range(times)]
+    return [(text, toxic) for text in forms] + [(prose("aa", 20, rng), 0) for _ in range(100)]
+
+
+def test_endings_are_counted_over_all_toxic_rows(spark):
+    """A stem's endings in different splits count together; those in clean documents do not."""
+    for rows, want in [(stemmed(["a", "le", "ing", "ed", "er", "y"], 1, 8), {"grum", "grumb"}), (stemmed(["a", "le"], 1, 100) + stemmed(["ing", "ed", "er", "y"], 0, 1), set())]:
+        rows = list(enumerate(rows))
+        docs = spark.createDataFrame([(i, t) for i, (t, _) in rows], "doc_id long, text string").repartition(len(rows))
+        labels = spark.createDataFrame([(i, x) for i, (_, x) in rows], "doc_id long, toxic int")
+        lexicon = toxicity.fit(docs, labels, toxicity.F.lit(True))["lexicon"]
+        got = {"grumb"[: lexicon.depth[i]] for i, flag in enumerate(lexicon.stem) if flag}
+        assert got == want
