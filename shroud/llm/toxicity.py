@@ -4,7 +4,8 @@ The lexicon (whole terms, and stems that any ending may follow) is learned from
 documents by document frequencies. It is kept as a trie; the automaton that accepts every word within
 ``edits(len(term))`` of a term is the product of the trie with the Levenshtein automaton. Its states
 (trie nodes with an edit row) are made on demand and kept, so that a word costs one table look-up a
-letter and most words end in the dead state after a few letters.
+letter and most words end in the dead state after a few letters. Two exchanged letters of a term count as
+one edit. Forms that are more frequent in clean training documents than in toxic ones are no fuzzy hits.
 
 Every hit is read in a window of ``WINDOW`` words: quotation marks around it or words of reporting
 count as quotation, words of address as abuse. A logistic regression over the counts gives the score.
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import judged, remainder
+from shroud.llm.common import judged, remainder, written
 from shroud.llm.text import Texts, distinct_words, slices, words
 
 SAMPLE_ROWS = 20_000  # bound of the labelled rows that the lexicon and the weights are learned from
 MAX_TERMS = 4_000  # bound of the lexicon: the terms with the highest weight of evidence
 MIN_DOCS, MIN_SHARE = 3, 0.5  # a term is in so many toxic documents, and its documents are toxic so often (lower bound)
 STEMS = range(4, 8)  # lengths of prefixes that may become stems
+CLEAN_DOCS = 2  # a form that is in so many clean documents, and more often in clean than in toxic ones, is no fuzzy hit
 MIN_ENDINGS = 5  # a stem has so many different endings in toxic documents
 WINDOW = 6
 
@@ -47,7 +49,7 @@ NONE, FUZZY, STEM, EXACT = 0, 1, 2, 3
 
 def edits(length: int) -> int:
     """Edits allowed for a term of this many letters."""
-    return 0 if length < 6 else 1 if length < 10 else 2
+    return 0 if length < 4 else 1 if length < 10 else 2
 
 
 def bare(token: str) -> str:
@@ -59,6 +61,8 @@ class Lexicon:
     """Trie of the terms and the lazily determinised product with the Levenshtein automaton."""
 
     def __init__(self, terms: list[str], stems: list[str]):
+        self.excluded: frozenset[str] = frozenset()  # forms of clean documents
+        self.swapped = {x[:i] + x[i + 1] + x[i] + x[i + 2 :] for x in terms if edits(len(x)) for i in range(len(x) - 1)}
         self.children: list[dict[str, int]] = [{}]
         self.term, self.stem, self.deepest = [False], [False], [0]
         for word, flag in [*((x, self.term) for x in sorted(terms)), *((x, self.stem) for x in sorted(stems))]:
@@ -148,6 +152,14 @@ class Lexicon:
         return max(self.kind[state], stem)
 
 
+    def kind_of(self, word: str) -> int:
+        """As ``match``, with two exchanged letters as one edit, and without the excluded forms."""
+        kind = self.match(word)
+        if kind == NONE and word in self.swapped:
+            kind = FUZZY
+        return NONE if kind == FUZZY and word in self.excluded else kind
+
+
 class Scanner:
     """Hits of a lexicon in texts, with their context."""
 
@@ -158,7 +170,7 @@ class Scanner:
         self.seen: dict[bytes, int] = {}
 
     def kinds(self, tokens: list[bytes]) -> np.ndarray:
-        seen, match = self.seen, self.lexicon.match
+        seen, match = self.seen, self.lexicon.kind_of
         if len(seen) > 200_000:  # a cache
             seen.clear()
         out = np.empty(len(tokens), np.int8)
@@ -242,6 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> d
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id").select("text", "toxic")  # at most `rows` small rows
     found = sample.mapInArrow(_vocabulary, "stem int, term string, n bigint, bad bigint, word string")
     found = found.groupBy("stem", "term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count_distinct("word").alias("endings"))
+    found = written(found, "vocabulary")
+    words_ = found.where((F.col("stem") == 0) & (F.col("n") - F.col("bad") >= CLEAN_DOCS) & (F.col("n") > 2 * F.col("bad"))).select("term")
     # lower end of the share's 95 % interval (Wilson)
     p, z2 = F.col("bad") / F.col("n"), 3.84
     low = (p + z2 / (2 * F.col("n")) - F.sqrt(z2 * (p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
@@ -249,6 +263,13 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> d
     found = found.where((F.col("low") >= F.when(F.col("stem") > 0, 0.9).otherwise(MIN_SHARE)) & (F.length("term") >= 3))
     best = found.orderBy(F.desc("low"), F.desc("bad"), "stem", "term").limit(MAX_TERMS).select("stem", "term").collect()
     lexicon = Lexicon([r["term"] for r in best if r["stem"] == 0], [r["term"] for r in best if r["stem"] > 0])
+    bare_ = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def close(batches):
+        for b in batches:
+            yield b.filter(pa.array([bool(x) and bare_.value.kind_of(x) == FUZZY for x in b["term"].to_pylist()], pa.bool_()))
+
+    lexicon.excluded = frozenset(r["term"] for r in words_.mapInArrow(close, "term string").collect())  # of at most `rows` documents
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def read(batches):

@@ -113,3 +113,23 @@ def test_endings_are_counted_over_all_toxic_rows(spark):
         lexicon = toxicity.fit(docs, labels, toxicity.F.lit(True))["lexicon"]
         got = {"grumb"[: lexicon.depth[i]] for i, flag in enumerate(lexicon.stem) if flag}
         assert got == want
+
+
+def test_short_terms_with_one_edit():
+    """Transpositions are one edit; forms of clean documents and terms of three letters are not fuzzy."""
+    lexicon = toxicity.Lexicon(["idiot", "moron", "trash", "scum", "stupid", "fig"], [])
+    hits = ["idoit", "morron", "trassh", "scumm", "stpuid", "sutpid"]
+    assert [lexicon.kind_of(x) for x in hits] == [toxicity.FUZZY] * len(hits)
+    assert [lexicon.kind_of(x) for x in ["fog", "thrash3r", "gif", "idto"]] == [toxicity.NONE] * 4
+    lexicon.excluded = frozenset(["scam", "scum"])
+    assert lexicon.kind_of("scam") == toxicity.NONE and lexicon.kind_of("scum") == toxicity.EXACT
+
+
+def test_clean_forms_near_a_term_are_no_hits(spark):
+    rng = random.Random(8)
+    rows = [(prose("aa", 12, rng) + f" {w} " + prose("aa", 12, rng), int(w == "trash")) for w in ["trash", "crash"] * 30]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, toxic int")
+    fitted = toxicity.fit(docs, labels, toxicity.F.lit(True))
+    new = spark.createDataFrame([(1, "you trsah"), (2, "the crash"), (3, "you trash")], "doc_id long, text string")
+    assert {r.doc_id: r.hits for r in toxicity.score(new, fitted).collect()} == {1: 1, 2: 0, 3: 1}
