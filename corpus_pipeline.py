@@ -8,6 +8,7 @@ shared folder and rereads it as the next one's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shroud.llm import decontam, langid, minhash, packing, queries, toxicity
 from shroud.llm.common import table, written
@@ -24,9 +25,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 or more) stays: the smallest id."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of near copies (similarity 0.8 or more) stays: the smallest id.
+
+    Of several rows with the id that stays, the one with the smallest other columns stays. Rows with a null
+    id are not told apart: all of them stay if their null id is kept.
+    """
+    kept = written(minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct(), "kept")
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = named.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*")  # partial: a hot id is no large group
+    unnamed = docs.where("doc_id is null").join(F.broadcast(kept.where("doc_id is null")), F.lit(True), "left_semi")
+    return one.select(*docs.columns).unionByName(unnamed)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

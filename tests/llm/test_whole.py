@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from shroud.llm import extract, langid, toxicity
 from test_models import prose
 
@@ -133,3 +134,11 @@ def test_clean_forms_near_a_term_are_no_hits(spark):
     fitted = toxicity.fit(docs, labels, toxicity.F.lit(True))
     new = spark.createDataFrame([(1, "you trsah"), (2, "the crash"), (3, "you trash")], "doc_id long, text string")
     assert {r.doc_id: r.hits for r in toxicity.score(new, fitted).collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_one_row_of_each_kept_id(spark, tmp_path):
+    a, b = "a text of more than five words stays here", "quite another text that nobody has copied at all"
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, None), (1, b, "x"), (2, a, "x"), (None, b, "x"), (None, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert [r for r in got if r[0] is not None] == [(1, a, None)] and got.count((None, b, "x")) in (0, 2)
