@@ -8,10 +8,11 @@ random bit of (j, word), and writes the word it sees: two windows within few edi
 few Hamming positions, as the walks fall into step again after an edit. Sampling ``SYMBOLS`` positions
 of the written string, ``REPEATS`` times, gives the keys. Windows have the size class of the item (a
 power of two, at most two thirds of its words), at every offset on the item's side and at every half
-window on the document's side, so every copy holds an aligned window, most copies several.
+window on the document's side (every offset for windows of at most ``SHORT`` words), so every copy holds an
+aligned window, most copies several. Items just above the border of a size class have windows of the class below too.
 
 The items' keys are broadcast in blocks of at most ``BLOCK_WORDS`` words (a proven bound); more items
-mean more blocks, each over all documents. A window goes on to the embedding only if enough of its
+mean more blocks, each over all documents. A longer window goes on to the embedding only if enough of its
 word pairs occur in the block's items, which spares clean text the walk. Candidates are verified by
 the semi-global edit distance in the task that holds the text; nothing is shuffled.
 
@@ -37,6 +38,7 @@ MAX_EDIT = 0.2
 REPEATS, SYMBOLS = 24, 4
 STEPS = 2  # steps of the walk for each word of the window
 KNOWN = 0.35  # share of a window's word pairs that must occur in the items; a fifth of edits leaves about 0.6
+SHORT = 4  # windows of so few words are read at every offset and without the pair filter: an edit leaves few pairs
 BLOCK_WORDS = 200_000
 BITMAP = 22
 
@@ -58,6 +60,12 @@ def size_class(n: int) -> int:
     return w
 
 
+def size_classes(n: int) -> list[int]:
+    """The window sizes of an item: just above a border a run of n words holds few aligned windows, and smaller ones are keyed too."""
+    w = size_class(n)
+    return [w, w // 2] if w > SHORT and n < w + w // 2 - 1 + w // 4 else [w]
+
+
 def samples(w: int) -> np.ndarray:
     """The sampled positions of the written string, (REPEATS, SYMBOLS), ascending: one from each quarter of it."""
     rng = np.random.default_rng(7919 * w)
@@ -115,10 +123,10 @@ class Items:
         for i, h in enumerate(self.words):
             if len(h):
                 self.bitmap[pairs(h)[:-1]] = True
-                w = size_class(len(h))
-                begin = np.arange(len(h) - w + 1)
-                keys = window_keys(h, begin, w)
-                found.setdefault(w, []).append((keys.ravel(), np.full(keys.size, i), np.tile(begin, REPEATS)))
+                for w in size_classes(len(h)):
+                    begin = np.arange(len(h) - w + 1)
+                    keys = window_keys(h, begin, w)
+                    found.setdefault(w, []).append((keys.ravel(), np.full(keys.size, i), np.tile(begin, REPEATS)))
         for w, parts in found.items():
             key, item, offset = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(key, kind="stable")
@@ -129,12 +137,12 @@ class Items:
         known = np.concatenate([[0], np.cumsum(self.bitmap[pairs(h)], dtype=np.int32)])
         out: set[tuple[int, int, int]] = set()
         for w, (keys, item, offset) in self.tables.items():
-            step = max(1, w // 2)
+            step = 1 if w <= SHORT else w // 2
             n = np.maximum(np.diff(first) - w, -1) // step + 1
             n = np.where(np.diff(first) >= w, n, 0)
             doc = np.repeat(np.arange(len(n)), n)
             begin = first[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
-            some = known[begin + w - 1] - known[begin] >= KNOWN * (w - 1)
+            some = known[begin + w - 1] - known[begin] >= (0 if w <= SHORT else KNOWN * (w - 1))
             doc, begin = doc[some], begin[some]
             for lo in range(0, len(begin), 50_000):
                 d, b = doc[lo : lo + 50_000], begin[lo : lo + 50_000]

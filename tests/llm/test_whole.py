@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from shroud.llm import extract, langid, toxicity
+from shroud.llm import decontam, extract, langid, toxicity
+from shroud.llm.text import slices
 from test_models import prose
 
 
@@ -142,3 +144,20 @@ def test_one_row_of_each_kept_id(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
     assert [r for r in got if r[0] is not None] == [(1, a, None)] and got.count((None, b, "x")) in (0, 2)
+
+
+@pytest.mark.parametrize("n", [*range(5, 13), 23, 24, 25])
+def test_edited_copies_of_items_near_a_border(n):
+    """A fifth of the words substituted: at least 99.5 % of 200 copies are found."""
+    rng = random.Random(n)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [[word() for _ in range(n)] for _ in range(10)]
+    block = decontam.Items([(i, " ".join(x)) for i, x in enumerate(items)], 0.2)
+    texts = []
+    for c in range(200):
+        x = list(items[c % 10])
+        for p in rng.sample(range(n), n // 5):
+            x[p] = word()
+        texts.append(" ".join([word() for _ in range(30 + c % 7)] + x + [word() for _ in range(30)]))
+    found = {(t.first + r[0]) for t in slices(pa.array(texts)) for r in block.search(t) if r[1] == (t.first + r[0]) % 10}
+    assert len(found) >= 199
