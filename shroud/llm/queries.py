@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import decontam, embed, extract, langid, minhash, packing, quality, toxicity, urls, warc
+from shroud.llm import decontam, embed, extract, langid, lexical, minhash, packing, pieces, quality, runs, toxicity, urls, warc
 from shroud.llm.common import remainder, table
 
 
@@ -67,6 +67,52 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "accepted")
 
 
+def piece_model() -> str:
+    """The SentencePiece model that is encoded with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: FIXED VALUES: one document in ten (by crc32 of its id) repeats its words from a place on, with a period.
+PERIODIC = """
+  CASE WHEN h % 10 = 0 AND size(w) > 0 THEN
+    array_join(transform(w, (x, i) -> element_at(w, CAST(1 + if(i < a, i, a + (i - a) % (1 + (size(w) - a) div (3 + g % 8))) AS INT))), ' ')
+  ELSE text END"""
+
+
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the repetitions that the query searches for."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    named = docs.select("doc_id", "text", h.alias("h")).withColumn("g", F.expr("h div 10"))
+    words = F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')")
+    worded = named.withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    return worded.withColumn("a", F.expr("if(size(w) > 0, g % size(w), 0)")).select("doc_id", F.expr(PERIODIC).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic(periodic_texts(table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> named_struct('length', r.length, 'start', -r.start, 'period', -r.period)))")
+    listed = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -78,6 +124,9 @@ QUERIES = {
     "op8_extract": op8_extract,
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
+    "op11_pieces": op11_pieces,
+    "op12_runs": op12_runs,
+    "op13_lexical": op13_lexical,
 }
 
 #: DuckDB SQL. Fitted models, tokenisers, random walks and page extraction can't be expressed in SQL: tests/llm
@@ -126,4 +175,16 @@ SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_dige
   CASE WHEN payload_bytes >= 1000 AND last <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND last <> p.page_id THEN last END AS refers_to
 FROM p LEFT JOIN g USING (payload_digest)""",
+    "op13_lexical": r"""
+WITH worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '{sep}'), lambda t: t <> '') AS t FROM documents),
+wanted AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '{sep}'), lambda t: t <> '')) AS term FROM benchmark),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM worded WHERE len(t) > 0),
+tf AS MATERIALIZED (SELECT r, doc_id, len(t) AS n, u.term AS term, count(*) AS tf FROM worded, unnest(t) AS u(term) WHERE u.term IN (SELECT term FROM wanted) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, whole GROUP BY term),
+part AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))) AS c FROM tf JOIN weight USING (term), whole),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(c) AS BIGINT) AS score FROM wanted JOIN part USING (term) GROUP BY ALL HAVING sum(c) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored QUALIFY rank <= 50""".replace("{upper}", lexical.UPPER).replace("{lower}", lexical.LOWER).replace("{sep}", lexical.SEPARATORS),
 }
