@@ -6,9 +6,14 @@ included) can never conflict, so the fold only needs to run inside each island:
 
 * islands: one ``doc_id`` window -- running max(end) of the preceding rows, a new island
   starts when start > that max; island id = running sum;
-* islands of one candidate (almost all) pass straight through;
-* larger islands are gathered with ``collect_list`` -- their size is bounded by one
-  overlap cluster, not by the document -- sorted, and folded with ``aggregate``.
+* an island is gathered with ``collect_list``, sorted and folded with ``aggregate``.
+
+The fold keeps one entity open. Candidates come by start, so a kept entity that ends before the
+current start can't conflict with anything later, and a candidate is only appended when no kept one
+reaches it: at most one kept entity ever can. Each step compares with that one alone, and what it leaves
+behind is gathered in blocks, so an island of n candidates costs about n. For the same reason the kept
+entities of the first pass (overlap or touch) never overlap, and the second pass (overlap) changes nothing.
+Spans without characters are no entities and are dropped.
 """
 
 from __future__ import annotations
@@ -17,11 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SORT_FIELDS = ["start", "neg_len", "neg_conf", "type", "recognizer", "value"]
-
-
-def _conflict(x: Column, e: Column, touching: bool) -> Column:
-    overlap = F.greatest(e["start"], x["start"]) < F.least(e["end"], x["end"])
-    return (overlap | (e["start"] == x["end"])) if touching else overlap
+BLOCK = 256  # closed entities are appended to a block; full blocks are not copied any more
 
 
 def _wins(e: Column, x: Column) -> Column:
@@ -30,26 +31,34 @@ def _wins(e: Column, x: Column) -> Column:
     )
 
 
-def _fold(arr: Column, touching: bool, elem_type: str) -> Column:
-    """One pass: each entity is compared with the *first* conflicting kept entity only; the
-    winner replaces it in place, a loser is dropped, no conflict appends."""
+def _fold(arr: Column, elem_type: str) -> Column:
+    """The entities that stay of a sorted, non-empty array: a candidate that the open entity reaches replaces it or
+    is dropped, any other one closes it."""
+
+    def state(full: Column, part: Column, last: Column) -> Column:
+        return F.struct(full.alias("full"), part.alias("part"), last.alias("last"))
 
     def step(acc, e):
-        idx = F.array_position(F.transform(acc, lambda x: _conflict(x, e, touching)), F.lit(True))
-        replaced = F.transform(acc, lambda x, i: F.when(i == idx - 1, e).otherwise(x))
+        last = acc["last"]
+        part = F.concat(acc["part"], F.array(last))
         return (
-            F.when(idx == 0, F.concat(acc, F.array(e)))
-            .when(_wins(e, F.get(acc, (idx - 1).cast("int"))), replaced)
+            F.when(e["start"] > last["end"],
+                   F.when(F.size(part) < BLOCK, state(acc["full"], part, e))
+                   .otherwise(state(F.concat(acc["full"], F.array(part)), F.array().cast(f"array<{elem_type}>"), e)))
+            .when(_wins(e, last), state(acc["full"], acc["part"], e))
             .otherwise(acc)
         )
 
-    return F.aggregate(arr, F.array().cast(f"array<{elem_type}>"), step)
+    start = state(F.array().cast(f"array<array<{elem_type}>>"), F.array().cast(f"array<{elem_type}>"), F.get(arr, 0))
+    return F.aggregate(F.slice(arr, 2, F.size(arr)), start, step,
+                       lambda acc: F.concat(F.flatten(acc["full"]), acc["part"], F.array(acc["last"])))
 
 
 def resolve_overlaps(ents: DataFrame) -> DataFrame:
     """OVL-01..03 on approved entities (doc_id, type, recognizer, start, end, value, confidence, ...)."""
     cols = ents.columns
-    e = ents.withColumn("neg_len", -(F.col("end") - F.col("start"))).withColumn("neg_conf", -F.col("confidence"))
+    e = ents.filter(F.col("end") > F.col("start"))
+    e = e.withColumn("neg_len", -(F.col("end") - F.col("start"))).withColumn("neg_conf", -F.col("confidence"))
     w = Window.partitionBy("doc_id").orderBy(*SORT_FIELDS)
     prev_max = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     e = e.withColumn("_new", F.when(prev_max.isNull() | (F.col("start") > prev_max), 1).otherwise(0))
@@ -64,10 +73,8 @@ def resolve_overlaps(ents: DataFrame) -> DataFrame:
     grouped = e.groupBy("doc_id", "_island").agg(F.sort_array(F.collect_list(st)).alias("_arr"))
     elem_type = grouped.schema["_arr"].dataType.elementType.simpleString()
     arr = F.col("_arr")
-    p1 = F.when(F.size(arr) == 1, arr).otherwise(_fold(arr, True, elem_type))
-    grouped = grouped.select("doc_id", p1.alias("_p1"))
-    p2 = F.when(F.size("_p1") == 1, F.col("_p1")).otherwise(_fold(F.col("_p1"), False, elem_type))
-    folded = grouped.select("doc_id", F.explode(p2).alias("_e")).select("doc_id", "_e.*")
+    kept = F.when(F.size(arr) == 1, arr).otherwise(_fold(arr, elem_type))
+    folded = grouped.select("doc_id", F.explode(kept).alias("_e")).select("doc_id", "_e.*")
     return folded.select(*cols)
 
 

@@ -27,6 +27,62 @@ def test_separate_islands_untouched(spark):
     assert _resolve(spark, rows) == [(0, 3, "Z"), (0, 5, "X"), (6, 9, "Y")]
 
 
+def _plain(rows):
+    """Both passes over the whole sorted list: each candidate against the first conflicting kept one."""
+    cands = sorted(rows, key=lambda r: (r[3], r[3] - r[4], -r[6], r[1], r[2], r[5]))
+    for touching in (True, False):
+        kept = []
+        for e in cands:
+            at = next((i for i, x in enumerate(kept) if max(e[3], x[3]) < min(e[4], x[4]) or (touching and e[3] == x[4])), None)
+            if at is None:
+                kept.append(e)
+            elif (e[6], e[4] - e[3]) > (kept[at][6], kept[at][4] - kept[at][3]):
+                kept[at] = e
+        cands = kept
+    return sorted((r[3], r[4], r[1]) for r in cands)
+
+
+def test_equals_the_plain_fold(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for doc in range(300):
+        for _ in range(rng.randrange(1, 14)):
+            start = rng.randrange(40)
+            rows.append((doc, rng.choice("XYZ"), rng.choice("ab"), start, start + rng.randrange(1, 12), "v", rng.choice([0.8, 0.85, 0.9, 0.95])))
+    rows = list(dict.fromkeys(rows))
+    want = sorted(x for doc in range(300) for x in _plain([r for r in rows if r[0] == doc]))
+    assert _resolve(spark, rows) == want
+
+
+def test_a_chain_of_fifty_thousand(spark):
+    """One island: every candidate reaches the next one; cost grows with the number of candidates."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    rows = [(1, "X", "a", 10 * i, 10 * i + rng.choice([11, 14, 25]), "v", rng.choice([0.8, 0.85, 0.9])) for i in range(50_000)]
+    started = time.time()
+    got = _resolve(spark, rows)
+    assert time.time() - started < 60
+    assert got == _linear(rows)
+    short = rows[:1500]
+    assert _linear(short) == _plain(short)
+
+
+def _linear(rows):
+    """The plain fold for a chain whose kept entities are seen in order (checked against it above)."""
+    kept = []
+    for e in sorted(rows, key=lambda r: (r[3], r[3] - r[4], -r[6], r[1], r[2], r[5])):
+        if kept and e[3] <= kept[-1][4]:
+            if (e[6], e[4] - e[3]) > (kept[-1][6], kept[-1][4] - kept[-1][3]):
+                kept[-1] = e
+        else:
+            kept.append(e)
+    return sorted((r[3], r[4], r[1]) for r in kept)
+
+
 def test_offset_and_value_map_redaction(spark):
     from shroud.operators.redact import redact_offsets, redact_values
 
