@@ -391,7 +391,7 @@ def mapping(spark, sf, scope="corpus"):
 
 def pseudonymized(spark, sf):
     """Entities with replacement (JOIN-04). The entities are checkpointed first, so the mapping
-    aggregate and the join back read them once instead of re-running the detection."""
+    aggregate, the join back and edits of the list read them instead of re-running the detection."""
     return pseudonyms.pseudonymize(D.materialize(entities(spark, sf)))
 
 
@@ -434,23 +434,20 @@ def q_join04(spark, sf):
     return _big(p.select("doc_id", "id", "type", "value", "replacement"), "id")
 
 
-def overrides(spark, sf):
+def overrides_of(e):
     """Human edits derived from the entities: EMAIL replacements of even documents are rewritten."""
-    e = entities(spark, sf)
     return e.filter((F.col("type") == "EMAIL") & (F.col("doc_id") % 2 == 0)).select(
         "doc_id", "id", F.lit("redacted@example.org").alias("replacement"))
 
 
 def q_join05(spark, sf):
-    e = redact.apply_overrides(pseudonymized(spark, sf), overrides(spark, sf))
+    ents = pseudonymized(spark, sf)
+    e = redact.apply_overrides(ents, overrides_of(ents))
     return _big(e.select("doc_id", "id", "replacement", "edited"), "id")
 
 
-def redacted(spark, sf, with_overrides=False):
-    ents = pseudonymized(spark, sf)
-    if with_overrides:
-        ents = redact.apply_overrides(ents, overrides(spark, sf))
-    return redact.redact_offsets(corpus(spark, sf), ents)
+def redacted(spark, sf):
+    return redact.redact_offsets(corpus(spark, sf), pseudonymized(spark, sf))
 
 
 def q_red01(spark, sf):
@@ -458,24 +455,32 @@ def q_red01(spark, sf):
 
 
 def parts(spark, sf):
-    c = corpus(spark, sf)
-    return c.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ix", "text")) \
-            .withColumn("ix", F.col("ix").cast("bigint"))
+    """The documents with their lines as parts."""
+    return corpus(spark, sf).select("doc_id", F.split("text", "\n").alias("parts"))
 
 
 def q_red02(spark, sf):
-    r = redact.redact_values(parts(spark, sf), pseudonymized(spark, sf))
-    return r.select("doc_id", "ix", "redacted_text", "changed")
+    r = redact.redact_parts(parts(spark, sf), pseudonymized(spark, sf))
+    r = r.select("doc_id", F.posexplode(F.arrays_zip("parts", "redacted_parts")).alias("ix", "p"))
+    return r.select("doc_id", F.col("ix").cast("bigint").alias("ix"), F.col("p.redacted_parts").alias("redacted_text"),
+                    (F.col("p.redacted_parts") != F.col("p.parts")).alias("changed"))
 
 
 def q_red03(spark, sf):
-    r = redact.redact_values(parts(spark, sf), pseudonymized(spark, sf))
-    return r.groupBy("doc_id").agg(F.sum(F.col("changed").cast("int")).cast("bigint").alias("changed_parts"),
-                                   F.count(F.lit(1)).cast("bigint").alias("parts"))
+    """Changed parts of a document, counted where its parts lie."""
+    r = redact.redact_parts(parts(spark, sf), pseudonymized(spark, sf))
+    changed = F.filter(F.arrays_zip("parts", "redacted_parts"), lambda p: p["parts"] != p["redacted_parts"])
+    return r.select("doc_id", F.size(changed).cast("bigint").alias("changed_parts"), F.size("parts").cast("bigint").alias("parts"))
 
 
 def q_red04(spark, sf):
-    return redacted(spark, sf, with_overrides=True).select("doc_id", "redacted_text")
+    """An edited list: e-mail replacements are rewritten, URLs of every third document are dropped, and the
+    first twelve characters of every fifth document are added by hand (over what stands there)."""
+    ents, docs = pseudonymized(spark, sf), corpus(spark, sf)
+    dropped = ents.filter((F.col("type") == "URL") & (F.col("doc_id") % 3 == 0))
+    added = docs.filter((F.col("doc_id") % 5 == 0) & (F.length("text") >= 12)).select(
+        "doc_id", F.lit(0).alias("start"), F.lit(12).alias("end"), F.lit("[BY HAND]").alias("replacement"))
+    return redact.commit(docs, ents, overrides_of(ents), dropped, added).select("doc_id", "redacted_text")
 
 
 def q_red05(spark, sf):
@@ -606,7 +611,8 @@ def q_eval08(spark, sf):
 
 
 def q_eval09(spark, sf):
-    return EV.correction_rate(redact.apply_overrides(pseudonymized(spark, sf), overrides(spark, sf)))
+    ents = pseudonymized(spark, sf)
+    return EV.correction_rate(redact.apply_overrides(ents, overrides_of(ents)))
 
 
 def badge_generator(form, key, b):

@@ -1,9 +1,10 @@
 """Sources and sinks (SRC-01..05) and the derived dossier corpus.
 
 * ``read_docs``: any table with an id and a text column (parquet/json/csv/ORC).
-* ``read_docx``: ``binaryFile`` + ``mapInPandas`` (stdlib zipfile + ElementTree) -- the only
-  Python in the library, because a DOCX is a zip of XML parts; it runs per file inside the
-  executors, never on the driver.
+* ``read_docx``: ``binaryFile`` + ``mapInPandas`` (stdlib zipfile + ElementTree) -- Python, because
+  a DOCX is a zip of XML parts; it runs per file inside the executors, never on the driver.
+* ``bucketed``: the documents as a table laid out by ``doc_id``, which detection and redaction read
+  without moving a text.
 * ``intake``: the upload checks as columns (reject reason instead of an HTTP error).
 * ``dossiers``: one synthetic personal dossier per customer, built with plain SQL string
   functions from ``customer`` + ``orders``, so the same text can be rebuilt in any SQL engine.
@@ -33,6 +34,16 @@ def read_docs(spark: SparkSession, path: str, text_col: str = "text", id_col: st
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *(keep or []))
 
 
+def bucketed(docs: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``docs`` (doc_id, text, ...) as the table ``name`` of the session's warehouse, bucketed and sorted by ``doc_id``.
+
+    Writing it moves the texts once. Every later run has the documents where their spans are sent: the candidates'
+    sweeps, the overlap islands and the join of spans and text keep the buckets, and only spans and
+    (type, value) pairs are exchanged. A bucket should fit a task (some hundred MB)."""
+    docs.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id").mode("overwrite").saveAsTable(name)
+    return docs.sparkSession.table(name)
+
+
 # ------------------------------------------------------------------ DOCX (SRC-02, SRC-05)
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
