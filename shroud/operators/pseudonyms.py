@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.spans import is_private_ipv4, ordinal
+from ..session import ensure_checkpoint_dir
 
 DEFAULT_SALT = "shroud"
 
@@ -273,10 +274,47 @@ def replacement(type_: Column, form: Column, key: Column, bump: Column, generato
     return out
 
 
+RANGE_BITS = 16  # document ids are counted in ranges of 2^16, ranges of ranges, and so on
+
+
+def numbers(seen: DataFrame) -> DataFrame:
+    """PSE-13: ``number`` of each distinct (type, doc_id, start), from 1 in order of (doc_id, start) within its type.
+
+    Counts per range and prefix offsets instead of one ordered window a type: places are numbered within their
+    document, documents are counted within ranges of 2^16 ids, ranges within ranges of ranges, five levels for
+    64-bit ids. A window holds a document's places or at most 2^16 counts, whatever the type. The ranges are a
+    function of the id, so a recomputed task agrees with the others. ``seen`` is read more than once."""
+    named = F.col("type"), F.col("_doc")
+    seen = seen.select("type", F.col("doc_id").cast("bigint").alias("_doc"), "start").distinct()
+    found = seen.withColumn("number", F.row_number().over(Window.partitionBy(*named).orderBy("start")).cast("bigint"))
+    counts = seen.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_doc", "_range")
+    bits = 0
+    while True:
+        last = bits == 64  # the sign alone is left
+        above = F.lit(0) if last else F.shiftright("_range", RANGE_BITS)
+        counts = counts.withColumn("_above", above.cast("bigint"))
+        before = Window.partitionBy("type", "_above").orderBy(F.asc_nulls_first("_range")).rowsBetween(Window.unboundedPreceding, -1)
+        offset = counts.select(F.col("type").alias("_t"), "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        mine = F.col("_doc") if bits == 0 else F.shiftright("_doc", min(bits, 63))
+        found = found.join(offset, (F.col("type") == F.col("_t")) & mine.eqNullSafe(F.col("_range")))
+        found = found.withColumn("number", F.col("number") + F.col("_before")).drop("_t", "_range", "_before")
+        if last:
+            return found.select("type", F.col("_doc").alias("doc_id"), "start", "number")
+        counts = counts.groupBy("type", "_above").agg(F.sum("_n").alias("_n")).withColumnRenamed("_above", "_range")
+        bits += RANGE_BITS
+
+
 def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str = "corpus",
-                      generators: dict | None = None) -> DataFrame:
+                      generators: dict | None = None, unknown: str = "number") -> DataFrame:
     """PSE-02/13/14/15: one row per distinct (type, norm) -- or (doc_id, type, norm) for
-    ``scope='document'`` -- with the form (first appearance), count and replacement."""
+    ``scope='document'`` -- with the form (first appearance), count and replacement.
+
+    ``unknown`` names values of types without a generator: "number" gives ``[TYPE_n]`` by first appearance, for which
+    the distinct values are checkpointed and counted over all documents; "hash" gives ``[TYPE_xxxxxxxxxxxx]`` from the
+    keyed hash of the value alone, the same in every batch and run, and needs no second pass. Detection rejects unknown
+    types (VAL-16), so its entities are named alike by both."""
+    if unknown not in ("number", "hash"):
+        raise ValueError(f"unknown: {unknown!r}")
     keys = ["type", "norm"] if scope == "corpus" else ["doc_id", "type", "norm"]
     e = entities.withColumn("norm", normalize(F.col("value")))
     m = e.groupBy(*keys).agg(
@@ -311,12 +349,24 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
     m = m.withColumn("_r0", r0)
     known = F.col("type").isin(*(list(GENERATORS) + list(generators or {})))
     never_same = F.when((F.col("_r0") == F.col("form")) & (F.col("type") != "URL"), r1).otherwise(F.col("_r0"))
-    # PSE-13: [TYPE_n] numbered by first appearance within the type. Values of known types are a partition
-    # each (no hot type meets one task), and there is one branch, so the detection below runs once.
-    rank_w = Window.partitionBy(*keys[:-1], F.when(known, F.col("norm"))).orderBy("first_seen")
-    numbered = F.concat(F.lit("["), F.col("type"), F.lit("_"), F.dense_rank().over(rank_w).cast("string"), F.lit("]"))
-    m = m.withColumn("_rank", numbered).withColumn("replacement", F.when(known, never_same).otherwise(F.col("_rank"))).drop("_rank")
-    return m.drop("_h", "_ds", "_r0", *[f"_f_{k}" for k in feats])
+    m = m.withColumn("replacement", F.when(known, never_same).otherwise(hashed_name(F.col("type"), key)))
+    m = m.drop("_h", "_ds", "_r0", *[f"_f_{k}" for k in feats])
+    if unknown == "hash":
+        return m
+    place = F.concat(F.lit("["), F.col("type"), F.lit("_"), F.col("number").cast("string"), F.lit("]"))
+    if scope == "document":  # a window of a document's values
+        number = F.dense_rank().over(Window.partitionBy(*keys[:-1], F.when(known, F.col("norm"))).orderBy("first_seen"))
+        return m.withColumn("number", number).withColumn("replacement", F.when(known, F.col("replacement")).otherwise(place)).drop("number")
+    ensure_checkpoint_dir(entities.sparkSession)
+    m = m.checkpoint()
+    n = numbers(m.where(~known).select("type", "first_seen.*")).withColumnRenamed("type", "_t").withColumnRenamed("doc_id", "_d").withColumnRenamed("start", "_s")
+    m = m.join(n, (F.col("type") == F.col("_t")) & F.col("first_seen.doc_id").eqNullSafe(F.col("_d")) & F.col("first_seen.start").eqNullSafe(F.col("_s")) & ~known, "left")
+    return m.withColumn("replacement", F.when(known, F.col("replacement")).otherwise(place)).drop("_t", "_d", "_s", "number")
+
+
+def hashed_name(type_: Column, key: Column) -> Column:
+    """``[TYPE_xxxxxxxxxxxx]``: the name of a value without a generator that needs nothing but its key."""
+    return F.concat(F.lit("["), type_, F.lit("_"), F.substring(F.md5(F.concat(key, F.lit("|name")).cast("binary")), 1, 12), F.lit("]"))
 
 
 def apply_mapping(entities: DataFrame, mapping: DataFrame, scope: str = "corpus") -> DataFrame:
@@ -328,6 +378,6 @@ def apply_mapping(entities: DataFrame, mapping: DataFrame, scope: str = "corpus"
 
 
 def pseudonymize(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str = "corpus",
-                 generators: dict | None = None) -> DataFrame:
+                 generators: dict | None = None, unknown: str = "number") -> DataFrame:
     """Entities + ``replacement`` (PSE-02 + JOIN-04)."""
-    return apply_mapping(entities, pseudonym_mapping(entities, salt, scope, generators), scope)
+    return apply_mapping(entities, pseudonym_mapping(entities, salt, scope, generators, unknown), scope)

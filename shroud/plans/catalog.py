@@ -386,13 +386,13 @@ MAP_COLS = ["type", "norm", "form", "occurrences", "replacement"]
 
 
 def mapping(spark, sf, scope="corpus"):
-    return pseudonyms.pseudonym_mapping(entities(spark, sf), scope=scope)
+    return pseudonyms.pseudonym_mapping(entities(spark, sf), scope=scope, unknown="hash")  # detected types are all known
 
 
 def pseudonymized(spark, sf):
     """Entities with replacement (JOIN-04). The entities are checkpointed first, so the mapping
     aggregate, the join back and edits of the list read them instead of re-running the detection."""
-    return pseudonyms.pseudonymize(D.materialize(entities(spark, sf)))
+    return pseudonyms.pseudonymize(D.materialize(entities(spark, sf)), unknown="hash")
 
 
 def q_pse01(spark, sf):
@@ -526,7 +526,7 @@ def q_agg07(spark, sf):
 def flagship(spark, sf):
     """Detect -> pseudonymize -> redact, with per-document statistics."""
     c = corpus(spark, sf)
-    ents = D.materialize(pseudonyms.pseudonymize(D.materialize(D.detect(c))))
+    ents = D.materialize(pseudonyms.pseudonymize(D.materialize(D.detect(c)), unknown="hash"))
     red = redact.redact_offsets(c, ents).select("doc_id", "redacted_text")
     return doc_stats_flat(c, ents).join(red, "doc_id")
 
@@ -622,7 +622,7 @@ def badge_generator(form, key, b):
 
 def q_udf02(spark, sf):
     m = pseudonyms.pseudonym_mapping(entities(spark, sf).filter(F.col("type") == "PERSON"),
-                                     generators={"PERSON": badge_generator})
+                                     generators={"PERSON": badge_generator}, unknown="hash")
     return _big(m.select(*MAP_COLS), "occurrences")
 
 

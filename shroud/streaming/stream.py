@@ -23,7 +23,7 @@ DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BI
 def process_batch(batch: DataFrame, out_dir: str, epoch: int = 0) -> None:
     """Redacts one micro-batch into ``out_dir/batch_id=epoch``; a replayed batch overwrites its own folder."""
     docs = batch.select("doc_id", "text")
-    ents = D.materialize(pseudonyms.pseudonymize(D.materialize(D.detect(docs))))
+    ents = D.materialize(pseudonyms.pseudonymize(D.materialize(D.detect(docs)), unknown="hash"))
     red = redact.redact_offsets(docs, ents).select("doc_id", "redacted_text")
     s = stats.doc_stats(docs, ents)
     by = F.array_join(F.sort_array(F.transform(F.map_entries("entities_by_type"),

@@ -1,5 +1,7 @@
 """Plan-shape checks: no forked recomputation, partial aggregation for hot keys."""
 
+import re
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -24,7 +26,7 @@ def test_hot_value_is_one_mapping_row(spark):
     ents = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("PERSON").alias("type"),
                                     F.lit(0).alias("start"),
                                     F.when(F.col("id") % 2 == 0, "John Doe").otherwise(" JOHN DOE ").alias("value"))
-    m = pseudonym_mapping(ents)
+    m = pseudonym_mapping(ents, unknown="hash")
     plan = _plan(m)
     assert "partial_count" in plan and "partial_min_by" in plan  # map-side combine before the shuffle
     rows = m.collect()
@@ -34,8 +36,6 @@ def test_hot_value_is_one_mapping_row(spark):
 
 def test_detection_has_one_doc_id_shuffle(spark):
     """All sweeps, the dedupe window and the overlap fold reuse one hash partitioning by doc_id."""
-    import re
-
     from shroud.plans.catalog import corpus
     from shroud.plans.detect import detect
 
@@ -49,8 +49,10 @@ def test_mapping_runs_the_detection_once(spark):
     from shroud.plans.catalog import corpus
     from shroud.plans.detect import detect
 
-    plan = _plan(pseudonym_mapping(detect(corpus(spark, SF))))
+    plan = _plan(pseudonym_mapping(detect(corpus(spark, SF)), unknown="hash"))
     assert plan.count("FileScan parquet") == 4, plan
+    # numbering counts the values twice: they are checkpointed, so the detection still runs once
+    assert "FileScan parquet" not in _plan(pseudonym_mapping(detect(corpus(spark, SF))))
 
 
 def test_unknown_types_are_numbered_by_first_appearance(spark):
@@ -61,3 +63,45 @@ def test_unknown_types_are_numbered_by_first_appearance(spark):
            for r in pseudonymize(spark.createDataFrame(rows, "doc_id long, type string, start int, value string")).collect()}
     assert got == {(1, "CODE", "c"): "[CODE_1]", (1, "CODE", "a"): "[CODE_2]", (3, "CODE", "A "): "[CODE_2]",
                    (2, "CODE", "b"): "[CODE_3]", (1, "TAG", "a"): "[TAG_1]"}
+
+
+def test_numbers_equal_one_ordered_window(spark):
+    """Ranges of ids, negative and null ids, equal places: the same numbers as a dense rank over the whole type."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from shroud.operators.pseudonyms import numbers, pseudonym_mapping
+
+    rng = random.Random(4)
+    ids = [None, -1, 0, 1, 65535, 65536, 65537, -65536, -65537, 2**31, 2**32, 2**47, 2**48, -2**48, 2**62, 2**63 - 1, -2**63, *range(100, 160)]
+    rows = [(rng.choice("AB"), rng.choice(ids), rng.randrange(4)) for _ in range(600)]
+    seen = spark.createDataFrame(rows, "type string, doc_id long, start int")
+    w = Window.partitionBy("type").orderBy("doc_id", "start")
+    want = seen.distinct().withColumn("number", F.dense_rank().over(w).cast("bigint"))
+    key = lambda r: tuple(str(x) for x in r)
+    got = sorted(map(tuple, numbers(seen).collect()), key=key)
+    assert got == sorted(map(tuple, want.collect()), key=key)
+    assert numbers(seen.limit(0)).count() == 0
+    # the mapping over them: values seen at one place share a number, known types have none
+    ents = spark.createDataFrame([(d, t, s, f"{t}{d}{s}") for t, d, s in rows] + [(5, "PERSON", 0, "Ann Lee")], "doc_id long, type string, start int, value string")
+    m = pseudonym_mapping(ents)
+    plan = _plan(m)
+    assert "Window" in plan and not __import__("re").findall(r"windowspecdefinition\(type#\d+, (?!_above)", plan), plan
+    numbered = {(r.type, r.form): r.replacement for r in m.collect()}
+    assert numbered.pop(("PERSON", "Ann Lee")) not in ("Ann Lee", None)
+    rank = {(r[0], f"{r[0]}{r[1]}{r[2]}"): f"[{r[0]}_{r[3]}]" for r in got}
+    assert numbered == rank
+
+
+def test_hashed_names_need_no_other_row(spark):
+    """unknown="hash": one value has one name whatever else there is; no window, no second pass."""
+    from shroud.operators.pseudonyms import pseudonym_mapping
+
+    one = spark.createDataFrame([(1, "CODE", 0, "ab-1")], "doc_id long, type string, start int, value string")
+    two = spark.createDataFrame([(9, "CODE", 4, " AB-1"), (2, "CODE", 0, "zz")], "doc_id long, type string, start int, value string")
+    a, b = pseudonym_mapping(one, unknown="hash"), pseudonym_mapping(two, unknown="hash")
+    assert "Window" not in _plan(a)
+    names = {r.norm: r.replacement for r in b.collect()}
+    assert a.first().replacement == names["ab-1"] != names["zz"] and names["zz"].startswith("[CODE_")
