@@ -303,23 +303,41 @@ def company_trim(value: Column) -> Column:
     return F.when((n_trim > 0) & (n_trim < F.size(tokens)), plen).otherwise(F.lit(0))
 
 
+JOIN_CHUNK = 4096  # characters of a text that meet external spans under one key
+REACH = 64  # characters beside a span that the features may read
+
+
 def external_candidates(docs: DataFrame, ext: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """CAND-19: NER output ``(doc_id, entity_type, start, end, score)`` with value and features.
 
-    ORG becomes COMPANY. The candidates are gathered per document and joined to the
-    documents once (AQE broadcasts the candidate side when it is small at run time).
+    ORG becomes COMPANY. Spans meet the text by (document, chunk of the text): a span takes its own characters and
+    REACH more on each side from the chunks that it touches, so neither the spans nor the text of a document
+    are gathered, however many spans it has. Spans without characters in the text are dropped; repeated ones stay.
     """
-    grouped = ext.groupBy("doc_id").agg(
-        F.collect_list(F.struct(
-            F.when(F.col("entity_type") == "ORG", "COMPANY").otherwise(F.col("entity_type")).alias("type"),
-            F.lit("external").alias("recognizer"), F.col("start").cast("int").alias("start"),
-            F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"),
-        )).alias("_x")
-    )
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(grouped, "doc_id")
-    d = with_chunks(d).selectExpr("doc_id", "_ch", "_n", "_x", f"{FIRST_LEAD} AS _fl_start", f"{FIRST_LINE} AS _fl_line")
-    value = cut_sql("x.start", "x.end")
-    d = d.selectExpr("doc_id", "_ch", "_n", "_fl_start", "_fl_line",
-                     f"transform(_x, x -> named_struct('type', x.type, 'recognizer', x.recognizer, 'start', x.start, "
-                     f"'end', x.end, 'value', {value}, 'score', x.score)) AS _c")
-    return d.selectExpr("doc_id", f"inline(transform(_c, c -> {_features_sql()}))")
+    ext = ext.select("doc_id", F.when(F.col("entity_type") == "ORG", "COMPANY").otherwise(F.col("entity_type")).alias("type"),
+                     F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"))
+    span = ["doc_id", "type", "start", "end", "score"]
+    ext = ext.where("start >= 0 AND `end` > start").groupBy(*span).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    lo, hi = F.greatest(F.col("start") - REACH, F.lit(0)), F.col("end") + REACH
+    touched = ext.withColumns({"_lo": lo, "_hi": hi}).withColumn(
+        "_k", F.explode(F.sequence(F.floor(F.col("_lo") / JOIN_CHUNK), F.floor((F.col("_hi") - 1) / JOIN_CHUNK))))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    cut_up = base.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{JOIN_CHUNK}}}"), F.lit(0))).alias("_k", "_chunk"))
+    met = touched.join(cut_up.withColumn("_k", F.col("_k").cast("bigint")), ["doc_id", "_k"])
+    at = F.col("_k") * JOIN_CHUNK
+    first = F.greatest(F.col("_lo") - at, F.lit(0)).cast("int")
+    piece = F.substring(F.col("_chunk"), first + 1, (F.least(F.col("_hi") - at, F.lit(JOIN_CHUNK)) - first).cast("int"))
+    windows = met.select(*span, "_times", "_lo", "_k", piece.alias("_piece")).groupBy(*span, "_times", "_lo").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_piece"))), lambda p: p["_piece"]), "").alias("_text"))
+    windows = windows.where(F.col("start") - F.col("_lo") < F.length("_text"))
+    # repeated spans stand behind each other again
+    windows = windows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_i", "_times")
+    lines = base.selectExpr("doc_id", f"{FIRST_LEAD} AS _fl_start", f"{FIRST_LINE} AS _fl_line")
+    d = with_chunks(windows.join(lines, "doc_id"), "_text")
+    d = d.withColumn("_fl_start", F.col("_fl_start") - F.col("_lo"))  # places count from the window's start
+    value = cut_sql("start - _lo", "`end` - _lo")
+    one = (f"array(named_struct('type', type, 'recognizer', 'external', 'start', start - _lo, 'end', `end` - _lo, "
+           f"'value', {value}, 'score', score)) AS _c")
+    d = d.selectExpr("doc_id", "_lo", "_ch", "_n", "_fl_start", "_fl_line", one)
+    d = d.selectExpr("doc_id", "_lo", f"inline(transform(_c, c -> {_features_sql()}))")
+    return d.withColumns({"start": F.col("start") + F.col("_lo"), "end": F.col("end") + F.col("_lo")}).drop("_lo")
