@@ -55,4 +55,94 @@ def test_empty_table(spark):
 
 def test_votes_are_by_generalised_path(spark):
     df = spark.createDataFrame([(n, f"http://H.example/{n}", PAGE.format(n=n)) for n in range(3)], FIELDS)
-    assert [tuple(r) for r in extract.host_paths(df).collect()] == [("h.example", "html>body.home>div.post-N>div.cN.content")]
+    assert [tuple(r) for r in extract.host_paths(df).collect()] == [("h.example", "html>body.home>div.post-N>div.cN.content", None)]
+
+
+#: names of what is not the article, and of wrappers and parts that are
+GONE = """comment-list commentlist comment-item reader-comment comment-thread responses alert-box site-notice notice-bar related-articles recommended
+newsletter-signup share-this social-media nav-primary subscribe-now footer-bottom side-column adsbygoogle user-comments ad-container promo-banner
+sidebar-left commentList ad ads advert-top cookie-consent-banner entry-footer sponsored-content related notice""".split()
+STAYS = """no-sidebar has-sidebar with-banner side-by-side sticky-nav-page post-header entry-header commentary responsive ad-free lead address shadow
+loading headline content-body download gallery radical social-security-act""".split()
+BODY = [f"Sentence {i} of the article, which has some words." for i in range(12)]
+
+
+def page(before="", inside="", after="", n=0):
+    lines = [f"{x} {n}" for x in BODY]
+    return f"<html><body>{before}<article><h1>Title {n}</h1>" + "".join(f"<p>{x}</p>" for x in lines[:6]) + inside + "".join(f"<p>{x}</p>" for x in lines[6:]) + f"</article>{after}</body></html>", "\n".join([f"Title {n}", *lines])
+
+
+def test_names_inside_and_beside_the_article(spark):
+    """Boilerplate by name goes wherever it stands; names that only look like it stay."""
+    rows, want = [], {}
+    for i, name in enumerate(GONE):
+        for k, (tag, place) in enumerate([("div", "before"), ("div", "inside"), ("section", "after"), ("ul", "inside")]):
+            item = "li" if tag == "ul" else "p"
+            block = f'<{tag} class="x1 {name}"><{item}>Words of {name} that are not the article at all, quite a few of them.</{item}></{tag}>'
+            html, text = page(**{place: block}, n=i)
+            rows.append((i * 4 + k, f"http://{i}-{k}.example/", html))
+            want[i * 4 + k] = text
+    for i, name in enumerate(STAYS):
+        html, text = page(n=i)
+        html = html.replace("<article>", f'<div class="{name}"><article>').replace("</article>", "</article></div>")
+        rows.append((1000 + i, f"http://w{i}.example/", html))
+        want[1000 + i] = text
+        html, text = page(inside=f'<div class="{name}"><p>Part {name}</p></div>', n=i)
+        rows.append((2000 + i, f"http://p{i}.example/", html))
+        lines = text.split("\n")
+        want[2000 + i] = "\n".join([*lines[:7], f"Part {name}", *lines[7:]])
+    got = {i: t for i, (t, _) in texts(spark, rows).items()}
+    assert {i: got[i] for i in want if got[i] != want[i]} == {}
+
+
+def test_comment_articles_never_win(spark):
+    comment = '<article class="comment"><p>' + "A reader's comment, longer than the article. " * 40 + "</p></article>"
+    cases = {1: page(before=comment), 2: page(before=f'<div id="comments">{comment.replace(" class=", " data-x=")}</div>'), 3: page(inside=comment), 4: page(after=comment * 3)}
+    got = texts(spark, [(i, f"http://{i}.example/", html) for i, (html, _) in cases.items()])
+    assert {i: t for i, (t, _) in got.items()} == {i: text for i, (_, text) in cases.items()}
+    # the only article stands in a box with such a name: it is the article
+    only = '<div class="widget-area"><article><p>The only text of this page.</p></article></div>'
+    assert texts(spark, [(1, "http://x/", only)])[1][0] == "The only text of this page."
+
+
+def test_hidden_elements(spark):
+    hidden = ['<div hidden><p>H</p></div>', '<p style="color:red; display : none">H</p>', "<section style='visibility:hidden'><p>H</p></section>", '<div hidden="until-found"><p>H</p></div>']
+    seen = ['<p title="a hidden thing">S</p>', '<p class="hidden-gem">S</p>', '<p data-hidden="no">S</p>', '<p style="display:block">S</p>']
+    got = texts(spark, [(i, f"http://{i}.example/", page(inside=x)[0]) for i, x in enumerate(hidden + seen)])
+    assert ["H" in got[i][0].split("\n") for i in range(4)] == [False] * 4 and all("S" in got[4 + i][0].split("\n") for i in range(4))
+
+
+def test_the_host_votes_on_what_repeats(spark):
+    """A box without a telling name and with one text on many pages goes; copies of one page are one vote; other hosts keep theirs."""
+    box = '<div class="zq"><p>Join our readers and get the best of it every week.</p></div>'
+    rows = [(i, f"http://h.example/{i}", page(inside=box, n=i)[0]) for i in range(12)]
+    rows += [(100 + i, f"http://copies.example/{i}", page(inside=box, n=1)[0]) for i in range(20)]
+    rows += [(200 + i, f"http://own.example/{i}", page(inside=f'<div class="zq"><p>Box {i} of its own.</p></div>', n=i)[0]) for i in range(12)]
+    got = texts(spark, rows)
+    assert all(got[i][0] == page(n=i)[1] for i in range(12))
+    assert all("Join our readers" in got[100 + i][0] for i in range(20))
+    assert all(f"Box {i} of its own." in got[200 + i][0] for i in range(12))
+
+
+def plain(html):
+    """The article by plain string cutting, for pages with one article and no names inside it."""
+    import html as entities
+    import re
+
+    found = re.search(r"<article[^>]*>(.*?)</article>", html or "", re.S)
+    if not found:
+        return None
+    parts = re.split(r"</?(?:p|h\d|div|ul|ol|li|blockquote|section|table|tr|td)\b[^>]*>", re.sub(r"<!--.*?-->", "", found[1], flags=re.S))
+    parts = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x)))).strip() for x in parts]
+    return "\n".join(x for x in parts if x)
+
+
+def test_a_plain_extractor_agrees_on_all_given_pages(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    from shroud.llm import queries
+
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op8_extract(spark, sf).collect()}
+    want = {i: plain(h) for i, h in pages.items()}
+    assert None not in want.values()
+    assert got == {i: (t, len(t)) for i, t in want.items()}
