@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.spans import is_private_ipv4, ordinal
+from ..functions.steps import on_rows
 from ..session import ensure_checkpoint_dir
 
 DEFAULT_SALT = "shroud"
@@ -274,6 +275,46 @@ def replacement(type_: Column, form: Column, key: Column, bump: Column, generato
     return out
 
 
+NAMING_TEMPORARY = ["_key", "_h", "_ds", "_r0", *(f"_f_{k}" for k in ("ph_has_ext", "ph_label", "ph_base", "ph_ext_n", "dig0", "dig1", "dob_y", "dob_m", "dob_d", "dob_short"))]
+
+
+def naming(salt: str = DEFAULT_SALT, generators: dict | None = None, scope: list = ()) -> list[dict]:
+    """The replacement of a value as steps over its fields ``type``, ``norm`` and ``form`` (see ``validate.stages``), for
+    rows of a mapping and for entities in an array; ``scope``: more fields of the key. Types without a generator get
+    a name from the hash."""
+    known_types = list(GENERATORS) + list(generators or {})
+
+    def key(c) -> Column:
+        return F.concat_ws("|", F.lit(salt), *[part(c) for part in scope], c("type"), c("norm"))
+
+    def base(c) -> HashKey:
+        return HashKey(c("_h"), c("_ds"), c("_key"))
+
+    # shared sub-expressions of the generators, computed once per value as fields (keeps the generated code of
+    # the replacement small and each regex evaluated once)
+    feats = {
+        "ph_has_ext": lambda c: c("form").rlike(PHONE_EXT), "ph_label": lambda c: F.regexp_extract(c("form"), PHONE_EXT, 1),
+        "ph_base": lambda c: F.when(c("form").rlike(PHONE_EXT), F.regexp_replace(c("form"), PHONE_EXT, "")).otherwise(c("form")),
+        "ph_ext_n": lambda c: rint(base(c), 1, 100, 999).cast("string"),
+        "dig0": lambda c: _digits_bumped(base(c), F.lit(0)), "dig1": lambda c: _digits_bumped(base(c), F.lit(1)),
+        "dob_y": lambda c: dob_draws(c("form"), base(c))[0], "dob_m": lambda c: dob_draws(c("form"), base(c))[1],
+        "dob_d": lambda c: dob_draws(c("form"), base(c))[2],
+        "dob_short": lambda c: c("form").rlike(r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b"),
+    }
+
+    def made(c, bump: int) -> Column:
+        ctx = {k: c(f"_f_{k}") for k in feats}
+        ctx["dob_ymd"] = (ctx.pop("dob_y"), ctx.pop("dob_m"), ctx.pop("dob_d"))
+        return replacement(c("type"), c("form"), HashKey(c("_h"), c("_ds"), c("_key"), ctx), F.lit(bump), generators)
+
+    def chosen(c) -> Column:
+        never_same = F.when((c("_r0") == c("form")) & (c("type") != "URL"), made(c, 1)).otherwise(c("_r0"))
+        return F.when(c("type").isin(*known_types), never_same).otherwise(hashed_name(c("type"), c("_key")))
+
+    return [{"_key": key}, {"_h": lambda c: hash_columns(c("_key"))[0], "_ds": lambda c: hash_columns(c("_key"))[1]},
+            {f"_f_{k}": make for k, make in feats.items()}, {"_r0": lambda c: made(c, 0)}, {"replacement": chosen}]
+
+
 RANGE_BITS = 16  # document ids are counted in ranges of 2^16, ranges of ranges, and so on
 
 
@@ -322,35 +363,9 @@ def pseudonym_mapping(entities: DataFrame, salt: str = DEFAULT_SALT, scope: str
         F.min(F.struct("doc_id", "start")).alias("first_seen"),
         F.count(F.lit(1)).alias("occurrences"),
     )
-    key_parts = [F.lit(salt)] + ([F.col("doc_id").cast("string")] if scope == "document" else []) + [
-        F.col("type"), F.col("norm")]
-    key = F.concat_ws("|", *key_parts)
-    h, ds = hash_columns(key)
-    m = m.withColumn("_h", h).withColumn("_ds", ds)
-    # shared sub-expressions of the generators, computed once per row as columns (keeps the
-    # generated code of the replacement projection small and each regex evaluated once)
-    base = HashKey(F.col("_h"), F.col("_ds"), key)
-    form = F.col("form")
-    y, mo, d = dob_draws(form, base)
-    feats = {
-        "ph_has_ext": form.rlike(PHONE_EXT), "ph_label": F.regexp_extract(form, PHONE_EXT, 1),
-        "ph_base": F.when(form.rlike(PHONE_EXT), F.regexp_replace(form, PHONE_EXT, "")).otherwise(form),
-        "ph_ext_n": rint(base, 1, 100, 999).cast("string"),
-        "dig0": _digits_bumped(base, F.lit(0)), "dig1": _digits_bumped(base, F.lit(1)),
-        "dob_y": y, "dob_m": mo, "dob_d": d,
-        "dob_short": form.rlike(r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b"),
-    }
-    m = m.select("*", *[e.alias(f"_f_{k}") for k, e in feats.items()])
-    ctx = {k: F.col(f"_f_{k}") for k in feats}
-    ctx["dob_ymd"] = (ctx.pop("dob_y"), ctx.pop("dob_m"), ctx.pop("dob_d"))
-    hk = HashKey(F.col("_h"), F.col("_ds"), key, ctx)
-    r0 = replacement(F.col("type"), F.col("form"), hk, F.lit(0), generators)
-    r1 = replacement(F.col("type"), F.col("form"), hk, F.lit(1), generators)
-    m = m.withColumn("_r0", r0)
     known = F.col("type").isin(*(list(GENERATORS) + list(generators or {})))
-    never_same = F.when((F.col("_r0") == F.col("form")) & (F.col("type") != "URL"), r1).otherwise(F.col("_r0"))
-    m = m.withColumn("replacement", F.when(known, never_same).otherwise(hashed_name(F.col("type"), key)))
-    m = m.drop("_h", "_ds", "_r0", *[f"_f_{k}" for k in feats])
+    scope_key = [lambda c: c("doc_id").cast("string")] if scope == "document" else []
+    m = on_rows(m, naming(salt, generators, scope_key), NAMING_TEMPORARY)
     if unknown == "hash":
         return m
     place = F.concat(F.lit("["), F.col("type"), F.lit("_"), F.col("number").cast("string"), F.lit("]"))

@@ -246,13 +246,13 @@ FIRST_LEAD = r"length(regexp_extract(text, r'^((?:[ \t\r\f\x0B]*\n)*)', 1))"
 FIRST_LINE = r"regexp_extract(text, r'^(?:[ \t\r\f\x0B]*\n)*([^\n]*)', 1)"
 
 
-def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str = "text",
-                   doc_id: str = "doc_id", with_header: bool = True) -> DataFrame:
-    """All raw candidates (CAND-01..18e, CAND-20), one row each, with validator features.
+def _passes(name: str, check):
+    """Whether a candidate is of another recognizer or passes the check of this one."""
+    return lambda c: (c["recognizer"] != name) | check(c["value"])
 
-    Output: doc_id, type, recognizer, start, end, value, score, context, left30, left10,
-    left20, right5, ip_tail, in_first_line. No text column.
-    """
+
+def _matched(docs: DataFrame, specs: list[Spec] | None, text: str, doc_id: str, with_header: bool) -> DataFrame:
+    """The documents with their matches ``_c`` and what the features read."""
     specs = builtin_specs() if specs is None else specs
     base = with_chunks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     staged = _staged_spans(base, specs, "text", ["doc_id", "text", "_ch", "_n"])
@@ -277,11 +277,28 @@ def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str =
                f"array(named_struct('type', 'PERSON', 'recognizer', 'person_header', 'start', int(_fl_start + {lead}), "
                f"'end', int(_fl_start + {lead} + length({strip})), 'value', {strip}, "
                f"'score', CAST({R.PERSON_SCORES['header']!r} AS DOUBLE))), array())")
-        cands = cands.selectExpr("doc_id", "_ch", "_n", "_fl_start", "_fl_line", f"concat(_c, {hdr}) AS _c")
-    out = cands.selectExpr("doc_id", f"inline(transform(_c, c -> {_features_sql()}))")
+        cands = cands.selectExpr("doc_id", "text", "_ch", "_n", "_fl_start", "_fl_line", f"concat(_c, {hdr}) AS _c")
     for name, chk in col_checks:
-        out = out.filter((F.col("recognizer") != name) | chk(F.col("value")))
-    return out
+        cands = cands.withColumn("_c", F.filter("_c", _passes(name, chk)))
+    return cands
+
+
+def candidate_arrays(docs: DataFrame, specs: list[Spec] | None = None, text: str = "text",
+                     doc_id: str = "doc_id", with_header: bool = True) -> DataFrame:
+    """(doc_id, text, candidates): the raw candidates of each document beside its text, as an array of structs."""
+    cands = _matched(docs, specs, text, doc_id, with_header)
+    return cands.selectExpr("doc_id", "text", f"transform(_c, c -> {_features_sql()}) AS candidates")
+
+
+def raw_candidates(docs: DataFrame, specs: list[Spec] | None = None, text: str = "text",
+                   doc_id: str = "doc_id", with_header: bool = True) -> DataFrame:
+    """All raw candidates (CAND-01..18e, CAND-20), one row each, with validator features.
+
+    Output: doc_id, type, recognizer, start, end, value, score, context, left30, left10,
+    left20, right5, ip_tail, in_first_line. No text column.
+    """
+    # the features stand in the generator itself: as a column they would be made once for each field read
+    return _matched(docs, specs, text, doc_id, with_header).selectExpr("doc_id", f"inline(transform(_c, c -> {_features_sql()}))")
 
 
 def street_suffix(value: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.spans import has_any
+from ..functions.steps import Field, Step, on_rows
 from .recognizers import company_trim, street_suffix
 
 KNOWN_TYPES = ["ADDRESS", "DOB", "COMPANY", "PERSON", "IP_ADDRESS", "SSN", "PHONE", "EMAIL", "CREDIT_CARD", "URL"]
@@ -35,79 +36,106 @@ def birth_word(ctx: Column) -> Column:
     return F.lower(ctx).rlike(r"\b(?:" + words + r")\b")
 
 
+def stages(whole_word_denylist: bool = False) -> list[Step]:
+    """VAL-02..16 and the shifted spans as steps: each sets some fields from those set before (short-line PERSON
+    duplicates are handled by the plan). One copy of the rules for candidate rows and for candidates in an array."""
+
+    def low(c: Field) -> Column:
+        return F.lower(c("_pv"))
+
+    def tech(c: Field) -> Column:
+        if whole_word_denylist:
+            return low(c).rlike(r"\b(?:" + "|".join(R.TECH_DENYLIST) + r")\b")
+        return has_any(low(c), R.TECH_DENYLIST)
+
+    def person_score(c: Field) -> Column:
+        return (
+            F.when(c("left30").rlike(R.PERSON_LEFT_LABEL), F.lit(R.PERSON_SCORES["label_ctx"]))
+            .when((c("section") == "HEADER") & c("in_first_line"), F.lit(R.PERSON_SCORES["header"]))
+            .when(c("score") > 0.8, c("score"))
+            .otherwise(F.lit(0.0))
+        )
+
+    def person_reason(c: Field) -> Column:
+        right5 = F.substring(F.concat(c("_street"), c("right5")), 1, 5)
+        return (
+            F.when(c("section").isin(*R.SUPPRESSED_SECTIONS), "suppressed_section")
+            .when(tech(c), "tech_denylist")
+            .when(low(c).isin(*R.FIELD_DENYLIST), "field_name")
+            .when(F.ltrim(right5).startswith(":"), "label_colon")
+        )
+
+    def company_reason(c: Field) -> Column:
+        v = c("value")
+        return (
+            F.when(~v.rlike(r"^\p{Lu}"), "company_lowercase")
+            .when(~v.rlike(R.COMPANY_SUFFIX_CHECK), "company_no_suffix")
+            .when(v.rlike(R.COMPANY_REJECT), "company_institution")
+        )
+
+    def address_reason(c: Field) -> Column:
+        return (
+            F.when(F.substring(c("left10"), -1, 1).isin(".", "#"), "address_prefix")
+            .when(c("left10").rlike(R.ADDRESS_HEADING_NUMBER), "address_heading_number")
+        )
+
+    def reason(c: Field) -> Column:
+        t, sc = c("type"), c("score")
+        low_score = F.when(sc < R.AMBIGUOUS_MIN, "low_score")
+        return (
+            F.when((t == "IP_ADDRESS") & F.lower(c("left20")).rlike(R.IP_VERSION_PREFIX), "ip_version")
+            # IPv4 only: the full IPv6 form has no such guard
+            .when((c("recognizer") == "ipv4_regex") & ip_rejected(c("left20"), c("ip_tail"), c("ip_url_line")), "ip_in_url")
+            .when(is_structured(t) & (sc < R.STRUCTURED_MIN), "low_score")
+            .when(is_structured(t), F.lit(None))
+            .when(c("protected"), "protected_overlap")
+            # CAND-16 short-line names skip the PERSON validators: only their own section rule
+            .when(c("recognizer") == "person_short_line",
+                  F.when(c("section").isin(*R.SUPPRESSED_SECTIONS), "suppressed_section"))
+            .when(t == "PERSON", F.coalesce(person_reason(c), F.when(person_score(c) < R.AMBIGUOUS_MIN, "low_score")))
+            .when(t.isin("COMPANY", "ORG"), F.coalesce(company_reason(c), low_score))
+            .when(t == "ADDRESS", F.coalesce(address_reason(c), low_score))
+            .when(t.isin("DATE", "DATE_TIME"), F.when(~birth_word(c("context")), "no_birth_keyword"))
+            .when(t == "LOCATION", "location")
+            .when(~t.isin(*KNOWN_TYPES), "unknown_type")
+            .otherwise(low_score)
+        )
+
+    def confidence(c: Field) -> Column:
+        return (F.when(c("recognizer") == "person_short_line", c("score")).when(c("type") == "PERSON", person_score(c))
+                .when(c("type").isin("DATE", "DATE_TIME"), F.lit(R.DATE_SCORE)).otherwise(c("score")).cast("double"))
+
+    return [
+        {"_street": lambda c: F.when(c("type") == "PERSON", street_suffix(c("value"))).otherwise(F.lit(""))},
+        {"_pv": lambda c: F.substring(c("value"), F.lit(1), F.length(c("value")) - F.length(c("_street")))},
+        {"reject_reason": reason, "confidence": confidence,
+         "_trim": lambda c: F.when(c("type").isin("COMPANY", "ORG"), company_trim(c("value"))).otherwise(F.lit(0))},
+        {"value": lambda c: F.substring(c("_pv"), c("_trim") + 1, F.length(c("_pv")))},
+        {"start": lambda c: (c("start") + c("_trim")).cast("int"),
+         "end": lambda c: (c("start") + c("_trim") + F.length(c("value"))).cast("int"),
+         "type": lambda c: F.when(c("type") == "ORG", "COMPANY").when(c("type").isin("DATE", "DATE_TIME"), "DOB").otherwise(c("type"))},
+    ]
+
+
+def dob_stages() -> list[Step]:
+    """VAL-17: a DOB span grows back over an ordinal day (``14th ``) found in the 10 chars before."""
+
+    def ordinal(c: Field) -> Column:
+        pre = F.regexp_extract(c("left10"), R.DOB_ORDINAL_PREFIX, 1)
+        return F.when((c("type") == "DOB") & c("reject_reason").isNull(), F.coalesce(pre, F.lit(""))).otherwise(F.lit(""))
+
+    return [{"_pre": ordinal},
+            {"start": lambda c: (c("start") - F.length(c("_pre"))).cast("int"), "value": lambda c: F.concat(c("_pre"), c("value"))}]
+
+
+TEMPORARY = ["_street", "_pv", "_trim", "_pre"]
+
+
 def validate(c: DataFrame, whole_word_denylist: bool = False) -> DataFrame:
-    """Apply VAL-02..16 to candidate rows (short-line PERSON rows are handled by the plan)."""
-    t, v, sc = F.col("type"), F.col("value"), F.col("score")
-    structured = is_structured(t)
-    is_person = t == "PERSON"
-
-    c = c.withColumn("_street", F.when(is_person, street_suffix(v)).otherwise(F.lit("")))
-    c = c.withColumn("_pv", F.expr("substring(value, 1, length(value) - length(_street))"))
-    pv = F.col("_pv")
-    right5 = F.substring(F.concat(F.col("_street"), F.col("right5")), 1, 5)
-    low = F.lower(pv)
-    if whole_word_denylist:
-        tech = low.rlike(r"\b(?:" + "|".join(R.TECH_DENYLIST) + r")\b")
-    else:
-        tech = has_any(low, R.TECH_DENYLIST)
-    person_reason = (
-        F.when(F.col("section").isin(*R.SUPPRESSED_SECTIONS), "suppressed_section")
-        .when(tech, "tech_denylist")
-        .when(low.isin(*R.FIELD_DENYLIST), "field_name")
-        .when(F.ltrim(right5).startswith(":"), "label_colon")
-    )
-    person_score = (
-        F.when(F.col("left30").rlike(R.PERSON_LEFT_LABEL), F.lit(R.PERSON_SCORES["label_ctx"]))
-        .when((F.col("section") == "HEADER") & F.col("in_first_line"), F.lit(R.PERSON_SCORES["header"]))
-        .when(sc > 0.8, sc)
-        .otherwise(F.lit(0.0))
-    )
-    comp_reason = (
-        F.when(~v.rlike(r"^\p{Lu}"), "company_lowercase")
-        .when(~v.rlike(R.COMPANY_SUFFIX_CHECK), "company_no_suffix")
-        .when(v.rlike(R.COMPANY_REJECT), "company_institution")
-    )
-    addr_reason = (
-        F.when(F.substring(F.col("left10"), -1, 1).isin(".", "#"), "address_prefix")
-        .when(F.col("left10").rlike(R.ADDRESS_HEADING_NUMBER), "address_heading_number")
-    )
-    low_score = F.when(sc < R.AMBIGUOUS_MIN, "low_score")
-    reason = (
-        F.when((t == "IP_ADDRESS") & F.lower(F.col("left20")).rlike(R.IP_VERSION_PREFIX), "ip_version")
-        # IPv4 only: the full IPv6 form has no such guard
-        .when((F.col("recognizer") == "ipv4_regex") & ip_rejected(F.col("left20"), F.col("ip_tail"), F.col("ip_url_line")), "ip_in_url")
-        .when(structured & (sc < R.STRUCTURED_MIN), "low_score")
-        .when(structured, F.lit(None))
-        .when(F.col("protected"), "protected_overlap")
-        # CAND-16 short-line names skip the PERSON validators: only their own section rule
-        .when(F.col("recognizer") == "person_short_line",
-              F.when(F.col("section").isin(*R.SUPPRESSED_SECTIONS), "suppressed_section"))
-        .when(is_person, F.coalesce(person_reason, F.when(person_score < R.AMBIGUOUS_MIN, "low_score")))
-        .when(t.isin("COMPANY", "ORG"), F.coalesce(comp_reason, low_score))
-        .when(t == "ADDRESS", F.coalesce(addr_reason, low_score))
-        .when(t.isin("DATE", "DATE_TIME"), F.when(~birth_word(F.col("context")), "no_birth_keyword"))
-        .when(t == "LOCATION", "location")
-        .when(~t.isin(*KNOWN_TYPES), "unknown_type")
-        .otherwise(low_score)
-    )
-    conf = F.when(F.col("recognizer") == "person_short_line", sc).when(is_person, person_score).when(t.isin("DATE", "DATE_TIME"), F.lit(R.DATE_SCORE)).otherwise(sc)
-    out_type = F.when(t == "ORG", "COMPANY").when(t.isin("DATE", "DATE_TIME"), "DOB").otherwise(t)
-    trim = F.when(t.isin("COMPANY", "ORG"), company_trim(v)).otherwise(F.lit(0))
-    c = (c.withColumn("reject_reason", reason)
-          .withColumn("confidence", conf.cast("double"))
-          .withColumn("_trim", trim))
-    c = (c.withColumn("value", F.expr("substring(_pv, _trim + 1)"))
-          .withColumn("start", (F.col("start") + F.col("_trim")).cast("int"))
-          .withColumn("end", (F.col("start") + F.length("value")).cast("int"))
-          .withColumn("type", out_type))
-    return c.drop("_street", "_pv", "_trim")
+    """VAL-02..16 on candidate rows."""
+    return on_rows(c, stages(whole_word_denylist), TEMPORARY)
 
 
 def extend_dob(c: DataFrame) -> DataFrame:
-    """VAL-17: a DOB span grows back over an ordinal day (``14th ``) found in the 10 chars before."""
-    pre = F.regexp_extract(F.col("left10"), R.DOB_ORDINAL_PREFIX, 1)
-    isdob = (F.col("type") == "DOB") & F.col("reject_reason").isNull()
-    c = c.withColumn("_pre", F.when(isdob, F.coalesce(pre, F.lit(""))).otherwise(F.lit("")))
-    return (c.withColumn("start", (F.col("start") - F.length("_pre")).cast("int"))
-             .withColumn("value", F.concat(F.col("_pre"), F.col("value")))
-             .drop("_pre"))
+    """VAL-17 on candidate rows."""
+    return on_rows(c, dob_stages(), TEMPORARY)
