@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 Field = Callable[[str], Column]
 Step = dict[str, Callable[[Field], Column]]
-BLOCK = 256
+CHUNK = 64  # elements of a chunk of a scan
 
 
 def on_rows(df: DataFrame, steps: list[Step], temporary: list[str] = ()) -> DataFrame:
@@ -40,18 +40,36 @@ def on_array(elements: Column, steps: list[Step]) -> Column:
     return elements
 
 
-def scan(elements: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], element_type: str) -> Column:
-    """A running state over an array: ``step(state, element)`` gives the next state and what the element becomes (of
-    ``element_type``). What is done is gathered in blocks, so n elements cost about n."""
-    empty = F.array().cast(f"array<{element_type}>")
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def pack(full: Column, part: Column, state: Column) -> Column:
-        return F.struct(full.alias("full"), part.alias("part"), state.alias("state"))
 
-    def merge(acc: Column, e: Column) -> Column:
-        after, out = step(acc["state"], e)
-        part = F.concat(acc["part"], F.array(out))
-        return F.when(F.size(part) < BLOCK, pack(acc["full"], part, after)).otherwise(pack(F.concat(acc["full"], F.array(part)), empty, after))
+def scan(elements: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out_type: str) -> Column:
+    """A running state over an array: ``step(state, element)`` gives the next state and the element's result (of
+    ``out_type``). The value is a struct of ``outs`` (a result per element) and ``last`` (the final state).
 
-    start = pack(F.array().cast(f"array<array<{element_type}>>"), empty, state)
-    return F.aggregate(elements, start, merge, lambda acc: F.concat(F.flatten(acc["full"]), acc["part"]))
+    ``aggregate`` copies what it has gathered at every step, so one over all elements would cost the square of their
+    number. A first pass over chunks keeps the state at the start of each, a second one fills each chunk's
+    results; states and results should be small."""
+
+    def chunks_of(el: Column) -> Column:
+        count = F.greatest(F.floor((F.size(el) - 1) / CHUNK), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), count.cast("int")), lambda k: F.slice(el, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("outs"), b.alias("state"))
+
+    def results(chunks: Column) -> Column:
+        starts = F.aggregate(chunks, pair(F.array(state), state), lambda acc, chunk: bind(
+            F.aggregate(chunk, acc["state"], lambda s, e: step(s, e)[0]), lambda s: pair(F.concat(acc["outs"], F.array(s)), s)))
+        none = F.array().cast(f"array<{out_type}>")
+
+        def fill(chunk: Column, start: Column) -> Column:
+            return F.aggregate(chunk, pair(none, start), lambda acc, e: pair(F.concat(acc["outs"], F.array(step(acc["state"], e)[1])), step(acc["state"], e)[0]),
+                               lambda acc: acc["outs"])
+
+        return bind(starts, lambda st: F.struct(
+            F.flatten(F.zip_with(chunks, F.slice(st["outs"], F.lit(1), F.size(chunks)), fill)).alias("outs"), st["state"].alias("last")))
+
+    return bind(elements, lambda el: bind(chunks_of(el), results))

@@ -10,8 +10,8 @@ included) can never conflict, so the fold only needs to run inside each island:
 
 The fold keeps one entity open. Candidates come by start, so a kept entity that ends before the
 current start can't conflict with anything later, and a candidate is only appended when no kept one
-reaches it: at most one kept entity ever can. Each step compares with that one alone, and what it leaves
-behind is gathered in blocks, so an island of n candidates costs about n. For the same reason the kept
+reaches it: at most one kept entity ever can. Each step compares with that one alone and notes the place of
+an entity that is closed, so an island of n candidates costs about n. For the same reason the kept
 entities of the first pass (overlap or touch) never overlap, and the second pass (overlap) changes nothing.
 Spans without characters are no entities and are dropped.
 """
@@ -21,37 +21,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SORT_FIELDS = ["start", "neg_len", "neg_conf", "type", "recognizer", "value"]
-BLOCK = 256  # closed entities are appended to a block; full blocks are not copied any more
-
+from ..functions.steps import bind, scan
 
-def _wins(e: Column, x: Column) -> Column:
-    return (e["confidence"] > x["confidence"]) | (
-        (e["confidence"] == x["confidence"]) & ((e["end"] - e["start"]) > (x["end"] - x["start"]))
-    )
+SORT_FIELDS = ["start", "neg_len", "neg_conf", "type", "recognizer", "value"]
 
 
-def _fold(arr: Column, elem_type: str) -> Column:
+def fold(arr: Column) -> Column:
     """The entities that stay of a sorted, non-empty array: a candidate that the open entity reaches replaces it or
-    is dropped, any other one closes it."""
+    is dropped, any other one closes it. Only the open entity's place and span are carried."""
+
+    def step(last: Column, e: Column) -> tuple[Column, Column]:
+        opened = F.struct(last["n"].alias("i"), (last["n"] + 1).alias("n"), e["start"].alias("start"), e["end"].alias("end"), e["confidence"].alias("confidence"))
+        passed = F.struct(last["i"].alias("i"), (last["n"] + 1).alias("n"), last["start"].alias("start"), last["end"].alias("end"), last["confidence"].alias("confidence"))
+        closes = e["start"] > last["end"]
+        wins = (e["confidence"] > last["confidence"]) | (
+            (e["confidence"] == last["confidence"]) & ((e["end"] - e["start"]) > (last["end"] - last["start"])))
+        return F.when(closes | wins, opened).otherwise(passed), F.when(closes & (last["i"] >= 0), last["i"])
 
-    def state(full: Column, part: Column, last: Column) -> Column:
-        return F.struct(full.alias("full"), part.alias("part"), last.alias("last"))
+    none = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0.0).alias("confidence"))
 
-    def step(acc, e):
-        last = acc["last"]
-        part = F.concat(acc["part"], F.array(last))
-        return (
-            F.when(e["start"] > last["end"],
-                   F.when(F.size(part) < BLOCK, state(acc["full"], part, e))
-                   .otherwise(state(F.concat(acc["full"], F.array(part)), F.array().cast(f"array<{elem_type}>"), e)))
-            .when(_wins(e, last), state(acc["full"], acc["part"], e))
-            .otherwise(acc)
-        )
+    def chosen(x: Column) -> Column:
+        places = F.concat(F.filter(x["s"]["outs"], lambda i: i.isNotNull()), F.array(x["s"]["last"]["i"]))
+        return F.transform(places, lambda i: F.get(x["a"], i))
 
-    start = state(F.array().cast(f"array<array<{elem_type}>>"), F.array().cast(f"array<{elem_type}>"), F.get(arr, 0))
-    return F.aggregate(F.slice(arr, 2, F.size(arr)), start, step,
-                       lambda acc: F.concat(F.flatten(acc["full"]), acc["part"], F.array(acc["last"])))
+    return bind(arr, lambda a: bind(F.struct(a.alias("a"), scan(a, none, step, "int").alias("s")), chosen))
 
 
 def resolve_overlaps(ents: DataFrame) -> DataFrame:
@@ -71,9 +64,8 @@ def resolve_overlaps(ents: DataFrame) -> DataFrame:
     # groupBy(doc_id, island) reuses the doc_id partitioning of the window (no new shuffle);
     # one-entity islands fold trivially, so there is no separate branch to union back
     grouped = e.groupBy("doc_id", "_island").agg(F.sort_array(F.collect_list(st)).alias("_arr"))
-    elem_type = grouped.schema["_arr"].dataType.elementType.simpleString()
     arr = F.col("_arr")
-    kept = F.when(F.size(arr) == 1, arr).otherwise(_fold(arr, elem_type))
+    kept = F.when(F.size(arr) == 1, arr).otherwise(fold(arr))
     folded = grouped.select("doc_id", F.explode(kept).alias("_e")).select("doc_id", "_e.*")
     return folded.select(*cols)
 

@@ -34,7 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _event_specs(specs):
+def event_specs(specs):
     specs = list(recognizers.builtin_specs() if specs is None else specs)
     specs.append(recognizers.short_line_spec())
     specs.append(recognizers.Spec(HEADING_T, "heading", R.HEADING, 1.0))
@@ -46,7 +46,7 @@ def scored_candidates(docs: DataFrame, external: DataFrame | None = None, specs=
                       doc_id: str = "doc_id", whole_word_denylist: bool = False) -> DataFrame:
     """Every candidate with ``confidence`` and ``reject_reason`` (null = approved) -- VAL-18 log."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ev = recognizers.raw_candidates(base, _event_specs(specs))
+    ev = recognizers.raw_candidates(base, event_specs(specs))
     if external is not None:
         ev = ev.unionByName(recognizers.external_candidates(base, external))
     t = F.col("type")

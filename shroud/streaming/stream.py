@@ -1,9 +1,12 @@
-"""STR-01: document stream -> detect, pseudonymize, redact each arriving micro-batch.
+"""STR-01: document stream -> detect, pseudonymize, redact each arriving document.
 
-The per-document plan needs no cross-batch state (pseudonyms are keyed hashes, so a value
-gets the same replacement in every batch), therefore each micro-batch runs the batch plan
-through ``foreachBatch`` and writes a folder of its own, so a replayed batch replaces its rows.
-The file source and the sink checkpoint make a restarted query resume where it stopped.
+The plan lies inside each row (``plans.rowwise``): no window, join, aggregate or state, so the stream runs in append mode
+with the file sink, which commits each micro-batch once and resumes from its checkpoint. Names are keyed hashes of
+the value alone (types without a generator included), so a value has one name in every batch and after a restart.
+Memory of a task follows its documents, not the stream.
+
+``process_batch`` runs the batch plan on one micro-batch for callers that have a ``foreachBatch`` of their own; it writes
+a folder per batch, so a replayed batch replaces its rows.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pseudonyms, redact, stats
 from ..plans import detect as D
+from ..plans import rowwise
 from ..session import ensure_checkpoint_dir
 
 DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -32,12 +36,20 @@ def process_batch(batch: DataFrame, out_dir: str, epoch: int = 0) -> None:
     out.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={epoch}")
 
 
-def start(spark: SparkSession, source_glob: str, out_dir: str, checkpoint: str, max_files: int | None = None):
+OUTPUT = ["doc_id", "total_entities", "entities_by_type", "avg_confidence", "redacted_text"]
+
+
+def redacted_stream(docs: DataFrame, **options) -> DataFrame:
+    """A stream (or table) of documents (doc_id, text) as redacted documents with their statistics."""
+    return rowwise.redacted(docs, **options).select(*OUTPUT)
+
+
+def start(spark: SparkSession, source_glob: str, out_dir: str, checkpoint: str, max_files: int | None = None, **options):
     """Start the streaming redaction (processes what is available, then stops); ``max_files`` limits a
-    micro-batch, by default all waiting files are one."""
+    micro-batch, by default all waiting files are one. ``options`` are those of ``rowwise.entity_arrays``."""
     reader = spark.readStream.schema(DOC_SCHEMA)
     stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source_glob)
-    return (stream.writeStream.foreachBatch(lambda df, epoch: process_batch(df, out_dir, epoch))
+    return (redacted_stream(stream, **options).writeStream.outputMode("append").format("parquet").option("path", out_dir)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
