@@ -224,13 +224,13 @@ def _lists(x: np.ndarray) -> pa.Array:
 def scored(docs: DataFrame, fitted: dict, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns, total bits under each language and number of scored characters, a row per row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted["cache"])
-    docs = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    docs = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col("text").cast("string").alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "_text")
 
     def run(batches):
         keys, known = shared.value
         for b in batches:
-            for t in slices(b["text"]):
+            for t in slices(b["_text"]):
                 m, wide = len(t), known.shape[1]
                 own = [b[c].slice(t.first, m) for c in ("_row", *keep)]
                 start, _, first = words(t)

@@ -30,7 +30,6 @@ from shroud.llm.common import judged, remainder, written
 from shroud.llm.text import Texts, distinct_words, slices, words
 
 SAMPLE_ROWS = 20_000  # bound of the labelled rows that the lexicon and the weights are learned from
-MAX_TERMS = 4_000  # bound of the lexicon: the terms with the highest weight of evidence
 MIN_DOCS, MIN_SHARE = 3, 0.5  # a term is in so many toxic documents, and its documents are toxic so often (lower bound)
 STEMS = range(4, 8)  # lengths of prefixes that may become stems
 CLEAN_DOCS = 2  # a form that is in so many clean documents, and more often in clean than in toxic ones, is no fuzzy hit
@@ -261,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> d
     low = (p + z2 / (2 * F.col("n")) - F.sqrt(z2 * (p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
     found = found.where((F.col("bad") >= MIN_DOCS) & ((F.col("stem") == 0) | (F.col("endings") >= MIN_ENDINGS))).withColumn("low", low)
     found = found.where((F.col("low") >= F.when(F.col("stem") > 0, 0.9).otherwise(MIN_SHARE)) & (F.length("term") >= 3))
-    best = found.orderBy(F.desc("low"), F.desc("bad"), "stem", "term").limit(MAX_TERMS).select("stem", "term").collect()
+    best = found.orderBy(F.desc("low"), F.desc("bad"), "stem", "term").select("stem", "term").collect()  # bounded by the sample
     lexicon = Lexicon([r["term"] for r in best if r["stem"] == 0], [r["term"] for r in best if r["stem"] > 0])
     bare_ = docs.sparkSession.sparkContext.broadcast(lexicon)
 
