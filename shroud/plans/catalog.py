@@ -278,8 +278,9 @@ def q_ovl01(spark, sf):
 
 
 def q_ovl03(spark, sf):
-    a = approved(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("candidates"))
-    e = entities(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("entities"))
+    sc, ents = detected(spark, sf)
+    a = sc.filter(F.col("reject_reason").isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("candidates"))
+    e = ents.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("entities"))
     return a.join(e, "doc_id", "left").fillna(0, ["entities"])
 
 
@@ -596,9 +597,15 @@ def q_eval05(spark, sf):
     return EV.determinism(pseudonymized(spark, sf))
 
 
+def detected(spark, sf):
+    """(scored candidates, entities) of one detection: the candidates are checkpointed and feed both."""
+    sc = D.materialize(scored(spark, sf))
+    return sc, D.entities_of(sc)
+
+
 def q_eval06(spark, sf):
-    return EV.overlap_accuracy(of_dossiers(approved(spark, sf)),
-                               dossier_entities(spark, sf), truth(spark, sf))
+    sc, ents = detected(spark, sf)
+    return EV.overlap_accuracy(of_dossiers(sc.filter(F.col("reject_reason").isNull())), of_dossiers(ents), truth(spark, sf))
 
 
 def q_eval07(spark, sf):
@@ -607,7 +614,7 @@ def q_eval07(spark, sf):
 
 
 def q_eval08(spark, sf):
-    return EV.funnel(scored(spark, sf), entities(spark, sf))
+    return EV.funnel(*detected(spark, sf))
 
 
 def q_eval09(spark, sf):

@@ -94,8 +94,12 @@ def detect(docs: DataFrame, external: DataFrame | None = None, specs=None, text:
            doc_id: str = "doc_id", whole_word_denylist: bool = False,
            protect_only_types: tuple[str, ...] = ()) -> DataFrame:
     """Entities (doc_id, id, type, start, end, value, confidence, context, recognizer)."""
-    sc = scored_candidates(docs, external, specs, text, doc_id, whole_word_denylist)
-    approved = sc.filter(F.col("reject_reason").isNull())
+    return entities_of(scored_candidates(docs, external, specs, text, doc_id, whole_word_denylist), protect_only_types)
+
+
+def entities_of(scored: DataFrame, protect_only_types: tuple[str, ...] = ()) -> DataFrame:
+    """The entities of scored candidates: the approved ones without overlap, numbered."""
+    approved = scored.filter(F.col("reject_reason").isNull())
     if protect_only_types:
         approved = approved.filter(~F.col("type").isin(*protect_only_types))
     ents = overlap.resolve_overlaps(approved.select(*ENTITY_COLS))

@@ -82,12 +82,17 @@ def overlap_flag(points: DataFrame, spans: DataFrame, name: str) -> DataFrame:
 def token_metrics(tokens: DataFrame, entities: DataFrame, truth_spans: DataFrame) -> DataFrame:
     """EVAL-04: token-level tp/fp/fn/tn, precision, recall, F1, accuracy.
 
-    ``tokens(doc_id, start, end)``; a token is predicted / expected when it overlaps an entity /
-    truth span of the same document (two sweeps, see ``overlap_flag``)."""
-    pred = overlap_flag(tokens, entities, "pred")
-    exp = overlap_flag(tokens, truth_spans, "exp")
-    t = pred.join(exp, ["doc_id", "start", "end"]).select(F.col("pred").cast("int").alias("pred"),
-                                                          F.col("exp").cast("int").alias("exp"))
+    ``tokens(doc_id, start, end)``; a token is predicted / expected when it overlaps an entity / truth span of the
+    same document. Tokens, entities and truth are one stream of tagged events, swept once as in
+    ``overlap_flag``: the running ends of both kinds of spans answer both questions."""
+    events = (tokens.select("doc_id", "start", "end", F.lit(0).alias("_k"))
+              .unionByName(entities.select("doc_id", "start", "end", F.lit(1).alias("_k")))
+              .unionByName(truth_spans.select("doc_id", "start", "end", F.lit(2).alias("_k"))))
+    span = F.col("_k") > 0
+    w = Window.partitionBy("doc_id").orderBy(F.when(span, F.col("start")).otherwise(F.col("end")), span).rowsBetween(Window.unboundedPreceding, 0)
+    reach = lambda k: F.max(F.when(F.col("_k") == k, F.col("end"))).over(w)
+    hit = lambda c: F.coalesce(F.col(c) > F.col("start"), F.lit(False)).cast("int")
+    t = events.withColumns({"_e": reach(1), "_t": reach(2)}).filter("_k = 0").select(hit("_e").alias("pred"), hit("_t").alias("exp"))
     a = t.agg(F.sum(F.col("pred") * F.col("exp")).alias("tp"), F.sum(F.col("pred") * (1 - F.col("exp"))).alias("fp"),
               F.sum((1 - F.col("pred")) * F.col("exp")).alias("fn"),
               F.sum((1 - F.col("pred")) * (1 - F.col("exp"))).alias("tn"))
@@ -115,11 +120,15 @@ def overlap_accuracy(approved: DataFrame, entities: DataFrame, truth: DataFrame)
     a = a.withColumn("_new", F.when(F.col("_pm").isNull() | (F.col("start") >= F.col("_pm")), 1).otherwise(0))
     w2 = Window.partitionBy("doc_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     a = a.withColumn("_isl", F.sum("_new").over(w2))
-    isl = a.groupBy("doc_id", "_isl").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("s"), F.max("end").alias("e"))
-    coll = isl.filter(F.col("n") > 1)
-    won = entities.alias("x").join(coll.alias("c"), (F.col("x.doc_id") == F.col("c.doc_id"))
-                                   & (F.col("x.start") >= F.col("c.s")) & (F.col("x.end") <= F.col("c.e")))
-    won = won.select("x.doc_id", "x.type", "x.value").distinct()
+    isl = a.groupBy("doc_id", "_isl").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    # islands don't overlap: an entity can only lie in the last one that begins at or before it
+    events = isl.select("doc_id", "start", F.struct("n", "end").alias("_island"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("value"),
+                        F.lit(None).cast("int").alias("_end"))
+    events = events.unionByName(entities.select("doc_id", "start", F.lit(None).cast(events.schema["_island"].dataType).alias("_island"), "type", "value",
+                                                F.col("end").cast("int").alias("_end")))
+    w3 = Window.partitionBy("doc_id").orderBy("start", F.col("_island").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    won = events.withColumn("_in", F.last("_island", ignorenulls=True).over(w3)).filter(F.col("_end").isNotNull() & (F.col("_in.n") > 1) & (F.col("_end") <= F.col("_in.end")))
+    won = won.select("doc_id", "type", "value").distinct()
     t = truth.select("doc_id", "type", "value").distinct().withColumn("good", F.lit(1))
     flagged = won.join(t, ["doc_id", "type", "value"], "left")
     return flagged.agg(F.count(F.lit(1)).cast("bigint").alias("resolved"),
