@@ -13,6 +13,7 @@ from . import rules as R
 from .sources.docs import dossier_sql
 
 # ------------------------------------------------------------------ RE2 patterns
+#: FIXED VALUES: the patterns of ``rules`` restated for RE2, which has no look-around.
 
 _EXT = r"(?:\s*(?:ext\.?|x|extension)\s*\d{1,5})?"
 ADDRESS_STREET_RE2 = (
