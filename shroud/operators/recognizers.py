@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.literals import finder, required, witnesses
 from ..functions.spans import chunks, cut_sql, luhn_ok
 
 CAND_STRUCT = "struct<type:string,recognizer:string,start:int,end:int,value:string,score:double>"
@@ -161,6 +162,15 @@ def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str])
     cols = list(dict.fromkeys(keep + [text]))
     # marker characters already in the text become spaces once per document (length preserving)
     extra = [f"translate({text}, concat(chr(1), chr(2)), '  ') AS _clean"]
+    # literals that the patterns without a condition of their own need: one pass finds which patterns can match
+    needs = {i: found for i, sp in enumerate(specs) if not (sp.guard or sp.any_of or sp.any_of_lower) and (found := required(sp.pattern))}
+    found_in = {}
+    for folded, column in ((False, "_seen"), (True, "_seen_low")):
+        literals = set().union(*(x for x, f in needs.values() if f == folded))
+        if literals:
+            found_in[folded] = column, literals
+            where = f"lower({text})" if folded else text
+            extra.append(f"array_distinct(regexp_extract_all({where}, {sql_lit(finder(literals))}, 1)) AS {column}")
     if need_lower:
         extra.append(f"lower({text}) AS _low")
     df = df.selectExpr(*cols, *extra)
@@ -170,6 +180,9 @@ def _staged_spans(df: DataFrame, specs: list[Spec], text: str, keep: list[str])
         if sp.guard is not None:
             cond.append(f"instr({text}, {sql_lit(sp.guard)}) > 0" if len(sp.guard) == 1
                         else f"{text} RLIKE {sql_lit(sp.guard)}")
+        if i in needs:
+            column, literals = found_in[needs[i][1]]
+            cond.append(f"arrays_overlap({column}, array({', '.join(map(sql_lit, witnesses(needs[i][0], literals)))}))")
         if sp.any_of:
             cond.append(_any_sql(text, sp.any_of))
         if sp.any_of_lower:
