@@ -516,6 +516,11 @@ def q_agg05(spark, sf):
     return stats.nonempty_tabs(entities(spark, sf))
 
 
+def q_agg05_tab(spark, sf):
+    """AGG-05, an open tab: the entities of one type."""
+    return _big(stats.by_type_tab(entities(spark, sf), "EMAIL").select("doc_id", "id", "type", "value", "confidence"), "id")
+
+
 def q_agg06(spark, sf):
     return _big(stats.review_queue(entities(spark, sf), 0.9).select("doc_id", "id", "type", "value", "confidence"), "id")
 
@@ -666,6 +671,7 @@ QUERIES.update({
     "AGG-03": q_agg03,
     "AGG-04": q_agg04,
     "AGG-05": q_agg05,
+    "AGG-05-tab": q_agg05_tab,
     "AGG-06": q_agg06,
     "AGG-07": q_agg07,
     "EVAL-01": q_eval01,
@@ -699,9 +705,9 @@ def _card_like(spark, sf):
 
 
 def q_fun02(spark, sf):
-    from ..functions.spans import luhn_ok
+    """The check that detection runs on card candidates (``spans.luhn_ok`` is its Column form)."""
     r = _card_like(spark, sf)
-    return _big(r.select("doc_id", "recognizer", "start", "value", luhn_ok(F.col("value")).alias("luhn_ok")), "start")
+    return _big(r.select("doc_id", "recognizer", "start", "value", F.expr(recognizers.luhn_sql("value")).alias("luhn_ok")), "start")
 
 
 def q_fun03(spark, sf):

@@ -264,6 +264,7 @@ ORACLE.update({
     "AGG-04": ents(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 4) AS avg_confidence "
                    "FROM ents GROUP BY type"),
     "AGG-05": ents(", y AS (SELECT 1) SELECT type, CAST(count(*) AS BIGINT) AS n FROM ents GROUP BY type HAVING count(*) > 0"),
+    "AGG-05-tab": ents(", y AS (SELECT 1) SELECT doc_id, id, type, value, confidence FROM ents WHERE type = 'EMAIL'"),
     "AGG-06": ents(f", y AS (SELECT 1) SELECT doc_id, id, type, value, confidence FROM ents WHERE confidence < 0.9"),
     "AGG-07": mp(f", y AS (SELECT 1) SELECT doc_id, repeat('0', greatest(3 - length(CAST(id AS VARCHAR)), 0)) || CAST(id AS VARCHAR) AS row_id, "
                  f"coalesce(element_at({LABELS}, type)[1], type) AS type_label, value AS original, replacement, "
