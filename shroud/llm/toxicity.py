@@ -260,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> d
     low = (p + z2 / (2 * F.col("n")) - F.sqrt(z2 * (p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
     found = found.where((F.col("bad") >= MIN_DOCS) & ((F.col("stem") == 0) | (F.col("endings") >= MIN_ENDINGS))).withColumn("low", low)
     found = found.where((F.col("low") >= F.when(F.col("stem") > 0, 0.9).otherwise(MIN_SHARE)) & (F.length("term") >= 3))
-    best = found.orderBy(F.desc("low"), F.desc("bad"), "stem", "term").select("stem", "term").collect()  # bounded by the sample
+    best = sorted(found.select("stem", "term").collect())  # bounded by the sample
     lexicon = Lexicon([r["term"] for r in best if r["stem"] == 0], [r["term"] for r in best if r["stem"] > 0])
     bare_ = docs.sparkSession.sparkContext.broadcast(lexicon)
 
