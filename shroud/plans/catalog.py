@@ -754,3 +754,6 @@ QUERIES.update({
     "FUN-01": q_fun01, "FUN-02": q_fun02, "FUN-03": q_fun03, "FUN-04": q_fun04, "FUN-05": q_fun05,
     "FUN-06": q_fun06, "FUN-07": q_fun07, "VAL-06": q_val06,
 })
+
+#: queries whose tasks run Python of this package
+PYTHON = ["RED-02", "RED-03"]

@@ -55,7 +55,8 @@ def test_many_recognizers_on_text_without_hits(spark):
 
     rng = random.Random(5)
     words = ["the", "Report", "record", "of", "entry", "Reading", "value", "and", "Ending", "in"]
-    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(20_000))) for i in range(32)], "doc_id long, text string").repartition(4)
+    texts = [" ".join(rng.choice(words) for _ in range(20_000)) for _ in range(16)]
+    docs = spark.createDataFrame([(i, texts[i % 16]) for i in range(256)], "doc_id long, text string").repartition(8)  # the texts outweigh the planning
     docs = docs.cache()
     docs.count()
 
