@@ -592,7 +592,7 @@ def q_eval03(spark, sf):
 
 def q_eval04(spark, sf):
     d = S.dossiers(spark, sf)
-    tok = recognizers.raw_candidates(d, [Spec("_TOKEN", "token", r"\S+", 1.0)], with_header=False).select("doc_id", "start", "end")
+    tok = recognizers.raw_candidates(d, [Spec("_TOKEN", "token", r"\S+", 1.0)], with_header=False, features=False).select("doc_id", "start", "end")
     t = truth(spark, sf).join(d, "doc_id").withColumn("start", F.instr("text", F.col("line")) + F.instr("line", F.col("value")) - 2) \
         .withColumn("end", F.col("start") + F.length("value")).select("doc_id", "start", "end")
     return EV.token_metrics(tok, dossier_entities(spark, sf), t)

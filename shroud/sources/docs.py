@@ -254,8 +254,12 @@ def dossier_sql(customer: str = "customer", orders: str = "orders", dialect: str
 
 
 def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived dossier corpus (doc_id, text): one per customer, built by Spark SQL."""
-    read_table(spark, sf_dir, "customer").createOrReplaceTempView("_shroud_customer")
+    """Derived dossier corpus (doc_id, text): one per customer, built by Spark SQL.
+
+    A customer's row is short and its dossier long, so the splits of the table would leave the texts, and all that is
+    done with them, to a few tasks: the rows are dealt out before the texts are built."""
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    read_table(spark, sf_dir, "customer").repartition(parts, "c_custkey").createOrReplaceTempView("_shroud_customer")
     read_table(spark, sf_dir, "orders").createOrReplaceTempView("_shroud_orders")
     return spark.sql(dossier_sql("_shroud_customer", "_shroud_orders"))
 
