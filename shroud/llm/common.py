@@ -30,10 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and survives lost executors; ``by``: a folder a value."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+def written(df: DataFrame, name: str, by: str | None = None, rows: int = 0) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts the lineage and survives lost executors; ``by``: a folder a value;
+    ``rows``: of a file at most. A ``name`` with a folder is a path of its own."""
+    path = name if "/" in name else f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

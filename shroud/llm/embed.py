@@ -1,16 +1,13 @@
-"""Embedding near-duplicates by a subspace pigeonhole join.
+"""Embedding near-duplicates by an exact join of sorted leaves.
 
-Unit vectors at cosine c are at squared distance 2 - 2c. Vectors are rotated by a fixed random rotation and
-split into blocks of ``WIDTH`` coordinates; if a pair is within the whole budget, at least one block is
-within its proportional share. Every block is range-joined under that share, and the union of the
-candidates is verified by the exact cosine in double precision.
-
-The range join of a block runs per label and leaf of a kd-tree, which is cut from a bounded sample so that
-leaves hold about ``LEAF`` vectors of the largest label; a vector lives in one leaf and visits those
-within the radius. A leaf that is larger still (a dense group) is dealt into parts, and every pair of parts
-meets in a task of bounded memory. A directed link is counted only in the first block whose share it
-keeps, in the leaf where its start lives, so nothing is counted twice and no pairs are written: tasks return
-counts, and a spanning forest for the components. Equal vectors collapse to one, with a weight.
+Unit vectors at cosine c are at squared distance 2 - 2c. Equal vectors collapse to one, with a weight; the distinct
+ones are written once, sorted by label, in files of bounded size (leaves). Every two leaves that share a label meet
+in a task of bounded memory that reads them from the shared folder, so a vector is written once however many leaves
+it meets. A leaf's vectors meet in parts: a product in single precision, with room for its rounding, finds the
+candidates and the exact cosine in double precision decides. Longer vectors are rotated by a fixed random rotation and
+split into blocks of ``WIDTH`` coordinates: a pair within the whole budget is within its proportional share in at
+least one block, and is counted in the first such one. No pairs are written: tasks return counts, and a spanning
+forest for the components.
 
 Edge cases: a vector that is null, empty, zero or holds a null or non-finite component, or whose label
 is null, links with nothing; vectors of different length are not compared; rows with equal ids are
@@ -20,22 +17,27 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import components, written
+from shroud.llm.common import components, shared_dir, written
+from shroud.llm.warc import store
 
-WIDTH = 8  # coordinates in a block
-LEAF = 8192  # vectors of the largest label in a leaf, about
+WIDTH = 256  # coordinates in a block
+LEAF = 16384  # vectors in a leaf
 PART = 4096  # vectors in a part of a leaf
-SAMPLE = 8192  # bound of the vectors that the trees are cut from
 SLACK = 1e-9  # for rounding in the block distances
+SINGLE = 4e-7  # for rounding in a product of single precision, a coordinate
 ROWS = 512
+PAIRS = 32  # pairs of leaves in a task, at most
 
 _rotations: dict[int, np.ndarray] = {}
 
@@ -51,58 +53,51 @@ def spans(d: int) -> list[tuple[int, int]]:
     return [(lo, min(lo + WIDTH, d)) for lo in range(0, d, WIDTH)]
 
 
-def units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def units(raw: list[bytes], d: int) -> np.ndarray:
+    """Unit vectors of ``d`` components that are given in single or double precision."""
+    x = np.empty((len(raw), d))
+    for kind in (np.float32, np.float64):
+        some = [i for i, r in enumerate(raw) if len(r) == d * np.dtype(kind).itemsize]
+        if some:
+            x[some] = np.frombuffer(b"".join(raw[i] for i in some), kind).reshape(len(some), d)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _vectors(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of the lists without nulls, by their length."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for size in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == size)
+        values = column.take(pa.array(rows)).flatten()
+        x = values.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(len(rows), size)  # null and not a number are both invalid
+        yield rows, x
+
+
+def _usable(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) that can link, by their length."""
+    labelled = b["label"].is_valid().to_numpy(zero_copy_only=False)
+    for rows, x in _vectors(b["embedding"]):
+        some = labelled[rows] & np.isfinite(x).all(axis=1) & x.any(axis=1)
+        if some.any():
+            yield rows[some], x[some]
+
+
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that can link, with the components as bytes and a fingerprint."""
+    """Rows that can link, with the components as bytes (in single precision where that holds them) and a fingerprint."""
+    names = ["vec_id", "label", "data", "print"]
     for b in batches:
-        rows = []
-        for vec, label, x in zip(b["vec_id"].to_pylist(), b["label"].to_pylist(), b["embedding"].to_pylist()):
-            if x and label is not None and None not in x:
-                v = np.array(x, np.float64)
-                if np.isfinite(v).all() and v.any():
-                    scale = np.abs(v).max()
-                    data = (v / scale).tobytes() if not 1e-100 < scale < 1e100 else v.tobytes()
-                    rows.append((vec, f"{label}/{len(x)}", data, hashlib.blake2b(v.tobytes(), digest_size=16).digest()))
-        kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["vec_id", "label", "data", "print"])
-
-
-class Trees:
-    """A kd-tree for every block, cut at medians of a sample of vectors of one length."""
-
-    def __init__(self, sample: list[bytes], depth: int):
-        self.d = len(sample[0]) // 8 if sample else 0
-        self.trees = []
-        if self.d and depth:
-            x = units([s for s in sample if len(s) == 8 * self.d]) @ rotation(self.d)
-            self.trees = [self._cut(x[:, lo:hi], depth) for lo, hi in spans(self.d)]
-
-    def _cut(self, x: np.ndarray, depth: int):
-        if not depth or len(x) < 8:
-            return None
-        axis = int(x.var(axis=0).argmax())
-        at = float(np.median(x[:, axis]))
-        low = x[:, axis] < at
-        return (axis, at, self._cut(x[low], depth - 1), self._cut(x[~low], depth - 1))
-
-    def place(self, x: np.ndarray, block: int, radius: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(rows, leaf, whether they live there) of the block's coordinates."""
-        todo = [(self.trees[block] if self.trees else None, 1, np.arange(len(x)), np.ones(len(x), bool))]
-        while todo:
-            node, leaf, rows, home = todo.pop()
-            if node is None:
-                yield rows, leaf, home
-                continue
-            axis, at, left, right = node
-            v = x[rows, axis]
-            some = v < at + radius
-            todo.append((left, 2 * leaf, rows[some], home[some] & (v[some] < at)))
-            some = v >= at - radius
-            todo.append((right, 2 * leaf + 1, rows[some], home[some] & (v[some] >= at)))
+        for rows, x in _usable(b):
+            own = pa.array(rows)
+            labels = pa.array([f"{label}/{x.shape[1]}" for label in b["label"].take(own).to_pylist()], pa.string())
+            prints = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x]
+            scale = np.abs(x).max(axis=1)
+            far = ~((1e-100 < scale) & (scale < 1e100))
+            x = np.where(far[:, None], x / scale[:, None], x)
+            with np.errstate(over="ignore", under="ignore"):
+                single = x.astype(np.float32)
+            fits = (single.astype(np.float64) == x).all(axis=1)
+            data = [(s if f else v).tobytes() for s, v, f in zip(single, x, fits)]
+            yield pa.RecordBatch.from_arrays([b["vec_id"].take(own), labels, pa.array(data, pa.binary()), pa.array(prints, pa.binary())], names=names)
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -134,70 +129,89 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tupl
 def links(x: np.ndarray, block: int, cosine: float, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, first): rows i of ``left`` and j of ``right`` at ``cosine`` or more, found through this block; first: no block before it finds them."""
     d = x.shape[1]
-    turned = x @ rotation(d)
     limit = 2 - 2 * cosine
     cuts = spans(d)
+    turned = x @ rotation(d) if len(cuts) > 1 else x
     lo, hi = cuts[block]
     share = limit * (hi - lo) / d + SLACK
-    y = turned[right, lo:hi]
-    norm = (y * y).sum(axis=1)
+
+    def half(rows):
+        return (turned[rows, lo:hi] ** 2).sum(axis=1)[:, None] / 2
+
+    # -1/2 of the squared distance as one product: (z, |z|^2/2, 1) times (y, -1, -|y|^2/2)
+    y = np.hstack([turned[right, lo:hi], np.full((len(right), 1), -1.0), -half(right)]).astype(np.float32).T
+    least = np.float32(-share / 2 - SINGLE * (hi - lo + 4))
     for at in range(0, len(left), ROWS):
         rows = left[at : at + ROWS]
-        z = turned[rows, lo:hi]
-        near = (z * z).sum(axis=1)[:, None] + norm[None, :] - 2 * (z @ y.T) <= share
-        i, j = np.nonzero(near)
-        for c in range(0, len(i), 50_000):
-            a, b = rows[i[c : c + 50_000]], right[j[c : c + 50_000]]
+        z = np.hstack([turned[rows, lo:hi], half(rows), np.ones((len(rows), 1))]).astype(np.float32)
+        near = np.flatnonzero(z @ y >= least)
+        for c in range(0, len(near), 50_000):
+            i, j = np.divmod(near[c : c + 50_000], len(right))
+            a, b = rows[i], right[j]
             some = a != b
             a, b = a[some], b[some]
             some = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
             a, b = a[some], b[some]
             if len(a):
-                diff = (turned[a] - turned[b]) ** 2
                 first = np.ones(len(a), bool)
-                for p, q in cuts[:block]:
-                    first &= diff[:, p:q].sum(axis=1) > limit * (q - p) / d + SLACK
+                if block:
+                    diff = (turned[a] - turned[b]) ** 2
+                    for p, q in cuts[:block]:
+                        first &= diff[:, p:q].sum(axis=1) > limit * (q - p) / d + SLACK
                 yield a, b, first
 
 
-def _join(cosine: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        names = ["u", "v", "n"]
-
-        def close():
-            _, block, _, p, q = key
-            ids, data, home, weight, part = zip(*held)
-            x, home, weight, part = units(list(data)), np.array(home), np.array(weight, np.int64), np.array(part)
-            count = np.zeros(len(x), np.int64)
-
-            def found():
-                left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-                for a, b, first in links(x, block, cosine, left, right):
-                    one = first & home[a]
-                    np.add.at(count, a[one], weight[b[one]])
-                    if p != q:
-                        two = first & home[b]
-                        np.add.at(count, b[two], weight[a[two]])
+def _met(x: np.ndarray, of: np.ndarray, weight: np.ndarray, cosine: float, part: int, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Adds to ``count`` the links of the vectors of one label, those of one leaf or (``of``: leaf 0 or 1) of two with each other, and
+    yields them; parts meet once."""
+    left, right = (np.flatnonzero(of == k) for k in (0, of.max()))
+    for p in range(0, len(left), part):
+        for q in range(0, len(right), part) if of.any() else range(p, len(left), part):
+            one, two = left[p : p + part], right[q : q + part]
+            for block in range(len(spans(x.shape[1]))):
+                for a, b, first in links(x, block, cosine, one, two):
+                    np.add.at(count, a[first], weight[b[first]])
+                    if of.any() or p != q:
+                        np.add.at(count, b[first], weight[a[first]])
                     yield a, b
 
-            edges = _forest(len(x), found())
-            some = np.flatnonzero(count)
-            u = [ids[i] for i, _ in edges] + [ids[i] for i in some]
-            v = [ids[j] for _, j in edges] + [None] * len(some)
-            n = [0] * len(edges) + count[some].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, n)], names=names)
 
+def _join(folder: str, leaves, cosine: float, part: int):
+    """Pairs of leaves -> the forest (u, v) of their links and the number of links (u, null, n)."""
+    names = ["u", "v", "n"]
+
+    def read(k: int) -> pa.Table:
+        files, top = store(folder)
+        found = []
+        for name in leaves.value[k]:
+            with files.open_input_file(f"{top}/{name}") as f:
+                found.append(pq.read_table(f, columns=["label", "rep", "data", "weight"]))
+        return pa.concat_tables(found)
+
+    def by_label(t: pa.Table) -> dict[str, np.ndarray]:
+        coded = t["label"].combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        return dict(zip(coded.dictionary.to_pylist(), np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [b[c].to_pylist() for c in ("label", "block", "leaf", "p", "q", "rep", "data", "home", "weight", "part")]
-            for label, block, leaf, p, q, *rest in zip(*columns):
-                if (label, block, leaf, p, q) != key:
-                    if len(held) > 1:
-                        yield close()
-                    key, held = (label, block, leaf, p, q), []
-                held.append(rest)
-        if len(held) > 1:
-            yield close()
+            for p, q in zip(b["p"].to_pylist(), b["q"].to_pylist()):
+                tables = [read(k) for k in ([p] if p == q else [p, q])]
+                places = [by_label(t) for t in tables]
+                for label in places[0].keys() & places[-1].keys():
+                    some = [t.take(pa.array(at[label])) for t, at in zip(tables, places)]
+                    both = pa.concat_tables(some)
+                    x = units(both["data"].to_pylist(), int(label.rpartition("/")[2]))
+                    weight, ids = both["weight"].to_numpy(), both["rep"].to_numpy()
+                    count = np.zeros(len(x), np.int64)
+                    edges = _forest(len(x), _met(x, np.repeat(np.arange(len(some)), [len(t) for t in some]), weight, cosine, part, count))
+                    linked = np.flatnonzero(count)
+                    if len(linked):
+                        u = [*(ids[i] for i, _ in edges), *ids[linked]]
+                        v = [*(ids[j] for _, j in edges), *[None] * len(linked)]
+                        n = [*[0] * len(edges), *count[linked]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, n)], names=names)
 
     return run
 
@@ -206,38 +220,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    valid = written(rows.mapInArrow(_valid, "vec_id bigint, label string, data binary, print binary"), "vectors")
+    valid = rows.mapInArrow(_valid, "vec_id bigint, label string, data binary, print binary")
     # `rep` numbers a distinct vector of a label
-    alike = written(valid.groupBy("label", "print").agg(F.min("vec_id").alias("vec"), F.count("*").alias("weight"), F.first("data").alias("data")).withColumn("rep", F.xxhash64("label", "print")), "alike")
-    largest = alike.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, int(np.ceil(np.log2(max(largest, 1) / LEAF))))
-    total = alike.count()
-    sample = [] if not depth else [r["data"] for r in alike.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / total) * (1 << 30))).select("data").limit(2 * SAMPLE).collect()]
-    trees = spark.sparkContext.broadcast(Trees(sample, depth))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = trees.value
-        for b in batches:
-            data = np.array(b["data"].to_pylist(), object)
-            for size in {len(x) for x in data}:
-                pick = np.array([i for i, x in enumerate(data) if len(x) == size])
-                d = size // 8
-                x = units(list(data[pick])) @ rotation(d)
-                for block, (lo, hi) in enumerate(spans(d)):
-                    radius = np.sqrt((2 - 2 * cosine) * (hi - lo) / d + SLACK)
-                    for at, leaf, home in t.place(x[:, lo:hi], block, radius) if d == t.d else [(np.arange(len(pick)), 1, np.ones(len(pick), bool))]:
-                        if len(at):
-                            own = pa.array(pick[at])
-                            yield pa.RecordBatch.from_arrays([b["label"].take(own), pa.array(np.full(len(at), block, np.int32)), pa.array(np.full(len(at), leaf, np.int64)), b["rep"].take(own), pa.array(home), b["weight"].take(own)], names=["label", "block", "leaf", "rep", "home", "weight"])
-
-    placed = written(alike.select("label", "rep", "data", "weight").mapInArrow(place, "label string, block int, leaf bigint, rep bigint, home boolean, weight bigint"), "placed")
-    sized = placed.groupBy("label", "block", "leaf").agg(F.count("*").alias("m")).select("label", "block", "leaf", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-    dealt = placed.join(sized, ["label", "block", "leaf"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("label", "block", "leaf", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rep", "home", "weight", "part")
-    dealt = dealt.join(alike.select("rep", "label", "data"), ["rep", "label"])
-    keys = ["label", "block", "leaf", "p", "q"]
-    joined = written(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_join(cosine), "u bigint, v bigint, n bigint"), "joined")
+    alike = valid.groupBy("label", "print").agg(F.min("vec_id").alias("vec"), F.count("*").alias("weight"), F.first("data").alias("data")).withColumn("rep", F.xxhash64("label", "print"))
+    folder = f"{shared_dir(spark).rstrip('/')}/alike-{uuid.uuid4().hex}"
+    alike = written(alike.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep"), folder, rows=LEAF)
+    # files are ranges of labels; small ones make a leaf together
+    files = alike.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).collect()
+    leaves, ends, size = [], [], LEAF
+    for f in sorted(files, key=lambda f: (f["lo"].encode(), f["hi"].encode(), f["name"])):
+        if size + f["n"] > LEAF:
+            leaves.append([])
+            ends.append((f["lo"].encode(), f["hi"].encode()))
+            size = 0
+        leaves[-1].append(f["name"])
+        ends[-1] = ends[-1][0], max(ends[-1][1], f["hi"].encode())
+        size += f["n"]
+    # a leaf meets itself and those behind it that begin with one of its labels
+    starts = [lo for lo, _ in ends]
+    last = [bisect.bisect_right(starts, hi) - 1 for _, hi in ends]
+    pairs = sum(q - p + 1 for p, q in enumerate(last))
+    tasks = max(1, min(pairs, max(4 * spark.sparkContext.defaultParallelism, -(-pairs // PAIRS))))
+    met = spark.createDataFrame(list(enumerate(last)), "p int, last int").select("p", F.explode(F.sequence("p", "last")).alias("q")).repartition(tasks)
+    joined = written(met.mapInArrow(_join(folder, spark.sparkContext.broadcast(leaves), cosine, PART), "u bigint, v bigint, n bigint"), "joined")
 
     counts = joined.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(joined.where("v is not null").select("u", "v"))
@@ -254,8 +259,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
 def _other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of the rows that cannot link."""
     for b in batches:
-        ids = []
-        for vec, label, x in zip(b["vec_id"].to_pylist(), b["label"].to_pylist(), b["embedding"].to_pylist()):
-            if not (x and label is not None and None not in x and np.isfinite(v := np.array(x, np.float64)).all() and v.any()):
-                ids.append(vec)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["vec_id"])
+        left = np.ones(b.num_rows, bool)
+        for rows, _ in _usable(b):
+            left[rows] = False
+        yield pa.RecordBatch.from_arrays([b["vec_id"].filter(pa.array(left))], names=["vec_id"])

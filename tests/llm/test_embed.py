@@ -73,6 +73,39 @@ def test_pigeonhole_finds_every_close_pair():
     assert found == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.93)) if i != j}
 
 
+def test_blocks_of_long_vectors_count_once(monkeypatch):
+    """Vectors longer than a block: the same links, each in one block."""
+    monkeypatch.setattr(embed, "WIDTH", 8)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((200, 20))
+    x[100:] = x[:100] + rng.standard_normal((100, 20)) * 0.3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    count = np.zeros(200, np.int64)
+    list(embed._met(x, np.repeat([0, 1], 100), np.ones(200, np.int64), 0.93, 30, count))
+    near = x @ x.T >= 0.93
+    near[:100, :100] = near[100:, 100:] = False
+    assert near.any() and count.tolist() == near.sum(axis=1).tolist()
+
+
+def test_vectors_are_not_dealt_out(spark, monkeypatch):
+    """Leaves are read where they meet: the join moves no vector, however many leaves a label has."""
+    rows, seen, real = vectors(7), {}, embed.written
+    monkeypatch.setattr(embed, "LEAF", 8)
+    monkeypatch.setattr(embed, "written", lambda df, name, **more: real(seen.setdefault(name, df), name, **more))
+    assert result(spark, rows) == brute(rows, 0.93)
+    assert "data#" not in seen["joined"]._jdf.queryExecution().toString()
+
+
+def test_double_precision_and_odd_lengths(spark):
+    """Components that single precision does not hold, and very large or small ones."""
+    rng = np.random.default_rng(10)
+    rows = [(i, (rng.standard_normal(3) * 10.0 ** rng.choice([-200, -3, 0, 3, 200])).tolist(), 1) for i in range(60)]
+    rows += [(60 + i, (np.array(v) * 3).tolist(), 1) for i, v, _ in rows[:20]]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist(), y) for i, v, y in rows]
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed.near_duplicates(made, 0.93).collect()} == brute(scaled, 0.93)
+
+
 def test_odd_rows(spark):
     v = [1.0, 2.0, 0.0]
     rows = [(1, v, 5), (2, v, 5), (2, v, 5), (3, None, 5), (4, [], 5), (5, [0.0, 0.0, 0.0], 5), (6, [1.0, None, 0.0], 5), (7, [float("nan"), 1.0, 0.0], 5), (8, v, None), (None, v, 5), (9, [1.0, 2.0], 5), (10, [2.0, 4.0, 0.0], 5), (11, [float("inf"), 1.0, 1.0], 5)]
