@@ -5,7 +5,7 @@ import re
 
 from shroud.functions.literals import holds_any
 from shroud.operators import recognizers
-from shroud.plans.detect import event_specs
+from shroud.plans.detect import event_specs, scored_candidates
 from shroud.sources import docs as S
 
 TEXT = "John Smith\n\nContact: Mary Jones\nPhone: (212) 555-0147\n\n\nssn 123456789 DOB: 1980-02-03\nby Acme Widgets Pvt Ltd.\n\nDr. Ann Lee Street\nserver 10.1.2.3"
@@ -42,6 +42,33 @@ def test_rows_equal_arrays(spark):
     assert key(got) == key(want) and got.count() > 500
 
 
+def test_few_and_many_matches_alike(spark, monkeypatch):
+    """Matches that take their text with them and those placed in arrays are the same, plain text or not."""
+    rng = random.Random(11)
+    lines = TEXT.split("\n") + ["", "Größe Ltd — 😀 ann@x.io", "a\x01b\x02 Foo Bar", "card 4111 1111 1111 1111", "By Acme Widgets Ltd", "PROJECTS", "see http://x.io/a 10.0.0.1"]
+    rows = [(i, "\n".join(rng.choice(lines[: 12 if i % 2 else None]) for _ in range(rng.randrange(0, 40)))) for i in range(40)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def found(few, size):
+        monkeypatch.setattr(recognizers, "FEW", few)
+        monkeypatch.setattr(recognizers, "FEW_BYTES", size)
+        return sorted(map(repr, recognizers.raw_candidates(docs, event_specs(None)).collect()))
+
+    assert found(1000, 0) == found(0, -1) == found(2, 1000) and len(found(4, 32768)) > 500
+
+
+def test_invalid_bytes_keep_their_places(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"x\xff\xfe ann@x.io 10.0.0.1"))], "doc_id long, b binary").selectExpr("doc_id", "CAST(b AS STRING) AS text")
+    got = {r.type: (r.start, r.value) for r in recognizers.raw_candidates(docs, event_specs(None)).collect()}
+    assert got["EMAIL"] == (4, "ann@x.io") and got["IP_ADDRESS"] == (13, "10.0.0.1")
+
+
+def test_two_sweeps_by_document(spark):
+    """Section and URL line are told by one order of a document's candidates."""
+    plan = scored_candidates(spark.createDataFrame([(1, TEXT)], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 4 and "left20" not in plan.split("Window [")[-1]
+
+
 def test_one_pass_finds_any_word():
     rng = random.Random(7)
     for _ in range(500):

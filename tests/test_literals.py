@@ -4,7 +4,7 @@ import random
 import re
 import time
 
-from shroud.functions.literals import finder, required, witnesses
+from shroud.functions.literals import finder, led, required, witnesses
 
 
 def test_required_literals():
@@ -30,6 +30,19 @@ def test_the_finder_sees_every_literal():
             assert (x in text) == any(w in seen for w in witnesses(frozenset([x]), literals)), (literals, text)
 
 
+def test_led_patterns_match_alike():
+    """A look-ahead for the first character changes no match; a first character that is not sure leaves the pattern."""
+    rng = random.Random(8)
+    sure = [r"(?<!\d)(?:\+?1[\s\-.]?)?\(?\d{2}", r"\b4\d", r"(?i)(?:ab|c)d?", r"(?:a?|b)c", r"(?:\(?0?\)?[\s\-.]?)?[6-9]\d", r"(?=x)ab|4", r"a*b"]
+    for pattern in sure:
+        assert led(pattern) != pattern
+        for _ in range(200):
+            text = "".join(rng.choice("abcdABx 0146-.+()\n") for _ in range(rng.randrange(0, 40)))
+            assert [m.span() for m in re.finditer(pattern, text)] == [m.span() for m in re.finditer(led(pattern).replace("(?:(?i)", "(?i:"), text)], (pattern, text)
+    for pattern in ["", "a*", r"a|.b", r"[^a]b", r"(?iu)ka", r"(?i:a)b", r"^a", r"[a-z]b", r"(?!x)", r"\wa", "é", r"\p{Lu}a", r"(?U)\da"]:
+        assert led(pattern) == pattern, pattern
+
+
 def _specs(n):
     from shroud.operators.recognizers import Spec
 
