@@ -42,6 +42,24 @@ def _plain(rows):
     return sorted((r[3], r[4], r[1]) for r in cands)
 
 
+def test_two_entities_without_a_scan(spark):
+    """The short form for two entities keeps what the fold keeps, null confidences and touching spans included."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from shroud.operators import overlap
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        two = sorted(((s := rng.randrange(6), s + 1 + rng.randrange(4), rng.choice([0.8, 0.9, None])) for _ in range(2)), key=lambda e: (e[0], -e[1]))
+        rows.append((i, two))
+    df = spark.createDataFrame(rows, "i int, a array<struct<start:int,end:int,confidence:double>>")
+    got = df.select(overlap.pair(F.col("a")).alias("pair"), overlap.fold(F.col("a")).alias("fold")).collect()
+    assert all(r.pair == r.fold for r in got) and {len(r.pair) for r in got} == {1, 2}
+
+
 def test_equals_the_plain_fold(spark):
     import random
 
